@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 from .exact import exact_dedup
+from .lines import dedup_lines
+from .maxent import language_scores
+from .mixing import mix
 from .packing import pack
+from .pii import digest, personal_data
+from .rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .trees import quality_scores
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,16 +29,59 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM d
+), n AS (
+  SELECT doc_id, at, CASE WHEN regexp_full_match(line, '[\x20\x09-\x0D]*') THEN '' ELSE line END AS line FROM l
+), w AS (
+  SELECT doc_id, at, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY at)
+), r AS (
+  SELECT doc_id, at, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, at) AS place FROM w WHERE c IS NOT NULL AND (a <> '' OR b <> '' OR c <> '')
+), gone AS (
+  SELECT DISTINCT doc_id, at + k AS at FROM r, range(3) AS s(k) WHERE place > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.at) AS text, count(*) AS n
+  FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.at = gone.at GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(kept.text, '') AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,10 +99,21 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 """
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
-SQL = {"op9_exact_dedup": OP9_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
