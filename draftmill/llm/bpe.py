@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 
-#: Words of one generation of a worker's cache. Two generations are held: some 100 MB at most.
-WORDS = 300_000
-#: Letters for which every Unicode version agrees that they are letters.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
+#: Words of one generation of a worker's cache. Two generations are held: some 170 MB at most.
+WORDS = 500_000
+#: A word of letters, perhaps with a space before it and marks after it: two pre-tokens. Only letters of which all Unicode versions agree
+#: that they are letters, and no apostrophe.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def load(path: str):
@@ -27,7 +28,7 @@ class Memo(dict):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, word):
-        value = self.old.pop(word, None)
+        value = self.old.pop(word, None) if self.old else None
         if value is None:
             value = self.make(word)
         if len(self) >= self.size:
@@ -48,16 +49,26 @@ class ByteBpeIds:
         self.tokenizer = load(path)
         self.after_space = Memo(lambda w: self._word(" " + w))
         self.at_start = Memo(self._word, WORDS // 10)
+
+        # The characters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.model, self.raw = self.tokenizer.model, [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.shown = {b: chr(b if b in shown else 256 + sum(x not in shown for x in range(b))) for b in range(256)}
         self.line_feed = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join([self.raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _word(self, word: str) -> bytes:
-        # Letters and a mark after them are two pre-tokens; so "word," shares the entry of "word".
-        if word[-1] in ".,;:|" and len(word) > 2 and word[0] == " " and _LETTERS.match(word, 1, len(word) - 1):
-            return self.after_space[word[1:-1]] + self.at_start[word[-1]]
-        return self._encode(word)
+        plain = _PLAIN.match(word)
+        if not plain:
+            return self._encode(word)
+        letters, marks = plain.groups()
+        if marks:  # so "word," shares the entry of "word"
+            return (self.after_space[letters[1:]] if letters[0] == " " else self.at_start[letters]) + self.at_start[marks]
+        # One pre-token: the library's model can have it as it is.
+        shown = letters.replace(" ", self.shown[32]) if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)
+        return b"".join([self.raw[p.id] for p in self.model.tokenize(shown)])
 
     def __call__(self, text: str) -> bytes:
         words = text.split()

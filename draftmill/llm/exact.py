@@ -98,6 +98,11 @@ def _groups(dup: DataFrame) -> DataFrame:
     return dup.groupBy("sha").agg(F.count("*").alias("size"), best.alias("best")).filter("size > 1")
 
 
+def _staged_groups(dup: DataFrame) -> DataFrame:
+    """Written out, so that the join with them has an exchange of its own on either side, and one hot text can be split."""
+    return staged(_groups(dup), "exact-groups")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256."""
     text = text_of()
@@ -105,7 +110,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     flag = possibly_repeated(keys, repeated_cells(keys), "h")
     marked = keys.withColumn("maybe", flag)
     dup, single = marked.filter("maybe"), marked.filter("not maybe")
-    groups = _groups(dup)
+    groups = _staged_groups(dup)
     found = dup.join(groups, "sha", "left").select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.c")).alias("keep_id"),
@@ -125,7 +130,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     keys = staged(full.select("doc_id", "sha", "n_chars", "h", F.lit(0).alias("row")), "exact-keys")
     twice = repeated_cells(keys)
     marked = full.withColumn("maybe", possibly_repeated(full, twice, "h"))
-    groups = _groups(keys.filter(possibly_repeated(keys, twice, "h"))).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
+    groups = _staged_groups(keys.filter(possibly_repeated(keys, twice, "h"))).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
     dup = marked.filter("maybe").join(groups, "sha", "left")
     single = dup.filter("a is null").select("doc.*")
     # Only rows equal in id, length and text are still several here; one of them stays.

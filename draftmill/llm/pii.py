@@ -165,16 +165,23 @@ def _unpack(patterns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def reliabilities(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """The posterior of each pattern, and each labeler's probability of a yes among its votes, for spans that are not personal data and that
-    are. A vote counts as one observation more on the side it would be expected on, so labelers that always agree stay finite."""
+    """The posterior of each pattern, and how often each labeler votes yes, no or not at all (class x vote x labeler) on spans that are
+    not personal data and that are. A labeler is judged on the kinds that it ever votes on. Labelers are taken to be no worse than
+    chance: a yes never speaks against a span, a no never for it. A few made-up votes keep all shares between 0 and 1."""
     kind, vote, _ = _unpack(patterns)
-    yes, no = vote == 1, vote == 0
-    post = np.clip((1 + yes.sum(1) * 2.0) / (2 + 2.0 * (yes | no).sum(1)), 0.05, 0.95)
+    said = np.stack([vote == 1, vote == 0, vote == 2])  # vote x pattern x labeler
+    able = np.stack([(vote[kind == k] != 2).any(axis=0) if (kind == k).any() else np.zeros(vote.shape[1], bool) for k in range(len(KINDS))])[kind]
+    yes, no = said[0].sum(1), said[1].sum(1)
+    post = np.clip((1 + 2.0 * yes) / (2 + 2.0 * (yes + no)), 0.05, 0.95)
+    made_up = np.array([[1.0, 3.0, 2.0], [3.0, 1.0, 2.0]])[:, :, None]  # class x vote
     for _ in range(rounds):
         weights = np.stack([counts * (1 - post), counts * post])  # class x pattern
-        rate = (weights @ yes + [[1.0], [3.0]]) / (weights @ (yes | no) + 4.0)  # class x labeler
+        seen = np.einsum("cp,vpl->cvl", weights, said & able) + made_up
+        rate = seen / seen.sum(axis=1, keepdims=True)
+        worth = np.log(rate[1] / rate[0])  # vote x labeler
+        worth[0], worth[1] = np.maximum(worth[0], 0), np.minimum(worth[1], 0)
         prior = (np.bincount(kind, weights[1], len(KINDS)) + 1) / (np.bincount(kind, counts, len(KINDS)) + 2)
-        score = np.log(prior / (1 - prior))[kind] + yes @ np.log(rate[1] / rate[0]) + no @ np.log((1 - rate[1]) / (1 - rate[0]))
+        score = np.log(prior / (1 - prior))[kind] + np.einsum("vpl,vl->p", said & able, worth)
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return post, rate
 

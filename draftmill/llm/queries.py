@@ -55,18 +55,18 @@ OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), l AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM d
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
 ), n AS (
-  SELECT doc_id, at, CASE WHEN regexp_full_match(line, '[\x20\x09-\x0D]*') THEN '' ELSE line END AS line FROM l
+  SELECT doc_id, pos, CASE WHEN regexp_full_match(line, '[\x20\x09-\x0D]*') THEN '' ELSE line END AS line FROM l
 ), w AS (
-  SELECT doc_id, at, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, pos, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), r AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, at) AS place FROM w WHERE c IS NOT NULL AND (a <> '' OR b <> '' OR c <> '')
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS LAST, pos) AS place FROM w WHERE c IS NOT NULL AND (a <> '' OR b <> '' OR c <> '')
 ), gone AS (
-  SELECT DISTINCT doc_id, at + k AS at FROM r, range(3) AS s(k) WHERE place > 1
+  SELECT DISTINCT doc_id, pos + k AS pos FROM r, range(3) AS s(k) WHERE place > 1
 ), kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.at) AS text, count(*) AS n
-  FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.at = gone.at GROUP BY l.doc_id
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text, count(*) AS n
+  FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(kept.text, '') AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id

@@ -114,7 +114,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     stats = staged(document_statistics(docs), "document-statistics")
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
     rows = stats.join(marks.filter(learn), "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "y").collect()
-    forest = fit(np.array([r.x for r in rows], float).reshape(len(rows), -1), np.array([r.y for r in rows], float))
+    forest = fit(np.array([r.x for r in rows], float).reshape(len(rows), len(statistics(""))), np.array([r.y for r in rows], float))
     kind = stats.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
