@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .tables import BANK_AMOUNT, BANKS, CURRENCY_HINTS, DEFAULT_ROIS, EASTERN, MAGNITUDES, MONTHS, SMALL, WESTERN
 
@@ -53,7 +54,7 @@ def format_amount(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "").otherwise(F.format_string("%.2f", c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_amount_exact(values: pd.Series) -> pd.Series:
     """Two decimals by the double's exact binary value, ties away from zero: a helper for doubles with more than two decimals."""
     from decimal import ROUND_HALF_UP, Decimal
