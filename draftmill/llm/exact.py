@@ -37,8 +37,8 @@ def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([((h + np.uint64(i) * step) & np.uint64(cells - 1)).astype(np.int64) for i in range(HASHES)])
 
 
-def repeated_cells(keys: DataFrame, hash_col: str = "h") -> np.ndarray:
-    """The Bloom filter's cells that two or more rows of `keys` hit, as a bitmap of one byte for eight cells."""
+def hit_cells(keys: DataFrame, hash_col: str = "h", times: int = 2) -> np.ndarray:
+    """The Bloom filter's cells that `times` (1 or 2) or more rows of `keys` hit, as a bitmap of one byte for eight cells."""
     cells = MIN_CELLS
     while cells < min(MAX_CELLS, PER_ROW * keys.count()):
         cells *= 2
@@ -69,7 +69,7 @@ def repeated_cells(keys: DataFrame, hash_col: str = "h") -> np.ndarray:
             for part in (once, again):
                 at = np.frombuffer(part, "<u2")
                 count[at] = np.minimum(count[at] + 1, 2)
-        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "twice": [np.packbits(count > 1).tobytes()]})
+        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "twice": [np.packbits(count >= times).tobytes()]})
 
     merged = keys.select(hash_col).mapInPandas(hits, "segment long, once binary, again binary").groupBy("segment").applyInPandas(merge, "segment long, twice binary")
     twice = np.zeros(cells // 8, np.uint8)
@@ -78,8 +78,8 @@ def repeated_cells(keys: DataFrame, hash_col: str = "h") -> np.ndarray:
     return twice
 
 
-def possibly_repeated(df: DataFrame, twice: np.ndarray, hash_col: str) -> Column:
-    """A column of df: true where all cells of the hash were hit twice."""
+def possibly_in(df: DataFrame, twice: np.ndarray, hash_col: str) -> Column:
+    """A column of df: true where all cells of the hash are in the bitmap."""
     shared = df.sparkSession.sparkContext.broadcast(twice)
     cells = len(twice) * 8
 
@@ -107,7 +107,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256."""
     text = text_of()
     keys = staged(docs.select("doc_id", normal_sha(text).alias("sha"), F.length(text).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row")).withColumn("h", F.xxhash64("sha")), "exact-keys")
-    flag = possibly_repeated(keys, repeated_cells(keys), "h")
+    flag = possibly_in(keys, hit_cells(keys), "h")
     marked = keys.withColumn("maybe", flag)
     dup, single = marked.filter("maybe"), marked.filter("not maybe")
     groups = _staged_groups(dup)
@@ -128,9 +128,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     text = text_of()
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", normal_sha(text).alias("sha"), F.length(text).cast("long").alias("n_chars")).withColumn("h", F.xxhash64("sha"))
     keys = staged(full.select("doc_id", "sha", "n_chars", "h", F.lit(0).alias("row")), "exact-keys")
-    twice = repeated_cells(keys)
-    marked = full.withColumn("maybe", possibly_repeated(full, twice, "h"))
-    groups = _staged_groups(keys.filter(possibly_repeated(keys, twice, "h"))).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
+    twice = hit_cells(keys)
+    marked = full.withColumn("maybe", possibly_in(full, twice, "h"))
+    groups = _staged_groups(keys.filter(possibly_in(keys, twice, "h"))).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
     dup = marked.filter("maybe").join(groups, "sha", "left")
     single = dup.filter("a is null").select("doc.*")
     # Only rows equal in id, length and text are still several here; one of them stays.

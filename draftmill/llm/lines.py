@@ -5,7 +5,8 @@ its first place, by doc_id and then line; the lines that its later places cover,
 documents share stays, and a passage of three lines or more goes from all documents but the first, to its last line.
 
 Counts and first places are partial aggregates, so a window that fills a third of the table sends one row from each task. Only
-hashes and positions are shuffled for the search; texts are shuffled once, for taking lines out.
+hashes and positions are shuffled for the search. For taking lines out, texts with repeated windows are shuffled once; a Bloom filter of
+their hashes (of bounded size, as for exact dedup) lets nearly all others pass straight through.
 
 Defined results: null text counts as empty. Lines are cut at line feeds and compared as they are, but for lines of white
 space, which are all alike; windows of three such lines don't count. A document of under three lines is left as it is. A null
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, id_and_text, staged
+from .exact import hit_cells, possibly_in
 
 
 def let(value: Column, body) -> Column:
@@ -58,15 +60,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text without the lines taken out, n_lines before, n_removed."""
     docs = id_and_text(docs)
-    cut = staged(repeated_windows(docs), "line-cuts").select(F.col("doc_id").alias("id"), "h", "starts")
+    cuts = staged(repeated_windows(docs), "line-cuts")
     d = docs.withColumn("h", F.xxhash64("text"))
-    both = d.join(cut, d["doc_id"].eqNullSafe(cut["id"]) & (d["h"] == cut["h"]), "left")
+    d = d.withColumn("maybe", possibly_in(d, hit_cells(cuts, times=1), "h"))
+    cut = cuts.select(F.col("doc_id").alias("id"), F.col("h").alias("cut_h"), "starts")
+    both = d.filter("maybe").join(cut, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("cut_h")), "left")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(p, p + 1, p + 2))))
     lines = F.split("text", "\n", -1)
     left = let(lines, lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), covered), lambda i: all_[i]), "\n"))
-    return both.select(
-        "doc_id",
-        F.when(F.col("starts").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("starts").isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_removed"),
-    )
+    whole = F.col("starts").isNull()
+    n_lines = F.size(lines).cast("long").alias("n_lines")
+    changed = both.select("doc_id", F.when(whole, F.col("text")).otherwise(left).alias("text"), n_lines, F.when(whole, 0).otherwise(F.size(covered)).cast("long").alias("n_removed"))
+    straight = d.filter("not maybe").select("doc_id", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
+    return straight.unionByName(changed)
