@@ -110,7 +110,7 @@ def test_model_sums_to_one_and_its_gradient_descends():
     codes[1::2] = codes[::2] % 300 + 1  # each second word follows from the one before
     f = maxent.features(codes, np.array([0]))
     before = maxent.log_prob(m, codes, f).sum()
-    memory = (np.zeros(m.classes.shape), np.zeros(m.inner.shape))
+    memory = (np.zeros_like(m.classes), np.zeros_like(m.inner))
     for _ in range(10):
         maxent.gradient_steps(m, f, np.minimum(codes, m.modelled + 1), memory)
     assert maxent.log_prob(m, codes, f).sum() > before + 500
