@@ -87,7 +87,7 @@ def csv_lines(results: DataFrame) -> DataFrame:
 
 def export_csv(results: DataFrame, path: str) -> None:
     """Part files by range of the global order; the first begins with the byte-order mark and the header."""
-    header = results.sparkSession.range(1).select(F.lit("﻿" + ",".join([n for n, _ in CSV_FIELDS] + ["flags"])).alias("line"), F.lit(0).alias("kind"), F.lit("").alias("pdf_id"), F.lit(0).alias("page_index"), F.lit(0).alias("cheque_on_page"))
+    header = results.sparkSession.range(1).select(F.lit("\ufeff" + ",".join([n for n, _ in CSV_FIELDS] + ["flags"])).alias("line"), F.lit(0).alias("kind"), F.lit("").alias("pdf_id"), F.lit(0).alias("page_index"), F.lit(0).alias("cheque_on_page"))
     lines = csv_lines(results).select("line", F.lit(1).alias("kind"), *ORDER)
     header.unionByName(lines).orderBy("kind", *ORDER).select("line").write.mode("overwrite").text(path)
 
