@@ -15,7 +15,7 @@ from draftmill.llm.exact import drop_exact_copies
 from draftmill.llm.mixing import mix_rows
 from draftmill.llm.packing import pack
 from draftmill.llm.queries import tokenizer_path
-from draftmill.llm.simhash import drop_near_copies
+from draftmill.llm.near import drop_near_copies
 from draftmill.llm.trees import keep_good
 
 
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints the document with the smallest doc_id stays."""
-    return drop_near_copies(docs, words=5, radius=4)
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    return drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
