@@ -457,10 +457,8 @@ def o4_cap_regions(spark, sf):
 @query
 def u1_union_outcomes(spark, sf):
     """How pages came by their regions: pages and regions by flag."""
-    found = _regions(spark, sf)
-    flags = found.groupBy("page_key").agg(F.max("flag").alias("flag"))
-    r = layout.resolve_page_regions(found, B.proposals(spark, sf)).groupBy("page_key").agg(F.count("*").alias("n"))
-    return r.join(flags, "page_key").groupBy("flag").agg(F.count("*").alias("pages"), F.sum("n").alias("regions"))
+    pages = _resolved(spark, sf).groupBy("page_key", "flag").agg(F.count("*").alias("n"))
+    return pages.groupBy("flag").agg(F.count("*").alias("pages"), F.sum("n").alias("regions"))
 
 
 @query

@@ -151,25 +151,44 @@ def regions_overlap_badly(regions: DataFrame, key: str = "page_key") -> DataFram
     return regions.select(key).distinct().join(pairs, key, "left").select(key, F.coalesce("bad", F.lit(False)).alias("bad"))
 
 
+def _keyed(box: Column) -> Column:
+    """A box with its sort key before it, so that sorting an array of them is the order of regions."""
+    return F.struct(C.round2(box["y0"]).alias("top"), C.round2(box["x0"]).alias("left"), *[box[c].alias(c) for c in BOX])
+
+
+def _full_page() -> Column:
+    return F.array(F.struct(*[F.lit(v).alias(n) for n, v in zip(("top", "left", *BOX), (0.0, 0.0, 0.0, 0.0, 1.0, 1.0), strict=True)]))
+
+
+def _any_clash(boxes: Column) -> Column:
+    """As regions_overlap_badly, for the boxes of one page in an array."""
+
+    def clash(a: Column, b: Column) -> Column:
+        def share(p: str, q: str) -> tuple[Column, Column]:
+            return F.greatest(F.lit(0.0), F.least(a[q], b[q]) - F.greatest(a[p], b[p])), F.least(a[q] - a[p], b[q] - b[p])
+
+        (v, vmin), (h, hmin) = share("y0", "y1"), share("x0", "x1")
+        return F.when((vmin > 0) & (hmin > 0), (v / vmin > 0.5) & (h / hmin > 0.3)).otherwise(False)
+
+    return F.exists(F.transform(boxes, lambda a, i: F.exists(F.slice(boxes, i + 2, F.lit(MAX_CHEQUES)), lambda b: clash(a, b))), lambda x: x)
+
+
 def detect_regions(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_key, ordinal, x0, y0, x1, y1, flag): the boxes of a page and 'single', 'ok' or 'ambiguous'. Every page has a row; a page that is small,
-    blank or holds one box is its own single region, as is, ambiguous, one with more than MAX_CHEQUES."""
+    blank or holds one box is its own single region, as is, ambiguous, one with more than MAX_CHEQUES. A page's boxes, a few dozen at most,
+    are gathered once and judged as an array."""
     pages = pages.select(*PAGE).repartition("page_key")
     runs = runs.repartition("page_key")
-    inked = ink_fraction(runs, pages).filter(F.col("fraction") >= MIN_INK).select("page_key")
-    fit = pages.filter((F.col("width") >= MIN_SIDE) & (F.col("height") >= MIN_SIDE)).join(inked, "page_key", "left_semi")
-    found = split_band_columns(band_column_profile(runs, bands(row_profile(runs.join(fit.select("page_key"), "page_key", "left_semi"), fit))))
+    found = split_band_columns(band_column_profile(runs, bands(row_profile(runs, pages))))
     boxes = pad_and_filter_boxes(found.withColumns({"y0": F.col("band_y0"), "y1": F.col("band_y1")}))
-    per_page = Window.partitionBy("page_key")
-    boxes = boxes.withColumn("odd", F.max("ambiguous").over(per_page)).filter("wide").withColumn("n", F.count("*").over(per_page)).filter(F.col("n") > 1)
-    many = F.col("n") > MAX_CHEQUES
-    few = order_regions(boxes.filter(~many).select("page_key", *BOX, "odd"))
-    overlap = regions_overlap_badly(few)
-    several = few.join(overlap, "page_key").select("page_key", "ordinal", *BOX, F.when(F.col("odd") | F.col("bad"), "ambiguous").otherwise("ok").alias("flag"))
-    crowded = boxes.filter(many).select("page_key").distinct().withColumn("flag", F.lit("ambiguous"))
-    rest = pages.select("page_key").join(several.select("page_key").distinct(), "page_key", "left_anti").join(crowded, "page_key", "left")
-    full = rest.select("page_key", F.lit(1).alias("ordinal"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"), F.coalesce("flag", F.lit("single")).alias("flag"))
-    return several.unionByName(full)
+    one = F.when(F.col("wide"), _keyed(F.struct(*BOX)))
+    own = boxes.groupBy("page_key").agg(F.max("ambiguous").alias("odd"), F.array_sort(F.collect_list(one)).alias("b"))
+    blank = (F.col("fraction") < MIN_INK) | (F.col("width") < MIN_SIDE) | (F.col("height") < MIN_SIDE)
+    d = pages.join(ink_fraction(runs, pages), "page_key").join(own, "page_key", "left").withColumn("n", F.when(blank | F.col("b").isNull(), 0).otherwise(F.size("b")))
+    flag = F.when(F.col("n") <= 1, "single").when((F.col("n") > MAX_CHEQUES) | F.col("odd"), "ambiguous").when(_any_clash(F.col("b")), "ambiguous").otherwise("ok")
+    regions = F.when(F.col("n").between(2, MAX_CHEQUES), F.col("b")).otherwise(_full_page())
+    out = d.select("page_key", flag.alias("flag"), F.posexplode(regions).alias("i", "r"))
+    return out.select("page_key", (F.col("i") + 1).alias("ordinal"), *[F.col(f"r.{c}").alias(c) for c in BOX], "flag")
 
 
 def cap_regions(regions: DataFrame, most: int = MAX_CHEQUES) -> DataFrame:
@@ -182,16 +201,15 @@ def cap_regions(regions: DataFrame, most: int = MAX_CHEQUES) -> DataFrame:
 
 
 def resolve_page_regions(classical: DataFrame, proposals: DataFrame) -> DataFrame:
-    """(page_key, ordinal, x0, y0, x1, y1): single pages whole; ok pages by their boxes; ambiguous ones by two or more proposals, else whole.
-    proposals: (page_key, boxes)."""
-    flags = classical.groupBy("page_key").agg(F.max("flag").alias("flag"), F.count("*").alias("n"))
-    ok = classical.filter("flag = 'ok'").select("page_key", *BOX)
-    proposed = proposals.select("page_key", C.normalize_proposals(F.col("boxes")).alias("boxes")).filter(F.size("boxes") >= 2)
-    asked = flags.filter("flag = 'ambiguous'").join(proposed, "page_key")
-    given = asked.select("page_key", F.inline("boxes"))
-    named = ok.unionByName(given)
-    whole = flags.join(named.select("page_key").distinct(), "page_key", "left_anti").select("page_key", *[F.lit(v).alias(c) for c, v in zip(BOX, (0.0, 0.0, 1.0, 1.0), strict=True)])
-    return order_regions(named.unionByName(whole)).select("page_key", "ordinal", *BOX)
+    """(page_key, ordinal, x0, y0, x1, y1, flag): single pages whole; ok pages by their boxes; ambiguous ones by two or more proposals, else whole.
+    proposals: (page_key, boxes). Every page keeps at least one region."""
+    own = classical.groupBy("page_key").agg(F.max("flag").alias("flag"), F.collect_list(_keyed(F.struct(*BOX))).alias("b"))
+    given = proposals.select("page_key", F.transform(C.normalize_proposals(F.col("boxes")), _keyed).alias("p"))
+    d = own.join(given, "page_key", "left")
+    asked = (F.col("flag") == "ambiguous") & F.coalesce(F.size("p") >= 2, F.lit(False))
+    regions = F.when(F.col("flag") == "ok", F.col("b")).when(asked, F.col("p")).otherwise(_full_page())
+    out = d.select("page_key", "flag", F.posexplode(F.array_sort(regions)).alias("i", "r"))
+    return out.select("page_key", (F.col("i") + 1).alias("ordinal"), *[F.col(f"r.{c}").alias(c) for c in BOX], "flag")
 
 
 def region_ordinals(regions: DataFrame) -> DataFrame:
