@@ -8,8 +8,9 @@ below 0.8 so that few such pairs are missed.
 
 Only texts that differ in fingerprint or sketch are told apart. A bucket of up to LIMIT of them is searched in one task; a larger one is cut into groups of that size,
 and each pair of groups is searched by a task of its own, so no task holds more than two groups and no link is lost. Tasks give
-spanning forests, never all pairs. Buckets that hold one text send nothing: a Bloom filter of the shared buckets' keys, of bounded
-size, keeps the rows of all others from the shuffle.
+spanning forests, never all pairs. A pair, or a larger set, that shares many buckets is judged once: buckets are told apart by their number of
+texts, the least, the greatest and the exclusive or of their hashes. Buckets that hold one or two texts send nothing more: a Bloom filter
+of the other buckets' keys, of bounded size, keeps their rows from the shuffle.
 
 Defined results: texts without words are alike. Texts of under five words have one shingle, the whole sequence. Rows that share a doc_id
 stay or go together; rows without one stay. No rows in, no rows out.
@@ -17,6 +18,8 @@ stay or go together; rows without one stay. No rows in, no rows out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -101,8 +104,20 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR,
     nodes = staged(sketches.groupBy("node", "fp", "sig").agg(F.min("doc_id").alias("low")), "sketch-nodes")
     each = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks(radius)])
     buckets = nodes.select("node", F.posexplode(each).alias("t", "key")).select("node", F.xxhash64("t", "key").alias("h"))
-    shared = staged(buckets.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared-buckets")
-    members = buckets.filter(possibly_in(buckets, hit_cells(shared, times=1), "h")).join(shared, "h")
+    sets = buckets.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x")).filter("n > 1")
+    shared = staged(sets.groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")), "shared-buckets")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("sig").alias(f"{c}_sig"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                one, two = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(-1, BINS) for c in ("u_sig", "v_sig"))
+                near = np.bitwise_count((p["u_fp"].to_numpy() ^ p["v_fp"].to_numpy()).view(np.uint64)) <= radius
+                yield p.loc[near & (similarity(one, two) >= similar), ["u", "v"]]
+
+    twos = shared.filter("n = 2").select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInPandas(judge, "u long, v long")
+    more = shared.filter("n > 2").select("h", "n")
+    members = buckets.filter(possibly_in(buckets, hit_cells(more, times=1), "h")).join(more, "h")
     groups = F.ceil(F.col("n") / limit).cast("int")
     own = F.pmod(F.xxhash64("node"), groups).cast("int")
     others = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(F.least(g, "own").alias("i"), F.greatest(g, "own").alias("j")))
@@ -114,7 +129,7 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR,
         sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, BINS)
         return pd.DataFrame(forest(group["node"].to_numpy(), fps, sigs, radius, similar), columns=["u", "v"], dtype="int64")
 
-    root = components(full.groupBy("h", "i", "j").applyInPandas(search, "u long, v long"))
+    root = components(twos.union(full.groupBy("h", "i", "j").applyInPandas(search, "u long, v long")))
     whole = root.union(root.select("root", "root").distinct())
     lows = whole.join(nodes.select("node", "low"), "node")
     names = lows.groupBy("root").agg(F.min("low").alias("component_id"))
