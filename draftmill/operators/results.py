@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
+from draftmill.functions.shared import written
 from draftmill.functions.tables import CSV_FIELDS, RESULT
 
 ORDER = ("pdf_id", "page_index", "cheque_on_page")
@@ -56,7 +57,8 @@ def display_rank(results: DataFrame) -> DataFrame:
     Only one count per pdf_id is summed up in order."""
     counts = results.groupBy("pdf_id").agg(F.count("*").alias("n"))
     # Prefix sums in two levels: within ranges of pdf_id, then over the ranges (as many as there are partitions).
-    ranged = counts.repartitionByRange("pdf_id").withColumn("part", F.spark_partition_id()).persist()
+    # Written out, so that which file is in which range is settled.
+    ranged = written(counts.repartitionByRange("pdf_id").withColumn("part", F.spark_partition_id()), "file-counts")
     within = Window.partitionBy("part").orderBy("pdf_id").rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("part").agg(F.sum("n").alias("total"))
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
