@@ -1,16 +1,14 @@
-"""SimHash near-dedup of lightly edited texts: covering locality-sensitive hashing finds the candidates, a sketch of five-word shingles judges them.
+"""Near-dedup of lightly edited texts by an exact join on five-word shingles: prefix filtering finds every candidate, whole sets judge them.
 
-The fingerprint is a SimHash of a text's distinct word pairs, which moves little when a few words change. The tables are those of `simhash`:
-no two fingerprints within the radius miss each other (127 tables for radius 6). Two texts of a bucket are linked if their fingerprints are
-within the radius and the estimated Jaccard similarity of their five-word shingles is SIMILAR or more. The estimate is a one-permutation
-minhash of BINS bins, exact for texts of few shingles and with a standard error of 0.025 at a similarity of 0.8; SIMILAR lies a little
-below 0.8 so that few such pairs are missed.
+A text is the set of 64-bit hashes of its five-word shingles; texts with equal sets are folded into one node. All shingles have one fixed
+order. If two sets have a Jaccard similarity of t or more, the first n - ceil(t n) + 1 of either one's n shingles, its prefix, hold a common
+shingle. So the buckets of equal prefix shingles hold every pair of the promised similarity, whatever was edited: no pair is missed.
+The order puts shingles that are frequent in a sample of the texts last, then goes by hash; the sample bears on the buckets' sizes alone.
 
-Only texts that differ in fingerprint or sketch are told apart. A bucket of up to LIMIT of them is searched in one task; a larger one is cut into groups of that size,
-and each pair of groups is searched by a task of its own, so no task holds more than two groups and no link is lost. Tasks give
-spanning forests, never all pairs. A pair, or a larger set, that shares many buckets is judged once: buckets are told apart by their number of
-texts, the least, the greatest and the exclusive or of their hashes. Buckets that hold one or two texts send nothing more: a Bloom filter
-of the other buckets' keys, of bounded size, keeps their rows from the shuffle.
+Links are judged by the sizes of whole sets and of their intersection. First each node is held against the least node it meets; then against the
+least nodes of its other buckets, where they are not yet joined. What is left are buckets of three or more that hold several components:
+only there all pairs of different components are searched. A bucket of up to LIMIT nodes is searched in one task; a larger one is cut
+into groups of that size, and each pair of groups is searched by a task of its own, so no task holds more than two groups and no link is lost.
 
 Defined results: texts without words are alike. Texts of under five words have one shingle, the whole sequence. Rows that share a doc_id
 stay or go together; rows without one stay. No rows in, no rows out.
@@ -29,10 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, staged
 from .components import components
-from .exact import hit_cells, possibly_in
-from .simhash import _signed, masks
 
-WORDS, BINS, SIMILAR, RADIUS, LIMIT = 5, 256, 0.78, 6, 4096
+WORDS, BINS, SIMILAR, LIMIT = 5, 256, 0.8, 2048
+SAMPLE, OFTEN, FREQUENT = 8192, 3, 1 << 17  # texts of the sample; places there from which a shingle is frequent; frequent shingles at most
 _ODD = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -74,71 +71,132 @@ def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.where(some == 0, 1.0, (share - 1 / 255) / (1 - 1 / 255))
 
 
-def forest(nodes: np.ndarray, fps: np.ndarray, sigs: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:
-    left, out = np.arange(len(nodes)), []
-    while len(left):
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            at = stack.pop()
-            close = np.flatnonzero(np.bitwise_count(fps[left] ^ fps[at]) <= radius)
-            close = close[similarity(sigs[at], sigs[left[close]]) >= similar] if len(close) else close
-            if len(close):
-                hit = left[close]
-                out += [(int(nodes[at]), int(nodes[x])) for x in hit]
-                stack.extend(hit)
-                left = np.delete(left, close)
+def shingles(text: str) -> np.ndarray:
+    """The distinct hashes of the text's shingles, in order."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    return np.unique(_mixed(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), WORDS))
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, similar: float) -> np.ndarray:
+    """The shingles of which sets with this similarity share one. `frequent` is in order."""
+    if len(frequent) and len(s):
+        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        s = np.concatenate([s[~often], s[often]])
+    return s[: len(s) - int(np.ceil(similar * len(s) - 1e-9)) + 1]
+
+
+def alike(one: np.ndarray, owner: np.ndarray, each: np.ndarray, sizes: np.ndarray, similar: float) -> np.ndarray:
+    """Which sets have the similarity with `one`; `each` holds the sets end to end, `owner` whose each value is."""
+    if not len(one):
+        return sizes == 0
+    hit = one[np.minimum(np.searchsorted(one, each), len(one) - 1)] == each
+    both = np.bincount(owner[hit], minlength=len(sizes))
+    return both >= similar * (len(one) + sizes - both) - 1e-9
+
+
+def cross_links(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Links between different components, each node held against those after it."""
+    sizes = np.array([len(s) for s in sets])
+    owner, each, ends = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), np.cumsum(sizes)
+    out = []
+    for i in range(len(sets) - 1):
+        # Sets whose sizes alone rule it out, and those of its own component, need no look.
+        fit = (roots[i + 1 :] != roots[i]) & (sizes[i + 1 :] >= similar * sizes[i] - 1e-9) & (sizes[i] >= similar * sizes[i + 1 :] - 1e-9)
+        if fit.any():
+            rest = each[ends[i] :], owner[ends[i] :] - i - 1
+            hit = i + 1 + np.flatnonzero(fit & alike(sets[i], rest[1], rest[0], sizes[i + 1 :], similar))
+            out += [(int(nodes[i]), int(nodes[x])) for x in hit]
     return out
 
 
-def near_copies(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, limit: int = LIMIT) -> DataFrame:
+def _frequent(texts: DataFrame) -> np.ndarray:
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+
+    def per_task():
+        return lambda ids, found: {"s": [shingles(t).view(np.int64) for t in found]}
+
+    each = map_texts(some, per_task, "s array<long>").select(F.explode("s").alias("h"))
+    top = each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return np.sort(top.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, component_id (the smallest doc_id that it reaches over links, itself included)."""
+    rows, nodes, root = _linked(id_and_text(docs), similar, limit)
+    whole = root.union(root.select("root", "root").distinct())
+    lows = whole.join(nodes.select("node", "low"), "node")
+    names = lows.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = lows.join(names, "root").select("node", "component_id")
+    of = nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    return rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+
+
+def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their nodes, the nodes, and the components (node, root)."""
+    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
     def per_task():
-        def work(ids, texts):
-            found = [sketch(t) for t in texts]
-            return {"fp": pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64)), "sig": [s for _, s in found]}
+        def work(ids, found):
+            sets = [shingles(t) for t in found]
+            return {
+                "node": pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
+                "head": [prefix(s, sent.value, similar).view(np.int64) for s in sets],
+                "s": [s.tobytes() for s in sets],
+            }
 
         return work
 
-    sketches = staged(map_texts(id_and_text(docs), per_task, "fp long, sig binary").withColumn("node", F.xxhash64("fp", "sig")), "sketches")
-    nodes = staged(sketches.groupBy("node", "fp", "sig").agg(F.min("doc_id").alias("low")), "sketch-nodes")
-    each = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks(radius)])
-    buckets = nodes.select("node", F.posexplode(each).alias("t", "key")).select("node", F.xxhash64("t", "key").alias("h"))
-    sets = buckets.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x")).filter("n > 1")
-    shared = staged(sets.groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")), "shared-buckets")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("sig").alias(f"{c}_sig"))
+    rows = staged(map_texts(texts, per_task, "node long, head array<long>, s binary"), "shingles")
+    nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("head").alias("head")), "shingle-nodes")
+    buckets = nodes.select("node", F.explode("head").alias("h"))
+    shared = buckets.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    members = staged(buckets.join(shared, "h"), "shared-shingles")
+    wanted = members.select("node").distinct()
+    sets = staged(rows.select("node", "s").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            if len(p):
-                one, two = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(-1, BINS) for c in ("u_sig", "v_sig"))
-                near = np.bitwise_count((p["u_fp"].to_numpy() ^ p["v_fp"].to_numpy()).view(np.uint64)) <= radius
-                yield p.loc[near & (similarity(one, two) >= similar), ["u", "v"]]
-
-    twos = shared.filter("n = 2").select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInPandas(judge, "u long, v long")
-    more = shared.filter("n > 2").select("h", "n")
-    members = buckets.filter(possibly_in(buckets, hit_cells(more, times=1), "h")).join(more, "h")
+            ok = []
+            for a, b in zip(p["a"], p["b"], strict=True):
+                one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                ok.append(bool(alike(one, np.zeros(len(two), np.int64), two, np.array([len(two)]), similar)[0]))
+            yield p.loc[np.array(ok, bool), ["u", "v"]]
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+        return both.select("u", "v", "a", "b").mapInPandas(judge, "u long, v long")
+
+    def rooted(found: DataFrame, root: DataFrame, *nodes: str) -> DataFrame:
+        for c in nodes:
+            found = found.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+        return found
+
+    met = staged(members.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "met")
+    links = staged(judged(met.groupBy("u").agg(F.min("v").alias("v"))), "links")
+    root = components(links)
+    links = links.union(staged(judged(rooted(met, root, "u", "v").filter("u_root <> v_root").select("u", "v")), "links"))
+    root = components(links)
+    # Buckets of three or more with several components; those with the same nodes are one.
+    held = staged(rooted(members.filter("n > 2").select("h", "node", "n"), root, "node"), "held")
+    mixed = held.groupBy("h").agg(F.first("n").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x"), F.min("node_root").alias("lo"), F.max("node_root").alias("hi")).filter("lo < hi")
+    open_ = mixed.groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")).select("h")
     groups = F.ceil(F.col("n") / limit).cast("int")
     own = F.pmod(F.xxhash64("node"), groups).cast("int")
     others = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(F.least(g, "own").alias("i"), F.greatest(g, "own").alias("j")))
-    dealt = members.withColumn("own", own).select("node", "h", F.inline(others))
-    full = dealt.join(nodes.select("node", "fp", "sig"), "node")
+    dealt = held.join(open_, "h").withColumn("own", own).select("h", "node", "node_root", F.inline(others))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        fps = group["fp"].to_numpy().view(np.uint64)
-        sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, BINS)
-        return pd.DataFrame(forest(group["node"].to_numpy(), fps, sigs, radius, similar), columns=["u", "v"], dtype="int64")
+        found = cross_links(group["node"].to_numpy(), group["node_root"].to_numpy(), [np.frombuffer(s, np.uint64) for s in group["s"]], similar)
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    root = components(twos.union(full.groupBy("h", "i", "j").applyInPandas(search, "u long, v long")))
-    whole = root.union(root.select("root", "root").distinct())
-    lows = whole.join(nodes.select("node", "low"), "node")
-    names = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = lows.join(names, "root").select("node", "component_id")
-    of = nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    return sketches.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+    rest = staged(dealt.join(sets, "node").groupBy("h", "i", "j").applyInPandas(search, "u long, v long"), "links")
+    return rows, nodes, components(links.union(rest)) if rest.limit(1).count() else root
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest doc_id."""
-    gone = near_copies(docs, radius, similar).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = near_copies(docs, similar).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])

@@ -49,3 +49,45 @@ def test_light_edits_are_found_and_other_texts_left_alone(spark, odd, none):
     # 1 and 2 hold the same words, 3 to 5 none; 6 and 7 share too few shingles.
     assert stay.columns == odd.columns and sorted(r.doc_id or 0 for r in stay.collect()) == [0, 1, 3, 6, 7, 7, 9, 10, 11, 12]
     assert near.near_copies(none).count() == 0
+
+
+def test_every_pair_of_the_promised_similarity_is_found(spark):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    while len(pairs) < 160:
+        a = " ".join(rng.choice(WORDS) for _ in range(rng.randint(60, 400)))
+        n = len(a.split())
+        if len(pairs) % 2:
+            b = edited(rng, a, max(1, round(n * rng.uniform(0.01, 0.025))))
+        else:
+            b = a + " " + " ".join(rng.choice(WORDS) for _ in range(round(n * rng.uniform(0.17, 0.25))))
+        if 0.8 <= jaccard(a, b) <= 0.85:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    low = len(rows)
+    for _ in range(40):  # just under the promise: these stay apart
+        a = " ".join(rng.choice(WORDS) for _ in range(200))
+        b = a + " " + " ".join(rng.choice(WORDS) for _ in range(55))
+        assert 0.77 < jaccard(a, b) < 0.8
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
+    assert all(got[a] == got[b] == a for a, b in pairs)
+    assert all(got[d] == d for d in range(low, len(rows)))
+
+
+def test_components_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    texts = []
+    common = " ".join(rng.choice(WORDS) for _ in range(30))  # a passage of many texts
+    for _ in range(12):
+        base = " ".join(rng.choice(WORDS) for _ in range(120)) + " " + common
+        texts += [base] + [edited(rng, base, rng.randint(1, 4)) for _ in range(8)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (near.LIMIT, 2):
+        assert {r.doc_id: r.component_id for r in near.near_copies(docs, limit=limit).collect()} == dict(enumerate(root))
