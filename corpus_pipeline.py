@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from draftmill.llm.common import shared_dir, table
 from draftmill.llm.exact import drop_exact_copies
-from draftmill.llm.mixing import mix_rows
+from draftmill.llm.mixing import mix_rows, mix_spans
 from draftmill.llm.packing import pack
 from draftmill.llm.queries import tokenizer_path
 from draftmill.llm.near import drop_near_copies
@@ -40,8 +40,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, each with its token ids, sequence and offset."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Pieces of documents, each with its token ids, sequence and offset. Sequences follow the mix; as files are not read in the order they
+    were written in, the spans of the mix are worked out from the rows again."""
+    return pack(mix_spans(docs), tokenizer_path("byte_bpe_50k.json"), span="span")
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mixed), ("packing", packed)]

@@ -6,7 +6,8 @@ best fit for n tokens is the lowest bit at n or above. When one more would be op
 window of a bounded number of tokens and are placed longest first, which packs nearly as well as best fit over all.
 
 Sequence ids hold the number of the partition in their upper bits, so tasks need not agree on them, and a task
-that is run again gives the same ids.
+that is run again gives the same ids. Where documents come in spans of a mix, each span is packed alone, without what is left open by the span
+before, and its number takes the place of the partition's: sequence ids ascend by span, so the first sequences hold the first spans.
 
 Defined results: null text counts as empty; an empty text is one piece of the end token alone. Repeated rows are packed one
 by one. A null doc_id stays null. No rows in, no rows out. Other columns play no part in it.
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpeIds
-from .common import SLICE, id_and_text, to_arrow
+from .common import SLICE, id_and_text, text_of, to_arrow
 
 CAPACITY, OPEN, WINDOW = 2048, 8192, 1 << 22
+SPAN_BITS = 32  # of a sequence id, for the sequences of one span
 
 
 class OpenBins:
@@ -63,9 +65,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN, window: int = WINDOW) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, sequence_id, offset, ids (little-endian unsigned 32-bit ids, as BINARY)."""
-    docs = id_and_text(docs)
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN, window: int = WINDOW, span: str | None = None) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, sequence_id, offset, ids (little-endian unsigned 32-bit ids, as BINARY). span: a column of whole
+    numbers, from 0, by which the partitions of docs are sorted and of which none is in two partitions."""
+    docs = docs.select("doc_id", text_of().alias("text"), F.col(span).cast("long").alias("span")) if span else id_and_text(docs)
     full = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, sequence_id long, offset long, ids binary"
     arrow = to_arrow(docs.sparkSession, full)
 
@@ -74,7 +77,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
 
         ids_of, end = ByteBpeIds(tokenizer), end_id.to_bytes(4, "little")
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        held, waiting = [], 0
+        held, waiting, now = [], 0, None
 
         def flush():
             held.sort(key=lambda p: -p[3])
@@ -86,7 +89,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                spans = part.column(2).to_pylist() if span else [None] * part.num_rows
+                for doc_id, text, of in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), spans, strict=True):
+                    if of != now:
+                        yield from flush()
+                        bins, waiting, now = OpenBins(capacity, open_bins, of << SPAN_BITS), 0, of
                     ids = ids_of(text) + end
                     waiting += len(ids) // 4
                     held += [(doc_id, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]

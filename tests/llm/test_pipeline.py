@@ -1,10 +1,11 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
-from draftmill.llm import trees
+from draftmill.llm import mixing, trees
 from tests.llm.test_dedup import slow_components
 from tests.llm.test_packing_counts import BYTE, check
 from pyspark.sql import functions as F
@@ -45,3 +46,23 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run_gives_the_rows_of_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() > 100
+
+
+def test_sequences_follow_the_mix(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * (i % 90), "abc"[min(i % 7, 2)]) for i in range(9000)], "doc_id long, text string, source string")
+    slot = {r.doc_id: (r.slot, r.source) for r in mixing.mix(docs).collect()}
+    # Files of the mix come back in another order: the rows alone must tell it.
+    first = {}
+    for r in corpus_pipeline.packed(spark, mixing.mix_rows(docs).repartition(5, "doc_id"), SF).select("doc_id", "sequence_id").collect():
+        first[r.doc_id] = min(first.get(r.doc_id, r.sequence_id), r.sequence_id)
+    assert len(first) == 9000
+    order = sorted(first, key=lambda d: first[d])
+    spans = [slot[d][0] // mixing.SPAN for d in order]
+    assert spans == sorted(spans) and spans[-1] >= 8
+    # Shares of the sources over the first sequences: those of the weights, give or take a block, as long as no source has ended.
+    sizes = Counter(s for _, s in slot.values())
+    ended = min(max(t for t, s in slot.values() if s == x) for x in sizes)
+    quota = mixing.quotas({s: n**0.5 for s, n in sizes.items()}, mixing.PERIOD)
+    for k in range(1, ended // mixing.SPAN + 1):
+        got = Counter(slot[d][1] for d, at in zip(order, spans, strict=True) if at < k)
+        assert all(abs(got[s] / mixing.BLOCK - k * mixing.SPAN * q / mixing.PERIOD) < 1 for s, q in quota.items())
