@@ -4,24 +4,27 @@ Tokens are lower-cased words and one end per text. Counts are taken over all tra
 (word, n). The most frequent HEAD words are broadcast (a bounded table, about 4 MB); the other words of a text are joined to their counts by a
 shuffle, summed per text, so no table grows on the driver.
 
-The model: P(w | h) = P(class of w | h) P(w | class, h). The CLASSES x WORDS most frequent words form classes of neighbouring
-ranks; both factors are softmaxes over sums of weights, one row of weights for each hashed feature of the history h (a bias,
-the word before, the two before, the one two before and the one three before: n-grams and skips). All other words are the last
-class, where a word's share is its smoothed count. So the probabilities of all words sum to one whatever the weights.
+The model: the words of the head, and one leaf for all other words, are the leaves of a Huffman tree over their counts: nested classes. P(w | h) is
+the product of the binary decisions on the way to w's leaf. A decision is a logistic function of a sum of weights: the node's bias and one
+weight for each hashed pair of the node and a feature of the history h (the word before, the two before, the one two before and the one three
+before: n-grams and skips). At the last leaf a word's share is its smoothed count. So the probabilities of all words sum to one whatever the weights. The
+table of hashed weights has PER_KIND places for each distinct word, up to 2 ** MOST_BITS, where its bound is.
 
-Training: positions of every training text (one in STRIDE, by a hash) are written as hashed features. In each round, tasks start from
+Training: all positions of every training text are written as codes of words. In each round, tasks start from
 the broadcast weights, take gradient steps over their own examples in batches, and the weights are averaged, in blocks, by a
-shuffle. What a task sends is the table of weights, of a fixed size (2 MB); there are TASKS training tasks at most.
+shuffle; a weight counts by the sum of its squared gradients in a task, so that tasks which never met a pair don't pull its weight back. What a task
+sends is the table of weights, of a bounded size; there are TASKS training tasks at most.
 
-Scoring takes a slice of documents at a time: one gather of the feature rows for all positions, one log-softmax.
+Scoring takes a slice of documents at a time: one gather of the weights of all decisions.
 
 Defined results: null text counts as empty; it has one token, the end. Without training texts N and V are 0, every count is 0 and the model is
-the last class alone. Repeated rows get equal results, a null doc_id stays null (and counts as the text 'null' for the
+the last leaf alone. Repeated rows get equal results, a null doc_id stays null (and counts as the text 'null' for the
 split). Only doc_id and text are read, whatever other columns there are; no rows in, no rows out.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,9 +40,10 @@ from .bpe import Memo
 from .common import SLICE, crc_mod, id_and_text, map_texts, staged, to_arrow
 
 END = b"\n"  # no word holds white space
-HEAD, CLASSES, WORDS, ROWS = 1 << 17, 23, 24, 1 << 12
-COUNTED, STRIDE, ROUNDS, TASKS, BATCH, RATE, BLOCKS = 1 << 18, 8, 3, 256, 2048, 0.05, 16
+HEAD, PER_KIND, LEAST_BITS, MOST_BITS = 1 << 17, 16, 12, 22
+COUNTED, ROUNDS, TASKS, BATCH, RATE, BLOCK = 1 << 18, 3, 256, 2048, 0.05, 1 << 15
 CACHED, POSITIONS = 150_000, 1 << 15  # words of a worker's cache; positions that are scored at a time
+EASE = 1.0  # what a weight counts as seen before its first gradient: first steps keep the size of their gradients
 RARE = 1 << 16  # history codes of the words outside the head
 FEATURES = 4
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
@@ -83,27 +87,50 @@ class Model:
     counts: np.ndarray
     total: int  # N
     kinds: int  # V
-    classes: np.ndarray | None = None  # ROWS + 1 rows (the last is the bias) x (CLASSES + 1)
-    inner: np.ndarray | None = None  # ROWS + CLASSES rows (the last ones are biases) x WORDS
+    classes: np.ndarray | None = None  # weights of hashed pairs of a feature and a node
+    inner: np.ndarray | None = None  # biases of the tree's inner nodes
+    up: np.ndarray | None = None  # of each node (leaves first, the last one for all other words): twice its parent, plus 1 for the second child
 
     @property
     def modelled(self) -> int:
-        return min(len(self.words), CLASSES * WORDS)
+        return len(self.words)
 
     @property
     def rest(self) -> float:
-        """log10 of the denominator of a word's share in the last class."""
-        m = self.modelled
-        return float(np.log10(self.total - int(self.counts[:m].sum()) + self.kinds - m + 1))
+        """log10 of the denominator of a word's share in the last leaf."""
+        return float(np.log10(self.total - int(self.counts.sum()) + self.kinds - self.modelled + 1))
 
     def start(self) -> None:
-        """Biases from counts, all other weights zero."""
-        c = np.zeros(CLASSES * WORDS)
-        c[: self.modelled] = self.counts[: self.modelled]
-        each = c.reshape(CLASSES, WORDS)
-        self.classes, self.inner = np.zeros((ROWS + 1, CLASSES + 1), np.float32), np.zeros((ROWS + CLASSES, WORDS), np.float32)
-        self.classes[ROWS] = np.log(np.append(each.sum(1), self.total - c.sum() + self.kinds - self.modelled + 1) + 1e-9)
-        self.inner[ROWS:] = np.log(each + 1e-9)
+        """The tree; biases from counts, all other weights zero."""
+        m = self.modelled
+        mass = [*map(int, self.counts), self.total - int(self.counts.sum()) + self.kinds - m + 1]
+        up = np.zeros(2 * m + 1, np.int32)
+        heap = [(n, i) for i, n in enumerate(mass)]
+        heapq.heapify(heap)
+        odds = np.zeros(m)
+        for node in range(m + 1, 2 * m + 1):
+            (n, i), (k, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i], up[j] = 2 * node, 2 * node + 1
+            odds[node - m - 1] = k / n if n else 1.0
+            heapq.heappush(heap, (n + k, node))
+        bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(PER_KIND * max(1, self.kinds))))))
+        self.up, self.inner, self.classes = up, np.log(odds).astype(np.float32), np.zeros(1 << bits, np.float32)
+
+    def ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The decisions on the ways to words' leaves: position, inner node, which child."""
+        m = self.modelled
+        node, at, root = np.where((codes >= 1) & (codes <= m), codes - 1, m), np.arange(len(codes)), 2 * m
+        out = []
+        while True:
+            stay = np.flatnonzero(node != root)
+            if not len(stay):
+                break
+            at, step = at[stay], self.up[node[stay]]
+            node = step >> 1
+            out.append((at, node - m - 1, step & 1))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
 
 def coder(words: list[bytes]) -> Memo:
@@ -114,7 +141,7 @@ def coder(words: list[bytes]) -> Memo:
 
 
 def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """FEATURES rows of the weight table for each position, from the codes of words before it within the text."""
+    """FEATURES hashes for each position, from the codes of words before it within the text."""
     n = len(codes)
     first = np.repeat(starts, np.diff(np.append(starts, n)))
     at = np.arange(n)
@@ -125,96 +152,59 @@ def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     one, two, three = back(1), back(2), back(3)
     keys = np.stack([one, one * np.uint64(0x1000193) + two + np.uint64(1 << 40), two + np.uint64(2 << 40), three + np.uint64(3 << 40)])
     mixed = (keys ^ (keys >> np.uint64(17))) * (_ODD[:, None] * np.uint64(0x100000001))
-    return ((mixed >> np.uint64(40)) % np.uint64(ROWS)).astype(np.int64)
-
-
-def inner_rows(feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return (feats * 31 + cls * 1009 + 7) % ROWS
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return (mixed >> np.uint64(32)).astype(np.uint32)
 
 
-def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row at its place `at`; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
-
-
-def class_logits(model: Model, feats: np.ndarray) -> np.ndarray:
-    z = model.classes.take(feats[0], axis=0)
-    for f in feats[1:]:
-        z += model.classes.take(f, axis=0)
-    z += model.classes[ROWS]
-    return z
-
-
-def inner_logits(model: Model, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    z = model.inner.take(ROWS + cls, axis=0)
-    for r in rows:
-        z += model.inner.take(r, axis=0)
-    return z
+def _decisions(model: Model, feats: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each decision its position, node, child and log-odds of the second child; and the places of its weights."""
+    at, node, child = model.ways(codes)
+    h = feats[:, at] + node.astype(np.uint32) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE3D)
+    places = (h >> np.uint32(33 - len(model.classes).bit_length())).astype(np.int64)
+    z = model.inner[node]
+    for p in places:
+        z += model.classes[p]
+    return at, node, child, z, places
 
 
 def log_prob(model: Model, codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | h) P(w | class, h), and of P(last class | h) for words outside the classes."""
-    m = model.modelled
-    cls = np.where((codes >= 1) & (codes <= m), (codes - 1) // WORDS, CLASSES)
+    """Natural log of P(w | h), and of P(last leaf | h) for words outside the head."""
     out = np.empty(len(codes))
-    for at in range(0, len(codes), POSITIONS):
-        part = slice(at, at + POSITIONS)
-        out[part] = _log_share(class_logits(model, feats[:, part]), cls[part])
-        own = at + np.flatnonzero(cls[part] < CLASSES)
-        if len(own):
-            c, w = cls[own], (codes[own] - 1) % WORDS
-            out[own] += _log_share(inner_logits(model, inner_rows(feats[:, own], c), c), w)
+    for start in range(0, len(codes), POSITIONS):
+        part = slice(start, start + POSITIONS)
+        at, _, child, z, _ = _decisions(model, feats[:, part], codes[part])
+        out[part] = -np.bincount(at, np.logaddexp(0, np.where(child == 1, -z, z)), len(codes[part]))
     return out
 
 
-def _add_rows(to: np.ndarray, rows: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """g summed by row, for each of several lists of rows at once, as large as `to`."""
-    k = g.shape[1]
-    at = (rows[:, :, None] * k + np.arange(k)).ravel()
-    return np.bincount(at, np.broadcast_to(g, (len(rows), *g.shape)).ravel(), to.size).reshape(to.shape)
-
-
 def gradient_steps(model: Model, feats: np.ndarray, codes: np.ndarray, memory: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
     """One pass over examples, in batches; step sizes shrink with each weight's own squared gradients (`memory`)."""
-    m = model.modelled
-    for at in range(0, len(codes), BATCH):
-        f, code = feats[:, at : at + BATCH], codes[at : at + BATCH]
-        cls = np.where((code >= 1) & (code <= m), (code - 1) // WORDS, CLASSES)
-        g = _softmax(class_logits(model, f))
-        g[np.arange(len(cls)), cls] -= 1
-        whole = _add_rows(model.classes, f, g)
-        whole[ROWS] = g.sum(axis=0)
-        _step(model.classes, whole, len(code), memory[0], rate)
-        own = np.flatnonzero(cls < CLASSES)
-        if len(own):
-            c, w = cls[own], (code[own] - 1) % WORDS
-            rows = inner_rows(f[:, own], c)
-            g = _softmax(inner_logits(model, rows, c))
-            g[np.arange(len(own)), w] -= 1
-            _step(model.inner, _add_rows(model.inner, np.concatenate([rows, ROWS + c[None]]), g), len(code), memory[1], rate)
-
-
-def _step(weights: np.ndarray, g: np.ndarray, n: int, memory: np.ndarray, rate: float) -> None:
-    hit = np.flatnonzero(g.any(axis=1))  # rows that no example had stay as they are
-    g = (g[hit] / n).astype(np.float32)
-    memory[hit] += g * g
-    weights[hit] -= rate * g / (np.sqrt(memory[hit]) + np.float32(1e-4))
+    total = np.zeros_like(model.classes)
+    for start in range(0, len(codes), BATCH):
+        _, node, child, z, places = _decisions(model, feats[:, start : start + BATCH], codes[start : start + BATCH])
+        g = 1 / (1 + np.exp(-z)) - child.astype(np.float32)
+        whole = np.bincount(node, g, len(model.inner)).astype(np.float32)
+        _step(model.inner, whole, np.flatnonzero(whole), memory[1], rate)
+        hit = places.ravel()
+        np.add.at(total, hit, np.tile(g, len(places)))
+        _step(model.classes, total, hit, memory[0], rate)
+        total[hit] = 0
+
+
+def _step(weights: np.ndarray, g: np.ndarray, hit: np.ndarray, memory: np.ndarray, rate: float) -> None:
+    """A step of the weights at the places `hit`; a place that is named twice is still moved once."""
+    g = g[hit]
+    seen = memory[hit] + g * g
+    moved = weights[hit] - np.float32(rate) * g / np.sqrt(seen + np.float32(EASE))
+    memory[hit], weights[hit] = seen, moved
 
 
 def examples(docs: DataFrame, words) -> DataFrame:
-    """Hashed features and codes of one position in STRIDE of every text, a row for each slice of texts."""
-    schema = "f binary, code binary, n int"
+    """Codes of all words of every text, and the texts' numbers of words, a row for each slice of texts."""
+    schema = "code binary, size binary"
     arrow = to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +212,8 @@ def examples(docs: DataFrame, words) -> DataFrame:
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, SLICE):
-                texts = [words_of(t) for t in batch.column(1).slice(at, SLICE).to_pylist()]
-                codes, starts = _codes(texts, code_of)
-                f = features(codes, starts)
-                # Which positions: by a hash of the words about them, so each text has its own.
-                pick = np.flatnonzero((f.sum(axis=0) + codes + np.arange(len(codes))) % STRIDE == 0)
-                top = CLASSES * WORDS + 1  # all codes beyond the classes are one to the softmaxes
-                out.append((f[:, pick].astype("<u2").tobytes(), np.minimum(codes[pick], top).astype("<u2").tobytes(), len(pick)))
+                codes, starts = _codes([words_of(t) for t in batch.column(1).slice(at, SLICE).to_pylist()], code_of)
+                out.append((codes.astype("<u4").tobytes(), np.diff(np.append(starts, len(codes))).astype("<u4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -251,27 +236,32 @@ def train(data: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = sent.value
-            mine = Model(m.words[: CLASSES * WORDS], m.counts, m.total, m.kinds, m.classes.copy(), m.inner.copy())
+            mine = Model(m.words, m.counts, m.total, m.kinds, m.classes.copy(), m.inner.copy(), m.up)
             memory, seen = (np.zeros_like(mine.classes), np.zeros_like(mine.inner)), 0
             for batch in batches:
-                for f, code, n in zip(batch["f"], batch["code"], batch["n"], strict=True):
-                    gradient_steps(mine, np.frombuffer(f, "<u2").reshape(FEATURES, -1).astype(np.int64), np.frombuffer(code, "<u2").astype(np.int64), memory, rate)
-                    seen += n
+                for code, size in zip(batch["code"], batch["size"], strict=True):
+                    codes, sizes = np.frombuffer(code, "<u4").astype(np.int64), np.frombuffer(size, "<u4").astype(np.int64)
+                    gradient_steps(mine, features(codes, np.cumsum(sizes) - sizes), codes, memory, rate)
+                    seen += len(codes)
             if seen:
-                flat = np.concatenate([mine.classes.ravel(), mine.inner.ravel()])
-                yield pd.DataFrame({"block": range(BLOCKS), "seen": seen, "w": [p.astype("<f4").tobytes() for p in np.array_split(flat, BLOCKS)]})
+                flat, mass = np.concatenate([mine.classes, mine.inner]), np.concatenate(memory)
+                for block, at in enumerate(range(0, len(flat), BLOCK)):
+                    yield pd.DataFrame({"block": [block], "w": [flat[at : at + BLOCK].astype("<f4").tobytes()], "mass": [mass[at : at + BLOCK].astype("<f4").tobytes()]})
 
         def average(group: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w, "<f4").astype(float) * n for w, n in zip(group["w"], group["seen"], strict=True)) / group["seen"].sum()
+            w, mass = (np.stack([np.frombuffer(x, "<f4") for x in group[c]]) for c in ("w", "mass"))
+            whole = mass.sum(axis=0, dtype=float)
+            total = np.where(whole > 0, (w * mass).sum(axis=0, dtype=float) / np.where(whole > 0, whole, 1), w[0])
             return pd.DataFrame({"block": [group["block"].iloc[0]], "w": [total.astype("<f4").tobytes()]})
 
         # Tasks' tables are averaged block by block: a group is one block from each of at most TASKS tasks.
-        got = {r.block: np.frombuffer(r.w, "<f4") for r in data.mapInPandas(run, "block int, seen long, w binary").groupBy("block").applyInPandas(average, "block int, w binary").collect()}
+        got = {r.block: np.frombuffer(r.w, "<f4") for r in data.mapInPandas(run, "block int, w binary, mass binary").groupBy("block").applyInPandas(average, "block int, w binary").collect()}
+        sent.unpersist()
         if not got:
             return
-        flat = np.concatenate([got[b] for b in range(BLOCKS)])
-        k = model.classes.size
-        model.classes, model.inner = flat[:k].reshape(model.classes.shape).copy(), flat[k:].reshape(model.inner.shape).copy()
+        flat = np.concatenate([got[b] for b in range(len(got))])
+        k = len(model.classes)
+        model.classes, model.inner = flat[:k].copy(), flat[k:].copy()
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -295,8 +285,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             known = codes <= head
             log_c = np.where(known, logs[np.where(known, codes, 0)], 0.0)
             model_part = log_prob(m, codes, features(codes, starts)) / np.log(10)
-            # Outside the classes a word's share is (c + 1) / rest; c of words outside the head is joined later.
-            model_part += np.where(codes > top, log_c - rest, 0.0)
+            # At the last leaf a word's share is (c + 1) / rest; c is joined later.
+            model_part -= np.where(codes > top, rest, 0.0)
             tail = []
             ends = np.append(starts[1:], len(codes))
             for words, a, b in zip(split, starts, ends, strict=True):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from draftmill.llm import maxent, pii
 from draftmill.llm.queries import op3_pii, op10_lm_scoring
@@ -120,3 +121,30 @@ def test_model_sums_to_one_and_its_gradient_descends():
     known = p[top] * (counts[top:] + 1).sum() / 10**m.rest  # words of the last class with a count
     unknown = p[top] * (10**m.rest - (counts[top:] + 1).sum()) / 10**m.rest
     assert abs(p[:top].sum() + known + unknown - 1) < 1e-4
+
+
+def test_lm_trains_on_every_position(spark):
+    texts = {i: f"w{i} w{i + 1}  w{i}" for i in range(50)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    words = spark.sparkContext.broadcast([b"\n"] + [b"w%d" % i for i in range(51)])
+    rows = maxent.examples(docs, words).collect()
+    sizes = np.concatenate([np.frombuffer(r["size"], "<u4") for r in rows])
+    codes = np.concatenate([np.frombuffer(r["code"], "<u4") for r in rows])
+    assert list(sizes) == [4] * 50 and sorted(codes) == sorted(c for i in range(50) for c in (i + 2, i + 3, i + 2, 1))
+
+
+def test_lm_learns_contexts_of_words_beyond_the_most_frequent(spark):
+    k = 3000  # pairs (a, b): b comes after its a alone, both are as rare as all others
+    rng = np.random.default_rng(4)
+    order = np.concatenate([rng.permutation(k) for _ in range(12)])
+    rows = [(i, " ".join(f"a{j} b{j}" for j in order[i * 30 : i * 30 + 30])) for i in range(k * 12 // 30)]
+    scores = maxent.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), learn=F.lit(True)).collect()
+    gain = sum(r.score - r.base_score for r in scores) / (k * 12)
+    assert gain > 0.5  # a factor of three for each pair; classes of frequent words alone give 0.02
+    assert maxent.Model([], np.zeros(0, np.int64), 0, 0).modelled == 0
+    sizes = []
+    for kinds in (1 << 10, 1 << 14):  # the table of weights grows with the vocabulary
+        m = maxent.Model([b"a"], np.ones(1, np.int64), kinds, kinds)
+        m.start()
+        sizes.append(len(m.classes))
+    assert sizes[1] == 16 * sizes[0]
