@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,15 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_paths: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage is cut, and a lost executor costs no more than
     the tasks it was running."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/draftmill/{name}-{uuid.uuid4().hex}"
+    if _paths:
+        _paths[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession):
+    """Tables that are staged within are removed at the end; what is read from them must have been written by then."""
+    _paths.append([])
+    try:
+        yield
+    finally:
+        for path in _paths.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

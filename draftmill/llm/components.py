@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each round is one Spark job whose result is written to the shared folder; nothing but one row with a count and a checksum comes to the
-driver. A hub with very many neighbours is reduced by a partial minimum, and the join that hands the minimum back has one
-row per node on its other side, so adaptive execution can split it.
+driver. A hub with very many neighbours is reduced by a partial minimum, which is written out before the join that hands it back: that
+join has an exchange of its own on either side, so adaptive execution can split a hub.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from .common import staged
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -35,5 +35,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
-        now = staged(_small_star(_large_star(now)), "edges")
+        now = staged(_small_star(staged(_large_star(now), "edges")), "edges")
     raise RuntimeError(f"no fixed point after {rounds} rounds")

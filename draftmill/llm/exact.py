@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,17 +123,42 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return alone.unionByName(found)
 
 
+def text_hash(text: str) -> int:
+    """What Spark's xxhash64 gives for the text, as a signed number."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as `doc`, with id, th (the hash of the text) and k (the hash of both)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(whole, F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("th")).withColumn("k", F.xxhash64("id", "th"))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, but for those that `gone` (id, th, all) names by doc_id and hash of the text; where `all` is
+    false one of several equal rows stays. A Bloom filter lets nearly all other rows pass without a shuffle."""
+    full = _keyed(docs)
+    named = gone.withColumn("k", F.xxhash64("id", "th"))
+    marked = full.withColumn("maybe", possibly_in(full, hit_cells(named, "k", times=1), "k"))
+    sent = named.select(F.col("id").alias("gone_id"), "k", "all")
+    both = marked.filter("maybe").drop("maybe").join(sent, (sent["k"] == full["k"]) & sent["gone_id"].eqNullSafe(full["id"]), "left").drop(sent["k"])
+    one = both.filter("not all").groupBy("k", "id").agg(F.first("doc").alias("doc"))
+    return marked.filter("not maybe").select("doc.*").unionByName(both.filter("all is null").select("doc.*")).unionByName(one.select("doc.*"))
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that can't be repeated pass straight through; only the
-    others are shuffled with their texts, by SHA-256."""
+    """The rows of docs that stay, with all their columns. Only texts that are possibly repeated get a SHA-256; texts are shuffled only
+    where the row goes."""
     text = text_of()
-    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", normal_sha(text).alias("sha"), F.length(text).cast("long").alias("n_chars")).withColumn("h", F.xxhash64("sha"))
-    keys = staged(full.select("doc_id", "sha", "n_chars", "h", F.lit(0).alias("row")), "exact-keys")
-    twice = hit_cells(keys)
-    marked = full.withColumn("maybe", possibly_in(full, twice, "h"))
-    groups = _staged_groups(keys.filter(possibly_in(keys, twice, "h"))).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
-    dup = marked.filter("maybe").join(groups, "sha", "left")
-    single = dup.filter("a is null").select("doc.*")
-    # Only rows equal in id, length and text are still several here; one of them stays.
-    stay = dup.filter(F.col("a").isNotNull() & (F.col("a") == -F.col("n_chars")) & F.col("c").eqNullSafe(F.col("doc_id"))).groupBy("sha").agg(F.first("doc").alias("doc")).select("doc.*")
-    return marked.filter("not maybe").select("doc.*").unionByName(single).unionByName(stay)
+    keys = staged(docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.translate(text, WHITE, "")).alias("h")), "exact-keys")
+    again = keys.filter(possibly_in(keys, hit_cells(keys), "h")).withColumn("k", F.xxhash64("id", "th"))
+    full = _keyed(docs)
+    some = full.filter(possibly_in(full, hit_cells(again, "k", times=1), "k")).select("id", "th", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
+    dup = staged(some.select(F.col("id").alias("doc_id"), "th", normal_sha(F.col("text")).alias("sha"), F.length("text").cast("long").alias("n_chars"), F.lit(0).alias("row")), "exact-copies")
+    groups = _staged_groups(dup).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
+    inside = dup.join(groups, "sha")
+    stays = (F.col("a") == -F.col("n_chars")) & F.col("c").eqNullSafe(F.col("doc_id"))
+    # Rows that stay are named only where several are equal in doc_id and text.
+    gone = inside.groupBy(F.col("doc_id").alias("id"), "th").agg(F.first(~stays).alias("all"), F.count("*").alias("n")).filter("all or n > 1").drop("n")
+    return drop_rows(docs, staged(gone, "exact-gone"))

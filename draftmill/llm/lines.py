@@ -52,7 +52,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(_windows(lines)).alias("w")).filter("w is not null")
     windows = staged(found.select("doc_id", "h", "w.*"), "line-windows")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("h").alias("c"), F.col("at").alias("d"))
-    first = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    # Written out, so that the join has an exchange of its own on either side and adaptive execution can split a hot window.
+    first = staged(windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "first-places")
     later = windows.join(first, ["k1", "k2"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "h").agg(F.collect_set("at").alias("starts"))
 

@@ -1,17 +1,23 @@
-"""Near-dedup of lightly edited texts by an exact join on five-word shingles: prefix filtering finds every candidate, whole sets judge them.
+"""Near-dedup of edited texts: covering tables choose the candidates, whole sets of five-word shingles judge them.
 
-A text is the set of 64-bit hashes of its five-word shingles; texts with equal sets are folded into one node. All shingles have one fixed
-order. If two sets have a Jaccard similarity of t or more, the first n - ceil(t n) + 1 of either one's n shingles, its prefix, hold a common
-shingle. So the buckets of equal prefix shingles hold every pair of the promised similarity, whatever was edited: no pair is missed.
-The order puts shingles that are frequent in a sample of the texts last, then goes by hash; the sample bears on the buckets' sizes alone.
+A text is the set of hashes of its five-word shingles; texts with equal sets are folded into one node. Two texts are linked if the Jaccard
+similarity of their sets is `similar` (0.8) or more. Candidates come from two kinds of print, both under covering masks (`simhash.tables`):
 
-Links are judged by the sizes of whole sets and of their intersection. First each node is held against the least node it meets; then against the
-least nodes of its other buckets, where they are not yet joined. What is left are buckets of three or more that hold several components:
-only there all pairs of different components are searched. A bucket of up to LIMIT nodes is searched in one task; a larger one is cut
-into groups of that size, and each pair of groups is searched by a task of its own, so no task holds more than two groups and no link is lost.
+  sign bits    the 64-bit SimHash of the shingles, in the 31 tables of radius 4 of `simhash`;
+  least hashes PRINTS prints of 8 places, each the least of a hash function over the set. Two sets agree in a place with the probability of
+               their similarity. 14 tables of radius 3 look at 4 places each, such that any 3 differing places miss one of them.
 
-Defined results: texts without words are alike. Texts of under five words have one shingle, the whole sequence. Rows that share a doc_id
-stay or go together; rows without one stay. No rows in, no rows out.
+Sign bits alone can't keep the promise: at a similarity of 0.8, some 10 of the 64 bits differ. Of the least hashes, a print of 8 has at most 3
+differing places with probability 0.944 at that similarity, and all three prints fail with probability 0.0001, whatever was edited.
+
+The buckets' least members are summed up before their shuffle. Each node is held against the least node it meets; then against the least nodes
+of its other buckets, where they are not yet joined. What is left are buckets that still hold several components: there the nodes
+outside the bucket's largest component, LIMIT at a time, are held against all others. Rows are sent once for each such step (those
+held, once for each LIMIT rows that pass by), so the work sent grows with the members of a bucket, not with their pairs; a task
+holds at most some 2 x LIMIT sets. Only texts that share a bucket are read again for their sets.
+
+Defined results: null counts as empty. Texts without words are alike. Texts of under five words have one shingle, the whole sequence. A row is known by
+its doc_id and text: rows equal in both stay or go together. A null doc_id comes after all others. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -27,10 +33,21 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, staged
 from .components import components
+from .exact import drop_rows, hit_cells, possibly_in, text_hash
+from .simhash import majority, masks, tables
 
-WORDS, BINS, SIMILAR, LIMIT = 5, 256, 0.8, 2048
-SAMPLE, OFTEN, FREQUENT = 8192, 3, 1 << 17  # texts of the sample; places there from which a shingle is frequent; frequent shingles at most
+WORDS, SIMILAR, LIMIT, RADIUS = 5, 0.8, 1024, 4
+PRINTS, PLACES, CHUNK = 3, 8, 8192
 _ODD = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+_EACH = np.random.default_rng(1).integers(1, 2**63, (PRINTS * PLACES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_BLOCKS = np.array([t for t in tables([8 + i for i in range(PLACES)], 3) if len(t) < PLACES])  # the table of all places only meets equal prints
+_MASKS = np.array(masks(RADIUS), np.uint64)
+_TABLE = np.random.default_rng(2).integers(1, 2**63, len(_MASKS) + PRINTS * len(_BLOCKS), np.uint64)
+
+
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
+    return x ^ (x >> np.uint64(32))
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -39,52 +56,35 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
         out += h[i : len(h) - k + 1 + i] * _ODD[i]
-    out ^= out >> np.uint64(29)
-    out *= _ODD[1]
-    return out ^ (out >> np.uint64(32))
+    return _stir(out)
 
 
-def sketch(text: str) -> tuple[int, bytes]:
-    """The fingerprint, and for each bin one byte of the least hash of a shingle in it (0: none)."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0, bytes(BINS)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    pairs = np.unique(_mixed(h, 2))
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(pairs), 1 << 16):
-        total += np.unpackbits(pairs[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    fp = int.from_bytes(np.packbits(2 * total > len(pairs)).tobytes(), "big")
-    s = np.sort(_mixed(h, WORDS))  # by bin (the upper bits), then by the rest
-    bins = (s >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    sig = np.zeros(BINS, np.uint8)
-    sig[bins[first]] = (s[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return fp, sig.tobytes()
-
-
-def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarities from sketches, corrected for bytes that agree by chance; 1 where both are empty."""
-    some = ((many != 0) | (one != 0)).sum(axis=1)
-    same = ((many == one) & (many != 0)).sum(axis=1)
-    share = same / np.maximum(some, 1)
-    return np.where(some == 0, 1.0, (share - 1 / 255) / (1 - 1 / 255))
-
-
-def shingles(text: str) -> np.ndarray:
-    """The distinct hashes of the text's shingles, in order."""
+def hashes(text: str) -> np.ndarray:
+    """Of each shingle a hash, with repeats."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    return np.unique(_mixed(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), WORDS))
+    return _mixed(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), WORDS) if w else np.zeros(0, np.uint64)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, similar: float) -> np.ndarray:
-    """The shingles of which sets with this similarity share one. `frequent` is in order."""
-    if len(frequent) and len(s):
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate([s[~often], s[often]])
-    return s[: len(s) - int(np.ceil(similar * len(s) - 1e-9)) + 1]
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The set of shingles, in order, as 32-bit numbers: in sets of 20,000, chance moves a similarity by less than 0.00001."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
+def name_of(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes())
+
+
+def bucket_keys(h: np.ndarray) -> np.ndarray:
+    """The text's bucket in each table; none without words."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    signs = _MASKS & np.uint64(majority(h))
+    least = np.full(PRINTS * PLACES, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), CHUNK):
+        x = h[at : at + CHUNK] * _EACH
+        least = np.minimum(least, ((x ^ (x >> np.uint64(31))) * _ODD[0]).min(axis=1))
+    places = least.reshape(PRINTS, PLACES)[:, _BLOCKS] * _ODD[: _BLOCKS.shape[1]]
+    return _stir(_stir(np.concatenate([signs, places.sum(axis=2).ravel()])) + _TABLE)
 
 
 def alike(one: np.ndarray, owner: np.ndarray, each: np.ndarray, sizes: np.ndarray, similar: float) -> np.ndarray:
@@ -96,72 +96,73 @@ def alike(one: np.ndarray, owner: np.ndarray, each: np.ndarray, sizes: np.ndarra
     return both >= similar * (len(one) + sizes - both) - 1e-9
 
 
-def cross_links(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    """Links between different components, each node held against those after it."""
-    sizes = np.array([len(s) for s in sets])
-    owner, each, ends = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), np.cumsum(sizes)
+def cross_links(held: list[tuple], rest: list[tuple], similar: float) -> list[tuple[int, int]]:
+    """Links of each held node with those held after it and with the rest, where they are of different components. A node is (node, root, set)."""
+    every = held + rest
+    roots, sizes = np.array([r for _, r, _ in every]), np.array([len(s) for _, _, s in every])
+    owner, each, ends = np.repeat(np.arange(len(every)), sizes), np.concatenate([s for _, _, s in every]), np.cumsum(sizes)
     out = []
-    for i in range(len(sets) - 1):
+    for i, (node, root, own) in enumerate(held):
         # Sets whose sizes alone rule it out, and those of its own component, need no look.
-        fit = (roots[i + 1 :] != roots[i]) & (sizes[i + 1 :] >= similar * sizes[i] - 1e-9) & (sizes[i] >= similar * sizes[i + 1 :] - 1e-9)
+        fit = (roots[i + 1 :] != root) & (sizes[i + 1 :] >= similar * sizes[i] - 1e-9) & (sizes[i] >= similar * sizes[i + 1 :] - 1e-9)
         if fit.any():
-            rest = each[ends[i] :], owner[ends[i] :] - i - 1
-            hit = i + 1 + np.flatnonzero(fit & alike(sets[i], rest[1], rest[0], sizes[i + 1 :], similar))
-            out += [(int(nodes[i]), int(nodes[x])) for x in hit]
+            hit = i + 1 + np.flatnonzero(fit & alike(own, owner[ends[i] :] - i - 1, each[ends[i] :], sizes[i + 1 :], similar))
+            out += [(node, every[x][0]) for x in hit]
     return out
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-
-    def per_task():
-        return lambda ids, found: {"s": [shingles(t).view(np.int64) for t in found]}
-
-    each = map_texts(some, per_task, "s array<long>").select(F.explode("s").alias("h"))
-    top = each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    return np.sort(top.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
-
-
 def near_copies(docs: DataFrame, similar: float = SIMILAR, limit: int = LIMIT) -> DataFrame:
-    """Per row: doc_id, component_id (the smallest doc_id that it reaches over links, itself included)."""
+    """Per row: doc_id, th (hash of the text), component_id (the smallest doc_id that it reaches over links, itself included) and low_th (the least
+    hash of a text with that id in the component)."""
     rows, nodes, root = _linked(id_and_text(docs), similar, limit)
     whole = root.union(root.select("root", "root").distinct())
     lows = whole.join(nodes.select("node", "low"), "node")
-    names = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = lows.join(names, "root").select("node", "component_id")
-    of = nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    return rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+    names = lows.groupBy("root").agg(F.min("low").alias("least"))
+    linked = lows.join(names, "root").select("node", "least")
+    of = nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("least", "low").alias("least"))
+    return rows.select("doc_id", "th", "node").join(of, "node").select("doc_id", "th", F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("low_th"))
 
 
 def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their nodes, the nodes, and the components (node, root)."""
-    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
-    def per_task():
+    def prints():
         def work(ids, found):
-            sets = [shingles(t) for t in found]
+            each = [hashes(t) for t in found]
             return {
-                "node": pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
-                "head": [prefix(s, sent.value, similar).view(np.int64) for s in sets],
-                "s": [s.tobytes() for s in sets],
+                "th": [text_hash(t) for t in found],
+                "node": pa.array(np.array([name_of(shingles(h)) for h in each], np.uint64).view(np.int64)),
+                "keys": [bucket_keys(h).view(np.int64) for h in each],
             }
 
         return work
 
-    rows = staged(map_texts(texts, per_task, "node long, head array<long>, s binary"), "shingles")
-    nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("head").alias("head")), "shingle-nodes")
-    buckets = nodes.select("node", F.explode("head").alias("h"))
-    shared = buckets.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    members = staged(buckets.join(shared, "h"), "shared-shingles")
-    wanted = members.select("node").distinct()
-    sets = staged(rows.select("node", "s").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
+    rows = staged(map_texts(texts, prints, "th long, node long, keys array<long>"), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))).alias("low")
+    nodes = staged(rows.groupBy("node").agg(least), "nodes")
+    keys = rows.select("node", F.explode("keys").alias("h"))
+    shared = staged(keys.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("h", "least"), "shared-buckets")
+    members = staged(keys.filter(possibly_in(keys, hit_cells(shared, times=1), "h")).join(shared, "h"), "bucket-members")
+
+    # Sets, only of texts that share a bucket: a Bloom filter of their ids says which texts are read again.
+    wanted = staged(members.select("node").distinct().join(nodes, "node").select("node", F.xxhash64("low.doc_id").alias("k")), "wanted")
+    again = texts.withColumn("k", F.xxhash64("doc_id"))
+
+    def sets_of():
+        def work(ids, found):
+            each = [shingles(hashes(t)) for t in found]
+            return {"node": pa.array(np.array([name_of(s) for s in each], np.uint64).view(np.int64)), "s": [s.tobytes() for s in each]}
+
+        return work
+
+    found = map_texts(again.filter(possibly_in(again, hit_cells(wanted, "k", times=1), "k")).drop("k"), sets_of, "node long, s binary")
+    sets = staged(found.select("node", "s").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = []
             for a, b in zip(p["a"], p["b"], strict=True):
-                one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                one, two = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
                 ok.append(bool(alike(one, np.zeros(len(two), np.int64), two, np.array([len(two)]), similar)[0]))
             yield p.loc[np.array(ok, bool), ["u", "v"]]
 
@@ -169,34 +170,45 @@ def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, Da
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
         return both.select("u", "v", "a", "b").mapInPandas(judge, "u long, v long")
 
-    def rooted(found: DataFrame, root: DataFrame, *nodes: str) -> DataFrame:
-        for c in nodes:
-            found = found.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-        return found
+    def rooted(df: DataFrame, root: DataFrame, *names: str) -> DataFrame:
+        for c in names:
+            df = df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+        return df
 
     met = staged(members.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "met")
     links = staged(judged(met.groupBy("u").agg(F.min("v").alias("v"))), "links")
     root = components(links)
     links = links.union(staged(judged(rooted(met, root, "u", "v").filter("u_root <> v_root").select("u", "v")), "links"))
     root = components(links)
-    # Buckets of three or more with several components; those with the same nodes are one.
-    held = staged(rooted(members.filter("n > 2").select("h", "node", "n"), root, "node"), "held")
-    mixed = held.groupBy("h").agg(F.first("n").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x"), F.min("node_root").alias("lo"), F.max("node_root").alias("hi")).filter("lo < hi")
-    open_ = mixed.groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")).select("h")
-    groups = F.ceil(F.col("n") / limit).cast("int")
-    own = F.pmod(F.xxhash64("node"), groups).cast("int")
-    others = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(F.least(g, "own").alias("i"), F.greatest(g, "own").alias("j")))
-    dealt = held.join(open_, "h").withColumn("own", own).select("h", "node", "node_root", F.inline(others))
+
+    # Buckets of three or more that hold several components. Those with the same members are one.
+    inside = staged(rooted(members.select("h", "node").distinct(), root, "node"), "held")
+    open_ = inside.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x"), F.min("node_root").alias("lo"), F.max("node_root").alias("hi"))
+    open_ = staged(open_.filter("n > 2 and lo < hi").groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")).select("h"), "open-buckets")
+    sizes = inside.join(open_, "h").groupBy("h", "node_root").agg(F.count("*").alias("m"))
+    # groups: of what is outside the largest component; spread: tasks among which the members that pass by are dealt.
+    plan = sizes.groupBy("h").agg(F.max_by("node_root", F.struct("m", "node_root")).alias("large"), F.sum("m").alias("n"), F.max("m").alias("most"))
+    plan = staged(plan.select("h", "large", F.ceil((F.col("n") - F.col("most")) / limit).cast("int").alias("groups"), F.ceil(F.col("n") / limit).cast("int").alias("spread")), "plan")
+    group = F.when(F.col("node_root") == F.col("large"), F.col("groups")).otherwise(F.pmod(F.xxhash64("node"), "groups")).cast("int")
+    dealt = staged(inside.join(plan, "h").withColumn("group", group).drop("large"), "dealt")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = cross_links(group["node"].to_numpy(), group["node_root"].to_numpy(), [np.frombuffer(s, np.uint64) for s in group["s"]], similar)
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        each = [(n, r, np.frombuffer(s, np.uint32)) for n, r, s in zip(group["node"], group["node_root"], group["s"], strict=True)]
+        held = group["held"].to_numpy()
+        links = cross_links([x for x, y in zip(each, held, strict=True) if y], [x for x, y in zip(each, held, strict=True) if not y], similar)
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    rest = staged(dealt.join(sets, "node").groupBy("h", "i", "j").applyInPandas(search, "u long, v long"), "links")
-    return rows, nodes, components(links.union(rest)) if rest.limit(1).count() else root
+    for step in range(plan.agg(F.coalesce(F.max("groups"), F.lit(0))).first()[0]):
+        at = dealt.filter((F.col("groups") > step) & (F.col("group") >= step)).withColumn("held", F.col("group") == step)
+        spots = F.when(F.col("held"), F.sequence(F.lit(0), F.col("spread") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "h"), "spread").cast("int")))
+        sent = at.select("h", "node", "node_root", "held", F.explode(spots).alias("spot")).join(sets, "node")
+        links = links.union(staged(sent.groupBy("h", "spot").applyInPandas(search, "u long, v long"), "links"))
+        root = None
+    return rows, nodes, root or components(links)
 
 
 def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id."""
-    gone = near_copies(docs, similar).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of docs that stay: of each component those with the smallest doc_id."""
+    low = F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("low_th") == F.col("th"))
+    gone = near_copies(docs, similar).filter(~low).select(F.col("doc_id").alias("id"), "th", F.lit(True).alias("all")).distinct()
+    return drop_rows(docs, staged(gone, "near-gone"))

@@ -12,6 +12,9 @@ if some point is within 2 bits of both, so each is written to the points around
 500) and the at most 500 fingerprints that meet in a point are linked to the least of them. Links are exact in all three.
 The components of the link graph are found by `components`.
 
+The buckets' sizes and least members are summed up before their shuffle and written out; a Bloom filter of the shared buckets then
+keeps the rows of all others from being shuffled again, and adaptive execution can split the join of a hot one.
+
 Defined results: null and empty texts, and texts of white space, have the fingerprint zero and link like any other;
 texts of fewer words than a shingle have one shingle, the whole sequence. A null doc_id never names a component unless it
 has no other. Repeated rows get equal results. No rows in, no rows out. Other columns play no part in it.
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, staged
 from .components import components
+from .exact import hit_cells, possibly_in
 
 LIMIT = 4096
 
@@ -41,7 +45,11 @@ def fingerprint(text: str, words: int) -> int:
     if not w:
         return 0
     joined = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), joined), np.uint64)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), joined), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         total += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -57,9 +65,15 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return map_texts(id_and_text(docs), per_task, "fp long")
 
 
+def tables(vectors: list[int], radius: int) -> list[list[int]]:
+    """Of each table the places that it looks at. vectors: one of radius + 1 bits for each place of a print."""
+    return [[i for i, m in enumerate(vectors) if (m & v).bit_count() % 2] for v in range(1, 2 ** (radius + 1))]
+
+
 def masks(radius: int) -> list[int]:
+    """The tables over the 64 bits of a fingerprint, as masks."""
     vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(64)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+    return [sum(1 << i for i in places) for places in tables(vectors, radius)]
 
 
 def _signed(x: int) -> int:
@@ -91,7 +105,10 @@ def links(fps: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
     shared = staged(shared, "buckets")
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
     twos = shared.filter((F.col("n") == 2) & near).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    members = buckets.join(shared.filter("n > 2").select("t", "key", "n"), ["t", "key"])
+    # Most buckets hold one fingerprint. A Bloom filter of the others keeps their rows from a second shuffle.
+    full = shared.filter("n > 2").select("t", "key", "n").withColumn("h", F.xxhash64("t", "key"))
+    hashed = buckets.withColumn("h", F.xxhash64("t", "key"))
+    members = hashed.filter(possibly_in(hashed, hit_cells(full, times=1), "h")).drop("h").join(full.drop("h"), ["t", "key"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(group["fp"].to_numpy(), radius), columns=["u", "v"], dtype="int64")
@@ -129,5 +146,5 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, limit: int
 def drop_near_copies(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest doc_id. Only ids are shuffled for the decision;
     the ids to drop then leave the texts by an anti join. Rows that share a doc_id go or stay together; rows without one stay."""
-    gone = near_duplicates(docs, words, radius).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    gone = near_duplicates(docs, words, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

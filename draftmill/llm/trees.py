@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 One pass over the texts computes the statistics of every document. The trees are fitted on labelled documents: on all of them up to
-MAX_ROWS, beyond that on those with the least hashes of their ids (a documented bound; the fit takes a second or two). Statistics are cut into at
+MAX_ROWS, beyond that on a part chosen by a hash of their ids (a documented bound; the fit takes a second or two). Statistics are cut into at
 most BINS bins, a split is the best cut of a histogram of gradients, and every tree is complete to its depth. The forest is held as three
 arrays (features, thresholds, leaf values), so a batch of documents walks down all trees by numpy indexing: at each level, node = 2 node
 + 1 + (statistic > threshold).
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, id_and_text, map_texts, staged
+from .exact import drop_rows, text_hash
 
 MAX_ROWS, BINS, TREES, DEPTH, RATE = 30_000, 64, 60, 4, 0.15
 _UPPER, _DIGITS, _SYMBOLS, _MARKS, _STOPS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>=@_{}[]^~", b"!?", b".,;:"
@@ -102,18 +103,25 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, th (the hash of the text), x (its statistics)."""
+
     def per_task():
-        return lambda ids, texts: {"x": [statistics(t) for t in texts]}
+        return lambda ids, texts: {"th": [text_hash(t) for t in texts], "x": [statistics(t) for t in texts]}
 
-    return map_texts(id_and_text(docs), per_task, "x array<double>")
+    return map_texts(id_and_text(docs), per_task, "th long, x array<double>")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Per row: doc_id, score. learn: which labelled rows may be learned from; by default those outside the held-out fold."""
+    """Per row: doc_id, th (the hash of the text), score. learn: which labelled rows may be learned from; by default those outside the
+    held-out fold."""
     learn = crc_mod("doc_id", 5) != 0 if learn is None else learn
     stats = staged(document_statistics(docs), "document-statistics")
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    rows = stats.join(marks.filter(learn), "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "y").collect()
+    labelled = staged(stats.join(marks.filter(learn), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "x", "y"), "labelled-documents")
+    # The bound is put on hashes before anything is sorted: no task sends more rows than it has below the limit.
+    n = labelled.count()
+    few = labelled.filter(F.shiftrightunsigned("h", 32) < int(2**32 * min(1.0, (max_rows + 4 * math.sqrt(max_rows)) / max(n, 1)))) if n > max_rows else labelled
+    rows = few.orderBy("h", "doc_id").limit(max_rows).select("x", "y").collect()
     forest = fit(np.array([r.x for r in rows], float).reshape(len(rows), len(statistics(""))), np.array([r.y for r in rows], float))
     kind = stats.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(forest)
@@ -121,15 +129,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["score"] = shared.value.score(np.stack(batch["x"].to_list())) if len(batch) else 0.0
-            yield batch[["doc_id", "score"]]
+            yield batch[["doc_id", "th", "score"]]
 
     # An id that is null or beyond 2^53 would not survive pandas as it is: it goes as text.
-    texts = stats.select(F.col("doc_id").cast("string").alias("doc_id"), "x").mapInPandas(score, "doc_id string, score double")
-    return texts.select(F.col("doc_id").cast(kind).alias("doc_id"), "score")
+    texts = stats.select(F.col("doc_id").cast("string").alias("doc_id"), "th", "x").mapInPandas(score, "doc_id string, th long, score double")
+    return texts.select(F.col("doc_id").cast(kind).alias("doc_id"), "th", "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all columns, but for those whose score is below the threshold. Rows that share a doc_id go if all of their
-    scores are below it; rows without a doc_id stay."""
-    bad = quality_scores(docs, labels).groupBy("doc_id").agg(F.max("score").alias("__score")).filter((F.col("__score") < threshold) & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of docs, with all columns, but for those whose score is below the threshold."""
+    bad = quality_scores(docs, labels).filter(F.col("score") < threshold).select(F.col("doc_id").alias("id"), "th", F.lit(True).alias("all")).distinct()
+    return drop_rows(docs, staged(bad, "rejected"))
