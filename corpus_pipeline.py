@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftmill.llm.common import shared_dir, table
+from draftmill.llm.common import cleared, shared_dir, table
 from draftmill.llm.exact import drop_exact_copies
 from draftmill.llm.mixing import mix_rows, mix_spans
 from draftmill.llm.packing import pack
@@ -30,7 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays. Covering
+    tables over SimHash bits and over least hashes choose the candidates; whole sets judge them."""
     return drop_near_copies(docs)
 
 
@@ -52,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stages write for themselves is removed when they end; their results stay, as the rows of the last stage are read from them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/draftmill/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
