@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, staged, text_of
 
 MIN_CELLS, MAX_CELLS, PER_ROW, HASHES, SEGMENT = 1 << 16, 1 << 29, 16, 3, 1 << 16
+SMALL = 1 << 19  # hashes of a set that is broadcast as it is
 
 
 def normal_sha(text: Column) -> Column:
@@ -58,7 +59,7 @@ def hit_cells(keys: DataFrame, hash_col: str = "h", times: int = 2) -> np.ndarra
             c = np.sort(_cells(batch[hash_col].to_numpy(), cells), axis=0)
             held.append(np.concatenate([c[0], *(c[i][c[i] != c[i - 1]] for i in range(1, HASHES))]))
             rows += len(batch)
-            if rows >= 1_000_000:
+            if rows >= 250_000:
                 yield flush()
                 held, rows = [], 0
         if rows:
@@ -74,7 +75,7 @@ def hit_cells(keys: DataFrame, hash_col: str = "h", times: int = 2) -> np.ndarra
 
     merged = keys.select(hash_col).mapInPandas(hits, "segment long, once binary, again binary").groupBy("segment").applyInPandas(merge, "segment long, twice binary")
     twice = np.zeros(cells // 8, np.uint8)
-    for segment, part in merged.toLocalIterator():
+    for segment, part in merged.collect():  # MAX_CELLS bits at most
         twice[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(part, np.uint8)
     return twice
 
@@ -92,6 +93,14 @@ def possibly_in(df: DataFrame, twice: np.ndarray, hash_col: str) -> Column:
     return test(F.col(hash_col))
 
 
+def in_set(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows of df whose `col` (a hash) is in `keys` (a table with that column), and perhaps a few more. A set of SMALL hashes at most is broadcast; a
+    larger one goes as a Bloom filter, whose size is bounded."""
+    if keys.limit(SMALL + 1).count() <= SMALL:
+        return df.join(F.broadcast(keys.select(col).distinct()), col, "left_semi")
+    return df.filter(possibly_in(df, hit_cells(keys, col, times=1), col))
+
+
 def _groups(dup: DataFrame) -> DataFrame:
     """One row a text: how often it occurs and which row stays. Counts are summed before the shuffle, so a text that fills a
     third of the table sends one row from each task."""
@@ -137,14 +146,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, but for those that `gone` (id, th, all) names by doc_id and hash of the text; where `all` is
-    false one of several equal rows stays. A Bloom filter lets nearly all other rows pass without a shuffle."""
+    false one of several equal rows stays. Few names are broadcast; of many a Bloom filter lets nearly all other rows pass without a shuffle."""
     full = _keyed(docs)
-    named = gone.withColumn("k", F.xxhash64("id", "th"))
-    marked = full.withColumn("maybe", possibly_in(full, hit_cells(named, "k", times=1), "k"))
-    sent = named.select(F.col("id").alias("gone_id"), "k", "all")
-    both = marked.filter("maybe").drop("maybe").join(sent, (sent["k"] == full["k"]) & sent["gone_id"].eqNullSafe(full["id"]), "left").drop(sent["k"])
-    one = both.filter("not all").groupBy("k", "id").agg(F.first("doc").alias("doc"))
-    return marked.filter("not maybe").select("doc.*").unionByName(both.filter("all is null").select("doc.*")).unionByName(one.select("doc.*"))
+    named = gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), "all", F.xxhash64("id", "th").alias("k"))
+    same = (F.col("k") == F.col("gone_k")) & F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th"))
+    sent = named.withColumnRenamed("k", "gone_k")
+    if named.limit(SMALL + 1).count() <= SMALL:
+        straight, both = None, full.join(F.broadcast(sent), same, "left")
+    else:
+        marked = full.withColumn("maybe", possibly_in(full, hit_cells(named, "k", times=1), "k"))
+        straight, both = marked.filter("not maybe").select("doc.*"), marked.filter("maybe").drop("maybe").join(sent, same, "left")
+    stay = both.filter("all is null").select("doc.*")
+    stay = stay if straight is None else straight.unionByName(stay)
+    if not named.filter("not all").limit(1).count():
+        return stay
+    return stay.unionByName(both.filter("not all").groupBy("k", "id").agg(F.first("doc").alias("doc")).select("doc.*"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
@@ -152,9 +168,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     where the row goes."""
     text = text_of()
     keys = staged(docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.translate(text, WHITE, "")).alias("h")), "exact-keys")
-    again = keys.filter(possibly_in(keys, hit_cells(keys), "h")).withColumn("k", F.xxhash64("id", "th"))
+    again = staged(keys.filter(possibly_in(keys, hit_cells(keys), "h")).select(F.xxhash64("id", "th").alias("k")), "exact-again")
     full = _keyed(docs)
-    some = full.filter(possibly_in(full, hit_cells(again, "k", times=1), "k")).select("id", "th", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
+    some = in_set(full, again, "k").select("id", "th", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
     dup = staged(some.select(F.col("id").alias("doc_id"), "th", normal_sha(F.col("text")).alias("sha"), F.length("text").cast("long").alias("n_chars"), F.lit(0).alias("row")), "exact-copies")
     groups = _staged_groups(dup).select("sha", F.col("best.a").alias("a"), F.col("best.c").alias("c"))
     inside = dup.join(groups, "sha")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, staged
 from .components import components
-from .exact import drop_rows, hit_cells, possibly_in, text_hash
+from .exact import drop_rows, in_set, text_hash
 from .simhash import majority, masks, tables
 
 WORDS, SIMILAR, LIMIT, RADIUS = 5, 0.8, 1024, 4
@@ -97,17 +97,21 @@ def alike(one: np.ndarray, owner: np.ndarray, each: np.ndarray, sizes: np.ndarra
 
 
 def cross_links(held: list[tuple], rest: list[tuple], similar: float) -> list[tuple[int, int]]:
-    """Links of each held node with those held after it and with the rest, where they are of different components. A node is (node, root, set)."""
+    """Links of each held node with those held after it and with the rest, where they are of different components still: a spanning forest. A node
+    is (node, root, set)."""
     every = held + rest
     roots, sizes = np.array([r for _, r, _ in every]), np.array([len(s) for _, _, s in every])
     owner, each, ends = np.repeat(np.arange(len(every)), sizes), np.concatenate([s for _, _, s in every]), np.cumsum(sizes)
     out = []
-    for i, (node, root, own) in enumerate(held):
+    for i, (node, _, own) in enumerate(held):
         # Sets whose sizes alone rule it out, and those of its own component, need no look.
-        fit = (roots[i + 1 :] != root) & (sizes[i + 1 :] >= similar * sizes[i] - 1e-9) & (sizes[i] >= similar * sizes[i + 1 :] - 1e-9)
+        fit = (roots[i + 1 :] != roots[i]) & (sizes[i + 1 :] >= similar * sizes[i] - 1e-9) & (sizes[i] >= similar * sizes[i + 1 :] - 1e-9)
         if fit.any():
             hit = i + 1 + np.flatnonzero(fit & alike(own, owner[ends[i] :] - i - 1, each[ends[i] :], sizes[i + 1 :], similar))
-            out += [(node, every[x][0]) for x in hit]
+            for x in hit:
+                if roots[x] != roots[i]:
+                    out.append((node, every[x][0]))
+                    roots[roots == roots[x]] = roots[i]
     return out
 
 
@@ -142,9 +146,9 @@ def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, Da
     nodes = staged(rows.groupBy("node").agg(least), "nodes")
     keys = rows.select("node", F.explode("keys").alias("h"))
     shared = staged(keys.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("h", "least"), "shared-buckets")
-    members = staged(keys.filter(possibly_in(keys, hit_cells(shared, times=1), "h")).join(shared, "h"), "bucket-members")
+    members = staged(in_set(keys, shared, "h").join(shared, "h"), "bucket-members")
 
-    # Sets, only of texts that share a bucket: a Bloom filter of their ids says which texts are read again.
+    # Sets, only of texts that share a bucket: their ids say which texts are read again.
     wanted = staged(members.select("node").distinct().join(nodes, "node").select("node", F.xxhash64("low.doc_id").alias("k")), "wanted")
     again = texts.withColumn("k", F.xxhash64("doc_id"))
 
@@ -155,7 +159,7 @@ def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, Da
 
         return work
 
-    found = map_texts(again.filter(possibly_in(again, hit_cells(wanted, "k", times=1), "k")).drop("k"), sets_of, "node long, s binary")
+    found = map_texts(in_set(again, wanted, "k").select("doc_id", "text"), sets_of, "node long, s binary")
     sets = staged(found.select("node", "s").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

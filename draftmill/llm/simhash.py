@@ -12,7 +12,7 @@ if some point is within 2 bits of both, so each is written to the points around
 500) and the at most 500 fingerprints that meet in a point are linked to the least of them. Links are exact in all three.
 The components of the link graph are found by `components`.
 
-The buckets' sizes and least members are summed up before their shuffle and written out; a Bloom filter of the shared buckets then
+The buckets' sizes and least members are summed up before their shuffle and written out; a set or a Bloom filter of the shared buckets then
 keeps the rows of all others from being shuffled again, and adaptive execution can split the join of a hot one.
 
 Defined results: null and empty texts, and texts of white space, have the fingerprint zero and link like any other;
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, staged
 from .components import components
-from .exact import hit_cells, possibly_in
+from .exact import in_set
 
 LIMIT = 4096
 
@@ -105,10 +105,9 @@ def links(fps: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
     shared = staged(shared, "buckets")
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
     twos = shared.filter((F.col("n") == 2) & near).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    # Most buckets hold one fingerprint. A Bloom filter of the others keeps their rows from a second shuffle.
+    # Most buckets hold one fingerprint. The hashes of the others keep their rows from a second shuffle.
     full = shared.filter("n > 2").select("t", "key", "n").withColumn("h", F.xxhash64("t", "key"))
-    hashed = buckets.withColumn("h", F.xxhash64("t", "key"))
-    members = hashed.filter(possibly_in(hashed, hit_cells(full, times=1), "h")).drop("h").join(full.drop("h"), ["t", "key"])
+    members = in_set(buckets.withColumn("h", F.xxhash64("t", "key")), full, "h").drop("h").join(full.drop("h"), ["t", "key"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest(group["fp"].to_numpy(), radius), columns=["u", "v"], dtype="int64")
