@@ -1,7 +1,7 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are lower-cased words and one end per text. Counts are taken over all training texts: each task sums its own and sends
-(word, n). The most frequent HEAD words are broadcast (a bounded table, about 4 MB); the other words of a text are joined to their counts by a
+(word, n). The most frequent words, HEAD at most, are broadcast (a bounded table, about 4 MB); the other words of a text are joined to their counts by a
 shuffle, summed per text, so no table grows on the driver.
 
 The model: the words of the head, and one leaf for all other words, are the leaves of a Huffman tree over their counts: nested classes. P(w | h) is
@@ -10,12 +10,12 @@ weight for each hashed pair of the node and a feature of the history h (the word
 before: n-grams and skips). At the last leaf a word's share is its smoothed count. So the probabilities of all words sum to one whatever the weights. The
 table of hashed weights has PER_KIND places for each distinct word, up to 2 ** MOST_BITS, where its bound is.
 
-Training: all positions of every training text are written as codes of words. In each round, tasks start from
-the broadcast weights, take gradient steps over their own examples in batches, and the weights are averaged, in blocks, by a
-shuffle; a weight counts by the sum of its squared gradients in a task, so that tasks which never met a pair don't pull its weight back. What a task
-sends is the table of weights, of a bounded size; there are TASKS training tasks at most.
+Training: one pass over all positions of every training text, in ROUNDS rounds, each over a slice of the texts. In a round, tasks start from
+the broadcast weights and take gradient steps over their own texts in batches: a weight moves by the sum of its gradients over its
+curvature. The tables that they end with are averaged, in blocks, by a shuffle; a weight counts by the curvature that it met in the task. A
+task sends a table of at most 17 MB for TOKENS positions, so what is sent is in proportion to the input, and there are more tasks on more input.
 
-Scoring takes a slice of documents at a time: one gather of the weights of all decisions.
+Scoring takes a slice of documents at a time: one sparse gather of the weights of all decisions.
 
 Defined results: null text counts as empty; it has one token, the end. Without training texts N and V are 0, every count is 0 and the model is
 the last leaf alone. Repeated rows get equal results, a null doc_id stays null (and counts as the text 'null' for the
@@ -25,10 +25,11 @@ split). Only doc_id and text are read, whatever other columns there are; no rows
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,11 @@ from .common import SLICE, crc_mod, id_and_text, map_texts, staged, to_arrow
 
 END = b"\n"  # no word holds white space
 HEAD, PER_KIND, LEAST_BITS, MOST_BITS = 1 << 17, 16, 12, 22
-COUNTED, ROUNDS, TASKS, BATCH, RATE, BLOCK = 1 << 18, 3, 256, 2048, 0.05, 1 << 15
-CACHED, POSITIONS = 150_000, 1 << 15  # words of a worker's cache; positions that are scored at a time
-EASE = 1.0  # what a weight counts as seen before its first gradient: first steps keep the size of their gradients
+COUNTED, ROUNDS, BATCH, RATE, BLOCK = 1 << 19, 2, 1 << 16, 0.3, 1 << 15
+TOKENS, FAN = 10_000_000, 64  # training tokens of a task; tasks whose tables are averaged in one step
+CACHED, POSITIONS = 150_000, 1 << 12  # words of a worker's cache; positions that are worked on at a time
+SCALE, SPARSE = 4096, 1 << 14
+EASE = 4.0  # curvature that a weight counts as met before its first example
 RARE = 1 << 16  # history codes of the words outside the head
 FEATURES = 4
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
@@ -79,6 +82,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame, head: int) -> DataFrame:
+    """The rows of (word, c) with the highest counts, head of them at most; those that tie at the border stay out. The border comes from
+    a histogram of counts (exact below 65,536, finer than a thousandth beyond), so no task sends more rows than are kept."""
+    exact = 1 << 16
+    level = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log2("c") * 1024)).cast("long")
+    total, border = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r.n
+        if total > head:
+            break
+        border = r.level
+    return counts.select("word", "c").filter(level >= border if border is not None else F.lit(False))
+
+
 @dataclass
 class Model:
     """What tasks need. Word i of the head has code i + 1, count counts[i]; code 0 stands before a text's first word."""
@@ -89,7 +106,9 @@ class Model:
     kinds: int  # V
     classes: np.ndarray | None = None  # weights of hashed pairs of a feature and a node
     inner: np.ndarray | None = None  # biases of the tree's inner nodes
-    up: np.ndarray | None = None  # of each node (leaves first, the last one for all other words): twice its parent, plus 1 for the second child
+    seen: np.ndarray | None = None  # of each weight the curvature that its steps have met so far (hashed pairs, then biases)
+    first: np.ndarray | None = None  # of each leaf (the last one for all other words) where its way starts in `way`, and the end
+    way: np.ndarray | None = None  # the decisions on the leaves' ways: twice the inner node, plus 1 for the second child
 
     @property
     def modelled(self) -> int:
@@ -113,24 +132,46 @@ class Model:
             up[i], up[j] = 2 * node, 2 * node + 1
             odds[node - m - 1] = k / n if n else 1.0
             heapq.heappush(heap, (n + k, node))
+        # All leaves go up one step at a time.
+        leaf, node, parts = np.arange(m + 1), np.arange(m + 1), []
+        while m:
+            leaf, node = leaf[node != 2 * m], node[node != 2 * m]
+            if not len(leaf):
+                break
+            step = up[node]
+            node = step >> 1
+            parts.append((leaf, 2 * (node - m - 1) + (step & 1)))
+        at = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        self.way = (np.concatenate([w for _, w in parts])[order] if parts else np.zeros(0)).astype(np.int32)
+        self.first = np.searchsorted(at[order], np.arange(m + 2))
         bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(PER_KIND * max(1, self.kinds))))))
-        self.up, self.inner, self.classes = up, np.log(odds).astype(np.float32), np.zeros(1 << bits, np.float32)
+        self.inner, self.classes = np.log(odds).astype(np.float32), np.zeros(1 << bits, np.float32)
+        self.seen = np.zeros(len(self.classes) + m, np.float32)
 
-    def ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The decisions on the ways to words' leaves: position, inner node, which child."""
+    def decisions(self, feats: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """On the ways to words' leaves: where each word's decisions start, and of each decision its inner node, child, log-odds of the second
+        child, and the places of its weights. The decisions of a word stand together."""
         m = self.modelled
-        node, at, root = np.where((codes >= 1) & (codes <= m), codes - 1, m), np.arange(len(codes)), 2 * m
-        out = []
-        while True:
-            stay = np.flatnonzero(node != root)
-            if not len(stay):
-                break
-            at, step = at[stay], self.up[node[stay]]
-            node = step >> 1
-            out.append((at, node - m - 1, step & 1))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+        leaf = np.where((codes >= 1) & (codes <= m), codes - 1, m)
+        low = self.first[leaf]
+        size = self.first[leaf + 1] - low
+        ends = np.cumsum(size)
+        step = self.way[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + size, size)]
+        node = step >> 1
+        salt = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        shift = np.uint32(33 - len(self.classes).bit_length())
+        places = np.empty((len(feats), len(step)), np.int64)
+        z = self.inner[node]
+        for k, f in enumerate(feats):
+            h = np.repeat(f, size)
+            h ^= salt
+            h *= np.uint32(0x85EBCA77)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0xC2B2AE3D)
+            places[k] = h >> shift
+            z += self.classes[places[k]]
+        return ends - size, node, step & 1, z, places
 
 
 def coder(words: list[bytes]) -> Memo:
@@ -155,69 +196,52 @@ def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(32)).astype(np.uint32)
 
 
-def _decisions(model: Model, feats: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each decision its position, node, child and log-odds of the second child; and the places of its weights."""
-    at, node, child = model.ways(codes)
-    h = feats[:, at] + node.astype(np.uint32) * np.uint32(0x9E3779B1)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA77)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE3D)
-    places = (h >> np.uint32(33 - len(model.classes).bit_length())).astype(np.int64)
-    z = model.inner[node]
-    for p in places:
-        z += model.classes[p]
-    return at, node, child, z, places
-
-
 def log_prob(model: Model, codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
     """Natural log of P(w | h), and of P(last leaf | h) for words outside the head."""
-    out = np.empty(len(codes))
+    out = np.zeros(len(codes))
+    if not model.modelled:
+        return out
     for start in range(0, len(codes), POSITIONS):
         part = slice(start, start + POSITIONS)
-        at, _, child, z, _ = _decisions(model, feats[:, part], codes[part])
-        out[part] = -np.bincount(at, np.logaddexp(0, np.where(child == 1, -z, z)), len(codes[part]))
+        starts, _, child, z, _ = model.decisions(feats[:, part], codes[part])
+        z[child == 1] *= -1
+        out[part] = -np.add.reduceat(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), starts)
     return out
 
 
-def gradient_steps(model: Model, feats: np.ndarray, codes: np.ndarray, memory: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
-    """One pass over examples, in batches; step sizes shrink with each weight's own squared gradients (`memory`)."""
-    total = np.zeros_like(model.classes)
-    for start in range(0, len(codes), BATCH):
-        _, node, child, z, places = _decisions(model, feats[:, start : start + BATCH], codes[start : start + BATCH])
-        g = 1 / (1 + np.exp(-z)) - child.astype(np.float32)
-        whole = np.bincount(node, g, len(model.inner)).astype(np.float32)
-        _step(model.inner, whole, np.flatnonzero(whole), memory[1], rate)
-        hit = places.ravel()
-        np.add.at(total, hit, np.tile(g, len(places)))
-        _step(model.classes, total, hit, memory[0], rate)
-        total[hit] = 0
-
-
-def _step(weights: np.ndarray, g: np.ndarray, hit: np.ndarray, memory: np.ndarray, rate: float) -> None:
-    """A step of the weights at the places `hit`; a place that is named twice is still moved once."""
-    g = g[hit]
-    seen = memory[hit] + g * g
-    moved = weights[hit] - np.float32(rate) * g / np.sqrt(seen + np.float32(EASE))
-    memory[hit], weights[hit] = seen, moved
-
-
-def examples(docs: DataFrame, words) -> DataFrame:
-    """Codes of all words of every text, and the texts' numbers of words, a row for each slice of texts."""
-    schema = "code binary, size binary"
-    arrow = to_arrow(docs.sparkSession, schema)
+class Steps:
+    """Gradient steps over examples, a batch at a time. A weight moves by the sum of a batch's gradients over its curvature: that of the
+    examples it has met so far, and EASE, so a rare weight moves little on one example and a frequent one settles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code_of = coder(words.value).__getitem__
-        for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, SLICE):
-                codes, starts = _codes([words_of(t) for t in batch.column(1).slice(at, SLICE).to_pylist()], code_of)
-                out.append((codes.astype("<u4").tobytes(), np.diff(np.append(starts, len(codes))).astype("<u4").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+    def __init__(self, model: Model, rate: float = RATE):
+        self.model, self.rate, self.met = model, rate, np.zeros_like(model.seen)
+        # Gradient (upper half, may be negative) and curvature (lower half) of a batch, both in whole numbers of 1 / SCALE.
+        self.total = np.zeros(len(model.seen), np.int64)
 
-    return docs.mapInArrow(run, schema)
+    def batch(self, feats: np.ndarray, codes: np.ndarray) -> None:
+        m = self.model
+        if not m.modelled:
+            return
+        for start in range(0, len(codes), POSITIONS):
+            part = slice(start, start + POSITIONS)
+            _, node, child, z, places = m.decisions(feats[:, part], codes[part])
+            p = 1 / (1 + np.exp(-z))
+            both = (np.rint((p - child) * np.float32(SCALE)).astype(np.int64) << 32) + np.rint(p * (1 - p) * np.float32(SCALE)).astype(np.int64)
+            for at in places:
+                np.add.at(self.total, at, both)
+            np.add.at(self.total, node + len(m.classes), both)
+        hit = np.flatnonzero(self.total) if len(codes) < SPARSE else slice(None)
+        total = self.total[hit]
+        self.met[hit] += (total & 0xFFFFFFFF).astype(np.float32) / np.float32(SCALE)
+        move = (total >> 32).astype(np.float32) * np.float32(self.rate / SCALE) / (m.seen[hit] + self.met[hit] + np.float32(EASE))
+        if isinstance(hit, slice):
+            m.classes -= move[: len(m.classes)]
+            m.inner -= move[len(m.classes) :]
+        else:
+            low = hit < len(m.classes)
+            m.classes[hit[low]] -= move[low]
+            m.inner[hit[~low] - len(m.classes)] -= move[~low]
+        self.total[hit] = 0
 
 
 def _codes(texts: list[list[bytes]], code_of) -> tuple[np.ndarray, np.ndarray]:
@@ -226,42 +250,70 @@ def _codes(texts: list[list[bytes]], code_of) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum(sizes) - sizes
 
 
-def train(data: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RATE) -> None:
-    """Rounds of local gradient steps and averaging; `model` gets the weights."""
-    spark = data.sparkSession
+def slices(docs: DataFrame, rounds: int) -> list[DataFrame]:
+    """docs, each row in one of the slices; a round of training learns from one."""
+    return [docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r) for r in range(rounds)]
+
+
+def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RATE) -> None:
+    """One pass over all positions of docs (doc_id, text), in rounds of local gradient steps and averaging; `model` gets the weights."""
+    spark = docs.sparkSession
     model.start()
-    data = data.coalesce(TASKS) if data.rdd.getNumPartitions() > TASKS else data
-    for _ in range(rounds):
+    tasks = max(1, -(-model.total // TOKENS))
+    for part in slices(docs, rounds):
+        data = part.coalesce(tasks)
         sent = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             m = sent.value
-            mine = Model(m.words, m.counts, m.total, m.kinds, m.classes.copy(), m.inner.copy(), m.up)
-            memory, seen = (np.zeros_like(mine.classes), np.zeros_like(mine.inner)), 0
+            # The curvature of earlier rounds, of which this task stands for a share.
+            mine = replace(m, classes=m.classes.copy(), inner=m.inner.copy(), seen=m.seen / np.float32(tasks))
+            steps, code_of = Steps(mine, rate), coder(m.words).__getitem__
+            held, rows = [], 0
+
+            def learn():
+                codes = np.concatenate([c for c, _ in held])
+                starts = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in held]))[:-1]])
+                steps.batch(features(codes, starts), codes)
+                held.clear()
+
             for batch in batches:
-                for code, size in zip(batch["code"], batch["size"], strict=True):
-                    codes, sizes = np.frombuffer(code, "<u4").astype(np.int64), np.frombuffer(size, "<u4").astype(np.int64)
-                    gradient_steps(mine, features(codes, np.cumsum(sizes) - sizes), codes, memory, rate)
-                    seen += len(codes)
-            if seen:
-                flat, mass = np.concatenate([mine.classes, mine.inner]), np.concatenate(memory)
+                for at in range(0, batch.num_rows, SLICE):
+                    codes, starts = _codes([words_of(t) for t in batch.column(1).slice(at, SLICE).to_pylist()], code_of)
+                    held.append((codes, np.diff(np.append(starts, len(codes)))))
+                    rows += len(codes)
+                    if rows >= BATCH:
+                        learn()
+                        rows = 0
+            if held:
+                learn()
+            if steps.met.any():
+                flat, met = np.concatenate([mine.classes, mine.inner]), np.minimum(steps.met, 60_000)
                 for block, at in enumerate(range(0, len(flat), BLOCK)):
-                    yield pd.DataFrame({"block": [block], "w": [flat[at : at + BLOCK].astype("<f4").tobytes()], "mass": [mass[at : at + BLOCK].astype("<f4").tobytes()]})
+                    cells = [flat[at : at + BLOCK].astype("<f2").tobytes(), met[at : at + BLOCK].astype("<f2").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([block, TaskContext.get().partitionId(), *cells], kind, strict=True)], schema=kind)
 
         def average(group: pd.DataFrame) -> pd.DataFrame:
-            w, mass = (np.stack([np.frombuffer(x, "<f4") for x in group[c]]) for c in ("w", "mass"))
-            whole = mass.sum(axis=0, dtype=float)
-            total = np.where(whole > 0, (w * mass).sum(axis=0, dtype=float) / np.where(whole > 0, whole, 1), w[0])
-            return pd.DataFrame({"block": [group["block"].iloc[0]], "w": [total.astype("<f4").tobytes()]})
-
-        # Tasks' tables are averaged block by block: a group is one block from each of at most TASKS tasks.
-        got = {r.block: np.frombuffer(r.w, "<f4") for r in data.mapInPandas(run, "block int, w binary, mass binary").groupBy("block").applyInPandas(average, "block int, w binary").collect()}
+            """Weights count by the curvature that they met, so tasks which never met a pair don't pull its weight back."""
+            w, met = (np.stack([np.frombuffer(x, "<f2") for x in group[c]]).astype(float) for c in ("w", "met"))
+            whole = met.sum(axis=0)
+            total = np.where(whole > 0, (w * met).sum(axis=0) / np.where(whole > 0, whole, 1), 0)
+            return pd.DataFrame({"block": [group["block"].iloc[0]], "task": [0], "w": [total.astype("<f2").tobytes()], "met": [np.minimum(whole, 60_000).astype("<f2").tobytes()]})
+
+        schema = "block int, task int, w binary, met binary"
+        kind = to_arrow(spark, schema)
+        tables = data.mapInArrow(run, schema)
+        if tasks > FAN:  # in two levels, so that a group has a bounded number of blocks
+            few = math.isqrt(tasks)
+            tables = tables.groupBy("block", (F.col("task") % few).alias("few")).applyInPandas(average, schema)
+        got = {r.block: r for r in tables.groupBy("block").applyInPandas(average, schema).collect()}
         sent.unpersist()
-        if not got:
-            return
-        flat = np.concatenate([got[b] for b in range(len(got))])
-        k = len(model.classes)
-        model.classes, model.inner = flat[:k].copy(), flat[k:].copy()
+        if got:
+            w, met = (np.concatenate([np.frombuffer(got[b][c], "<f2") for b in range(len(got))]).astype(np.float32) for c in ("w", "met"))
+            flat = np.where(met > 0, w, np.concatenate([model.classes, model.inner]))
+            model.classes, model.inner, model.seen = flat[: len(model.classes)].copy(), flat[len(model.classes) :].copy(), model.seen + met
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -305,15 +357,12 @@ def language_scores(docs: DataFrame, learn: Column | None = None, head: int = HE
     outside the held-out fold."""
     docs = id_and_text(docs)
     learn = crc_mod("doc_id", 7) != 2 if learn is None else learn
-    spark = docs.sparkSession
     counts = staged(count_words(docs.filter(learn)), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    model = Model(top.column("word").to_pylist(), np.array(top.column("c").to_pylist(), np.int64), n, v)
-    del top
-    words = spark.sparkContext.broadcast(model.words)
-    train(staged(examples(docs.filter(learn), words), "examples"), model, rounds)
-    words.unpersist()
+    top = sorted(((-c, bytes(w)) for w, c in most_frequent(counts, head).collect()))
+    model = Model([w for _, w in top], np.array([-c for c, _ in top], np.int64), n, v)
+    train(docs.filter(learn), model, rounds)
+    model.seen = None
     parts = staged(score_texts(docs, model), "scored")
     tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.n")
     sums = tail.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"))

@@ -111,9 +111,9 @@ def test_model_sums_to_one_and_its_gradient_descends():
     codes[1::2] = codes[::2] % 300 + 1  # each second word follows from the one before
     f = maxent.features(codes, np.array([0]))
     before = maxent.log_prob(m, codes, f).sum()
-    memory = (np.zeros_like(m.classes), np.zeros_like(m.inner))
+    steps = maxent.Steps(m)
     for _ in range(10):
-        maxent.gradient_steps(m, f, np.minimum(codes, m.modelled + 1), memory)
+        steps.batch(f, np.minimum(codes, m.modelled + 1))
     assert maxent.log_prob(m, codes, f).sum() > before + 500
     some = np.repeat(f[:, 10:11], k + 1, axis=1)
     p = np.exp(maxent.log_prob(m, np.arange(1, k + 2), some))
@@ -123,14 +123,60 @@ def test_model_sums_to_one_and_its_gradient_descends():
     assert abs(p[:top].sum() + known + unknown - 1) < 1e-4
 
 
+def slow_log_prob(m, codes, f):
+    """The model's log probabilities, word by word and decision by decision."""
+    out = []
+    for p, code in enumerate(codes):
+        leaf = code - 1 if 1 <= code <= m.modelled else m.modelled
+        total = 0.0
+        for step in m.way[m.first[leaf] : m.first[leaf + 1]]:
+            node, child = int(step) >> 1, int(step) & 1
+            z = float(m.inner[node])
+            for k in range(len(f)):
+                h = int(f[k][p]) ^ (node * 0x9E3779B1 & 0xFFFFFFFF)
+                h = h * 0x85EBCA77 & 0xFFFFFFFF
+                h = (h ^ h >> 13) * 0xC2B2AE3D & 0xFFFFFFFF
+                z += float(m.classes[h >> 33 - len(m.classes).bit_length()])
+            total -= math.log1p(math.exp(-z if child else z))
+        out.append(total)
+    return out
+
+
+def test_scores_against_a_slow_walk_of_the_tree():
+    rng = np.random.default_rng(1)
+    counts = np.sort(rng.integers(1, 1000, 300))[::-1].astype(np.int64)
+    m = maxent.Model([b"w%d" % i for i in range(300)], counts, int(counts.sum()) + 50, 330)
+    m.start()
+    codes = rng.integers(0, 320, 200)
+    f = maxent.features(codes, np.array([0, 70, 71]))
+    maxent.Steps(m).batch(f, codes)
+    assert np.abs(m.classes).max() > 0
+    assert np.allclose(maxent.log_prob(m, codes, f), slow_log_prob(m, codes, f), atol=1e-4)
+    assert (f[:, 70] == f[:, 0]).all() and (f[:, 71] == f[:, 0]).all()  # no text sees the one before it
+
+
 def test_lm_trains_on_every_position(spark):
     texts = {i: f"w{i} w{i + 1}  w{i}" for i in range(50)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    words = spark.sparkContext.broadcast([b"\n"] + [b"w%d" % i for i in range(51)])
-    rows = maxent.examples(docs, words).collect()
-    sizes = np.concatenate([np.frombuffer(r["size"], "<u4") for r in rows])
-    codes = np.concatenate([np.frombuffer(r["code"], "<u4") for r in rows])
-    assert list(sizes) == [4] * 50 and sorted(codes) == sorted(c for i in range(50) for c in (i + 2, i + 3, i + 2, 1))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    parts = [{r.doc_id for r in p.collect()} for p in maxent.slices(docs, 2)]
+    assert parts[0] | parts[1] == set(texts) and not parts[0] & parts[1] and all(parts)
+    words = [b"\n"] + [b"w%d" % i for i in range(51)]
+    counts = np.array([50] + [2 if i in (0, 50) else 3 for i in range(51)])
+    counts[1], counts[51] = 2, 1
+    m = maxent.Model(words, counts, 200, 52)
+    maxent.train(docs, m, rounds=1)
+    # One batch: every position meets the root's bias at its first value, so the curvature met there counts positions.
+    root, first = len(m.classes) + m.modelled - 1, maxent.Model(words, counts, 200, 52)
+    first.start()
+    p = 1 / (1 + np.exp(-first.inner[-1]))
+    assert abs(m.seen[root] / (p * (1 - p)) - 200) < 2
+
+
+def test_most_frequent_words_fit_the_bound(spark):
+    rows = [(b"w%d" % i, c) for i, c in enumerate([900000, 70000, 70000, 5, 5, 5, 4, 1, 1])]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    got = {h: sorted(r.c for r in maxent.most_frequent(counts, h).collect()) for h in (0, 1, 3, 5, 6, 7, 100)}
+    assert got == {0: [], 1: [900000], 3: [70000, 70000, 900000], 5: [70000, 70000, 900000], 6: [5, 5, 5, 70000, 70000, 900000], 7: [4, 5, 5, 5, 70000, 70000, 900000], 100: sorted(c for _, c in rows)}
 
 
 def test_lm_learns_contexts_of_words_beyond_the_most_frequent(spark):
