@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .tables import BANK_AMOUNT, BANKS, CURRENCY_HINTS, DEFAULT_ROIS, EASTERN, MAGNITUDES, MONTHS, SMALL, WESTERN
 
@@ -32,86 +30,110 @@ def to_western_digits(c: Column) -> Column:
     return F.translate(c, EASTERN, WESTERN)
 
 
-def parse_amount(c: Column) -> Column:
-    """A written amount as a double: of comma and dot the one that comes last is the decimal mark. Null if it is no number."""
-    s = F.regexp_replace(to_western_digits(c), "[^0-9.,-]", "")
+def amount_chars(c: Column) -> Column:
+    """What may belong to a number in a written amount."""
+    return F.regexp_replace(to_western_digits(c), "[^0-9.,-]", "")
 
-    def read(s: Column) -> Column:
-        european = F.instr(F.reverse(s), ",") > 0
-        european &= (F.instr(F.reverse(s), ".") == 0) | (F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), "."))
-        bare = F.replace(s, F.lit("."), F.lit(""))
-        first = F.instr(bare, ",")
-        with_dot = F.concat(F.substring(bare, F.lit(1), first - 1), F.lit("."), F.replace(F.substring(bare, first + 1, F.length(bare)), F.lit(","), F.lit("")))
-        plain = F.when(european, with_dot).otherwise(F.replace(s, F.lit(","), F.lit("")))
-        n = F.when(plain.rlike(r"\A-?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), plain.try_cast("double"))
-        return F.when(F.abs(n) != float("inf"), n)
 
-    return let(s, read)
+def plain_number(s: Column) -> Column:
+    """amount_chars with a dot as the decimal mark and no other marks: of comma and dot the one that comes last is the decimal mark."""
+    bare = F.replace(s, F.lit("."), F.lit(""))
+    with_dot = F.concat(F.substring_index(bare, ",", 1), F.lit("."), F.replace(F.substring(bare, F.instr(bare, ",") + 1, F.length(bare)), F.lit(","), F.lit("")))
+    return F.when(s.rlike(r",[^.]*\z"), with_dot).otherwise(F.replace(s, F.lit(","), F.lit("")))
 
 
-def format_amount(c: Column) -> Column:
-    """Two decimals; empty for null. Ties beyond the second decimal go by the shortest way to write the double."""
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "").otherwise(F.format_string("%.2f", c))
+def number_value(plain: Column) -> Column:
+    n = F.when(plain.rlike(r"\A-?([0-9]+\.?[0-9]*|\.[0-9]+)\z"), plain.try_cast("double"))
+    return F.nullif(F.nullif(n, F.lit(float("inf"))), F.lit(float("-inf")))
+
+
+def parse_amount(c: Column) -> Column:
+    """A written amount as a double. Null if it is no number."""
+    return let(amount_chars(c), lambda s: let(plain_number(s), number_value))
+
 
+def format_amount(c: Column) -> Column:
+    """Two decimals of the double's exact binary value, ties away from zero; empty for null. Java's format goes by the shortest decimal form; the two
+    differ only where that form ends in a 5 in the third place. There a double's fraction, a whole number of 2 ** -60, is held against the tie."""
+    return let(c, _two_decimals)
 
-@F.pandas_udf(StringType())
-def format_amount_exact(values: pd.Series) -> pd.Series:
-    """Two decimals by the double's exact binary value, ties away from zero: a helper for doubles with more than two decimals."""
-    from decimal import ROUND_HALF_UP, Decimal
 
-    return values.map(lambda v: "" if pd.isna(v) or abs(v) == float("inf") else format(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP), "f"))
+def _two_decimals(c: Column) -> Column:
+    size = F.abs(c)
+    thousandths = F.round(size * 1000)
+    tie = (size < float(2**43)) & (F.abs(size * 1000 - thousandths) < 1e-3) & (F.pmod(thousandths, F.lit(10.0)) == 5)
+    fraction = ((size - F.floor(size)) * float(2**60)).cast("long").cast("decimal(20,0)")
+    at_least = fraction * 1000 >= (thousandths - F.floor(size) * 1000).cast("long").cast("decimal(10,0)") * F.lit(2**60).cast("decimal(20,0)")
+    cents = F.floor(thousandths / 10) + F.when(at_least, 1).otherwise(0)
+    exact = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    return F.when(c.isNull() | F.isnan(c) | (size == float("inf")), "").when(tie, exact).otherwise(F.format_string("%.2f", c))
 
 
 def normalize_cheque_number(c: Column, take: int = 8) -> Column:
     return or_empty(F.substring(F.regexp_replace(to_western_digits(c), "[^0-9]", ""), 1, take))
 
 
-def parse_date(c: Column) -> Column:
-    """YYYY-MM-DD, or null if there is no valid date between 1900 and 2200. Day before month, unless the first number is over 31; two-digit years
-    from 70 on are of the last century."""
-    s = F.lower(trim_all(to_western_digits(c)))
+_NUMERIC = r"([0-9]{1,4})[./-]([0-9]{1,2})[./-]([0-9]{1,4})"
 
-    def read(s: Column) -> Column:
-        numeric = r"([0-9]{1,4})[./-]([0-9]{1,2})[./-]([0-9]{1,4})"
-        a, b, d = (F.regexp_extract(s, numeric, i).try_cast("int") for i in (1, 2, 3))
-        full = lambda y: F.when(y < 70, y + 2000).when(y < 100, y + 1900).otherwise(y)
-        by_number = F.when(a > 31, F.struct(a.alias("y"), b.alias("m"), d.alias("d"))).otherwise(F.struct(full(d).alias("y"), b.alias("m"), a.alias("d")))
-        numbers = F.regexp_extract_all(s, F.lit("([0-9]{1,4})"), 1)
-        name = F.substring(F.regexp_extract(s, "([a-z]{3,})", 1), 1, 3)
-        month = reduce(lambda w, i: w.when(name == MONTHS[i], i + 1), range(1, 12), F.when(name == MONTHS[0], 1))
-        year = full(F.element_at(numbers, -1).try_cast("int"))
-        by_name = F.when(month.isNotNull() & (F.size(numbers) >= 2), F.struct(year.alias("y"), month.alias("m"), F.get(numbers, F.lit(0)).try_cast("int").alias("d")))
-        parts = F.when(s.rlike(numeric), by_number).otherwise(by_name)
 
-        def valid(p: Column) -> Column:
-            iso = F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])
-            return F.when(p["y"].between(1900, 2200) & p["m"].between(1, 12) & p["d"].between(1, 31) & iso.try_cast("date").isNotNull(), iso)
+def date_chars(c: Column) -> Column:
+    return F.lower(trim_all(to_western_digits(c)))
 
-        return let(parts, lambda p: F.when(p.isNotNull(), valid(p)))
 
-    return let(s, read)
+def date_words(s: Column) -> Column:
+    """What a date's year, month and day are read from: the written-out numbers, in their order, and the first three letters of a name."""
+    numeric = F.regexp_substr(s, F.lit(_NUMERIC))
+    name = F.substring(F.regexp_extract(s, "([a-z]{3,})", 1), 1, 3)
+    return F.when(numeric.isNotNull(), F.struct(F.split(numeric, "[./-]").alias("n"), F.lit(None).cast("string").alias("name"))).otherwise(
+        F.struct(F.regexp_extract_all(s, F.lit("([0-9]{1,4})"), 1).alias("n"), name.alias("name"))
+    )
+
+
+def date_parts(w: Column) -> Column:
+    """(y, m, d) as numbers. Day before month, unless the first number is over 31; two-digit years from 70 on are of the last century."""
+    n = lambda i: F.get(w["n"], i).try_cast("int")
+    full = lambda y: F.when(y < 70, y + 2000).when(y < 100, y + 1900).otherwise(y)
+    parts = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+    month = reduce(lambda x, i: x.when(w["name"] == MONTHS[i], i + 1), range(1, 12), F.when(w["name"] == MONTHS[0], 1))
+    by_name = F.when(month.isNotNull() & (F.size(w["n"]) >= 2), parts(full(n(F.size(w["n"]) - 1)), month, n(F.lit(0))))
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    return F.when(w["name"].isNotNull(), by_name).when(n(zero) > 31, parts(n(zero), n(one), n(two))).otherwise(parts(full(n(two)), n(one), n(zero)))
+
+
+def iso_date(p: Column) -> Column:
+    iso = F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])
+    return F.when(p["y"].between(1900, 2200) & p["m"].between(1, 12) & p["d"].between(1, 31) & iso.try_cast("date").isNotNull(), iso)
+
+
+def parse_date(c: Column) -> Column:
+    """YYYY-MM-DD, or null if there is no valid date between 1900 and 2200."""
+    return let(date_chars(c), lambda s: let(date_words(s), lambda w: let(date_parts(w), iso_date)))
 
 
 def words_to_number(c: Column) -> Column:
-    """The value of an amount in English words; null if no word of it is known."""
-    tokens = F.filter(F.split(F.regexp_replace(F.lower(c), "[,-]", " "), _SPACE), lambda t: t != "")
-    table = F.create_map(*[F.lit(x) for word, n in SMALL.items() for x in (word, float(n))])
-    mags = F.create_map(*[F.lit(x) for word, n in MAGNITUDES.items() for x in (word, float(n))])
-    state = lambda total, now, part, hit: F.struct(total.alias("total"), now.alias("now"), part.alias("part"), hit.alias("hit"))
-    yes = F.lit(True)
-
-    def step(a: Column, t: Column) -> Column:
-        small, mag = F.try_element_at(table, t), F.try_element_at(mags, t)
+    """The value of an amount in English words; null if no word of it is known. Words become numbers once: what is added as it is, hundred and the
+    magnitudes below -1, hundredths between -1 and 0."""
+    tokens = F.split(F.regexp_replace(F.lower(c), "[,-]", " "), _SPACE)
+    known = {w: float(n) for w, n in SMALL.items()} | {"hundred": -100.0} | {w: -float(n) for w, n in MAGNITUDES.items()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    part = F.lit(-0.5) / 100
+    hundredths = lambda t: F.when(t.rlike(r"\A[0-9]{1,2}/100\z"), part - F.substring_index(t, "/", 1).try_cast("double") / 100)
+    numbers = F.filter(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), hundredths(t))), lambda x: x.isNotNull())
+    state = lambda total, now, part: F.struct(total.alias("total"), now.alias("now"), part.alias("part"))
+
+    def step(a: Column, x: Column) -> Column:
         some = F.when(a["now"] == 0, 1.0).otherwise(a["now"])
         return (
-            F.when(t.rlike(r"\A[0-9]{1,2}/100\z"), state(a["total"], a["now"], F.substring_index(t, "/", 1).try_cast("double") / 100, yes))
-            .when(small.isNotNull(), state(a["total"], a["now"] + small, a["part"], yes))
-            .when(t == "hundred", state(a["total"], some * 100, a["part"], yes))
-            .when(mag.isNotNull(), state(a["total"] + some * mag, F.lit(0.0), a["part"], yes))
-            .otherwise(a)
+            F.when(x >= 0, state(a["total"], a["now"] + x, a["part"]))
+            .when(x > -1, state(a["total"], a["now"], F.round(-x * 100 - 0.5) / 100))
+            .when(x == -100, state(a["total"], some * 100, a["part"]))
+            .otherwise(state(a["total"] - some * x, F.lit(0.0), a["part"]))
         )
 
-    return F.aggregate(tokens, state(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(False)), step, lambda a: F.when(a["hit"], a["total"] + a["now"] + a["part"]))
+    def value(n: Column) -> Column:
+        return F.when(F.size(n) > 0, F.aggregate(n, state(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step, lambda a: a["total"] + a["now"] + a["part"]))
+
+    return let(numbers, value)
 
 
 def approx_equal(a: Column, b: Column) -> Column:

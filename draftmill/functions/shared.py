@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir, read back: it has the same rows however often it is read, and a lost
-    executor costs no recomputation of what is before it. Where the setting is unset, as in local tests, a temporary folder is set; on a
-    cluster that is an error."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below spark.checkpoint.dir. Where the setting is unset, as in local tests, a temporary folder is set; on a cluster
+    that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/draftmill/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/draftmill/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table below spark.checkpoint.dir, read back: it has the same rows however often it is read, and a lost
+    executor costs no recomputation of what is before it."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

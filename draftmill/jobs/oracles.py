@@ -104,7 +104,7 @@ def validated(first: int = 1, last: int = 1, blank_errors: bool = True) -> str:
 
 FIELDS = "id, pass, amount, amount_words, amount_numeric_value, amount_words_value, amount_reconciled, currency, date, payer, bank, cheque_number, has_handwriting, flags, confidence, status"
 SCORE = "CASE WHEN amount_reconciled THEN 1000 ELSE 0 END - 100 * high + confidence"
-BEST = f", best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY {SCORE} DESC, pass) = 1)"
+BEST = f", best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, {SCORE} DESC, pass) = 1)"
 SCALARS = f"WITH RECURSIVE raw AS ({raw()}), {AMOUNT}, {WORDS}, {DATE} "
 CORR = f"corr AS ({B.sql('SELECT * FROM events', B.CORRECTIONS)})"
 LAST = ", last AS (SELECT * FROM corr QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"
@@ -139,12 +139,12 @@ BOXES = """, col_on AS (SELECT *, ink / (y1 - y0) > greatest(CAST(0.02 AS DOUBLE
   counted AS (SELECT *, count(*) FILTER (e - s >= width * CAST(0.28 AS DOUBLE)) OVER (PARTITION BY page_key, y0) AS wide FROM blocks),
   boxes AS (SELECT page_key, width, height, y0, y1, s AS x0, e AS x1, true AS odd FROM counted WHERE wide >= 2 AND e - s >= width * CAST(0.28 AS DOUBLE)
     UNION ALL SELECT DISTINCT page_key, width, height, y0, y1, le, ri, ri - le < width * CAST(0.4 AS DOUBLE) OR y1 - y0 > ri - le FROM counted WHERE wide < 2)"""
-PADDED = """, padded AS (SELECT page_key, width, height, odd, greatest(CAST(0 AS DOUBLE), (x0 - width * CAST(0.01 AS DOUBLE)) / width) AS x0, greatest(CAST(0 AS DOUBLE), (y0 - height * CAST(0.01 AS DOUBLE)) / height) AS y0,
+PADDED = """, padded AS (SELECT page_key, width, height, odd, y0 AS band, x0 AS spot, greatest(CAST(0 AS DOUBLE), (x0 - width * CAST(0.01 AS DOUBLE)) / width) AS x0, greatest(CAST(0 AS DOUBLE), (y0 - height * CAST(0.01 AS DOUBLE)) / height) AS y0,
     least(CAST(1 AS DOUBLE), (x1 + width * CAST(0.01 AS DOUBLE)) / width) AS x1, least(CAST(1 AS DOUBLE), (y1 + height * CAST(0.01 AS DOUBLE)) / height) AS y1 FROM boxes),
   judged AS (SELECT *, x1 - x0 > CAST(0.05 AS DOUBLE) AND y1 - y0 > CAST(0.03 AS DOUBLE) AS wide, bool_or(odd) OVER (PARTITION BY page_key) AS any_odd FROM padded)"""
 ORDERED = """, blank AS (SELECT page_key FROM pages LEFT JOIN (SELECT page_key, sum(ink) AS t FROM ink GROUP BY page_key) USING (page_key) WHERE coalesce(t, 0) / (width * height) < CAST(0.002 AS DOUBLE)),
   keep AS (SELECT *, count(*) OVER (PARTITION BY page_key) AS n FROM judged WHERE wide AND page_key NOT IN (SELECT page_key FROM blank)),
-  ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_key ORDER BY floor(y0 * 100 + 0.5) / 100, floor(x0 * 100 + 0.5) / 100, x0, y0, x1, y1) AS INT) AS ordinal FROM keep WHERE n BETWEEN 2 AND 12),
+  ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_key ORDER BY floor(y0 * 100 + 0.5) / 100, floor(x0 * 100 + 0.5) / 100, band, spot) AS INT) AS ordinal FROM keep WHERE n BETWEEN 2 AND 12),
   clash AS (SELECT a.page_key, bool_or(greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(a.y1 - a.y0, b.y1 - b.y0) > CAST(0.5 AS DOUBLE) AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / least(a.x1 - a.x0, b.x1 - b.x0) > CAST(0.3 AS DOUBLE)) AS bad
     FROM ordered a JOIN ordered b ON a.page_key = b.page_key AND a.ordinal < b.ordinal GROUP BY a.page_key),
   regions AS (SELECT page_key, ordinal, x0, y0, x1, y1, CASE WHEN any_odd OR bad THEN 'ambiguous' ELSE 'ok' END AS flag FROM ordered JOIN clash USING (page_key)
@@ -156,22 +156,27 @@ PROPS = """props AS (SELECT vec_id AS page_key, i, abs(CAST(embedding[4 * i + 1]
     FROM (SELECT *, CASE WHEN vec_id % 3 = 0 THEN CAST(300 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END AS m FROM embeddings), range(16) AS s(i)),
   unit AS (SELECT page_key, i, least(1, a / k) AS a, least(1, b / k) AS b, least(1, c / k) AS c, least(1, d / k) AS d FROM (SELECT *, CASE WHEN greatest(a, b, c, d) > 1.5 THEN CAST(100 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS k FROM props)),
   normal AS (SELECT page_key, i, least(a, c) AS x0, least(b, d) AS y0, greatest(a, c) AS x1, greatest(b, d) AS y1 FROM unit WHERE abs(a - c) > CAST(0.05 AS DOUBLE) AND abs(b - d) > CAST(0.03 AS DOUBLE))"""
-RESOLVED = f""", {PROPS}, chosen AS (SELECT page_key, x0, y0, x1, y1 FROM regions WHERE flag = 'ok'
-    UNION ALL SELECT page_key, x0, y0, x1, y1 FROM normal WHERE page_key IN (SELECT page_key FROM regions WHERE flag = 'ambiguous') QUALIFY count(*) OVER (PARTITION BY page_key) >= 2),
-  resolved AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_key ORDER BY floor(y0 * 100 + 0.5) / 100, floor(x0 * 100 + 0.5) / 100, x0, y0, x1, y1) AS INT) AS ordinal
-    FROM (SELECT * FROM chosen UNION ALL SELECT page_key, 0, 0, 1, 1 FROM pages WHERE page_key NOT IN (SELECT page_key FROM chosen)) AS t)"""
+RESOLVED = f""", {PROPS}, chosen AS (SELECT page_key, x0, y0, x1, y1, ordinal AS was FROM regions WHERE flag = 'ok'
+    UNION ALL SELECT page_key, x0, y0, x1, y1, i FROM normal WHERE page_key IN (SELECT page_key FROM regions WHERE flag = 'ambiguous') QUALIFY count(*) OVER (PARTITION BY page_key) >= 2),
+  resolved AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_key ORDER BY floor(y0 * 100 + 0.5) / 100, floor(x0 * 100 + 0.5) / 100, was) AS INT) AS ordinal
+    FROM (SELECT * FROM chosen UNION ALL SELECT page_key, 0, 0, 1, 1, 0 FROM pages WHERE page_key NOT IN (SELECT page_key FROM chosen)) AS t)"""
 PIXELS = """SELECT page_key, ordinal, CAST(px0 AS INT) AS x0, CAST(py0 AS INT) AS y0, CAST(greatest(px0 + 1, least(width, floor(x1 * width + 0.5))) AS INT) AS x1, CAST(greatest(py0 + 1, least(height, floor(y1 * height + 0.5))) AS INT) AS y1
   FROM (SELECT r.*, width, height, greatest(0, least(width - 1, floor(x0 * width + 0.5))) AS px0, greatest(0, least(height - 1, floor(y0 * height + 0.5))) AS py0 FROM regions r JOIN pages USING (page_key)) AS t"""
-VOTE = """, s AS (SELECT id, pos, val FROM (SELECT id, 0 AS pos, amount_numeric_value AS val FROM v WHERE pass = 1 UNION ALL SELECT id, 1, amount_words_value FROM v WHERE pass = 1
-    UNION ALL SELECT id, 2 * pass + 10, num FROM amounts WHERE pass > 1 UNION ALL SELECT id, 2 * pass + 11, amount_words_value FROM raw WHERE pass > 1) AS t WHERE val IS NOT NULL),
+VOTE = lambda base, after: f""", s AS (SELECT id, pos, val FROM (SELECT id, 0 AS pos, amount_numeric_value AS val FROM {base} UNION ALL SELECT id, 1, amount_words_value FROM {base}
+    UNION ALL SELECT id, 2 * pass + 10, num FROM amounts WHERE pass > {after} UNION ALL SELECT id, 2 * pass + 11, amount_words_value FROM raw WHERE pass > {after}) AS t WHERE val IS NOT NULL),
   tally AS (SELECT id, printf('%.2f', val) AS amount, count(*) AS votes, min(pos) AS pos FROM s GROUP BY 1, 2),
-  won AS (SELECT id, amount, votes FROM tally QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, pos) = 1), voted AS (SELECT * FROM won WHERE votes >= 3)"""
+  won AS (SELECT id, amount, votes FROM tally QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, pos) = 1), voted AS (SELECT * FROM won WHERE votes >= 3)"""
+VOTED = """, f AS (SELECT b.*, w.amount AS w, b.status = 'review' AS asked, list_filter(fl, lambda x: NOT starts_with(x, 'amount:')) AS other FROM best b LEFT JOIN voted w ON w.id = b.id),
+  after AS (SELECT * REPLACE (CASE WHEN asked AND w IS NOT NULL THEN w ELSE amount END AS amount, amount_reconciled OR (asked AND w IS NOT NULL) AS amount_reconciled,
+    CASE WHEN asked AND w IS NOT NULL THEN array_to_string(other, ' | ') ELSE flags END AS flags,
+    CASE WHEN asked AND w IS NOT NULL THEN CASE WHEN len(list_filter(other, lambda x: contains(x, ':high:'))) > 0 THEN 'review' ELSE 'ok' END ELSE status END AS status,
+    CASE WHEN asked THEN 'gemini-2.5-pro' ELSE model END AS model) FROM f)"""
 TARGET = "CASE WHEN starts_with(model, 'gemini') THEN 'gemini-2.5-pro' ELSE 'claude-opus-4-8' END"
 
 SQL = {
     "n1_western_digits": f"SELECT id, translate(amount_numeric, {q(EASTERN)}, {q(WESTERN)}) AS digits FROM ({raw()})",
     "n2_parse_amount": SCALARS + "SELECT id, num AS amount FROM amounts",
-    "n3_format_amount": f"WITH raw AS ({raw()}), {AMOUNT} SELECT id, {fmt('num')} AS amount FROM amounts",
+    "n3_format_amount": f"WITH raw AS ({raw()}), {AMOUNT} SELECT id, {fmt('num')} AS amount, {fmt('CASE WHEN num / 125 = floor(num / 125) THEN floor(num / 10 + 0.5) / 100 ELSE num / 1000 END')} AS thousandth FROM amounts",
     "n4_cheque_number": f"SELECT id, coalesce(substr(regexp_replace(cheque_number, '[^0-9]', '', 'g'), 1, 8), '') AS cheque_number FROM ({raw()})",
     "n5_parse_date": SCALARS + "SELECT id, iso FROM dates",
     "n6_words_to_number": SCALARS + "SELECT id, round(spoken, 6) AS value FROM raw LEFT JOIN spoken ON aw = amount_words",
@@ -220,8 +225,8 @@ SQL = {
     "a4_band_column_profile": LAYOUT + " SELECT page_key, CAST(y0 AS INT) AS y0, sum(ink)::BIGINT AS ink, max(ink) AS top, count(*) AS columns FROM cols GROUP BY page_key, y0",
     "a5_ink_fraction": f"WITH {RUNS}{PROFILE} SELECT page_key, round(sum(ink) / (any_value(width) * any_value(height)), 6) AS fraction FROM profile GROUP BY page_key",
     "a6_gray_percentile": "SELECT l_suppkey AS page_key, CAST(quantile_disc((CAST(l_quantity AS INT) * 5) % 256, 0.95) AS INT) AS level FROM lineitem GROUP BY 1",
-    "a7_majority_amount": validated(1, 3) + VOTE + " SELECT id, amount, votes FROM voted",
-    "a8_apply_vote": validated(1, 3) + VOTE + ", f AS (SELECT v.*, w.amount AS w, v.status = 'review' AS asked, list_filter(fl, lambda x: NOT starts_with(x, 'amount:')) AS other FROM v LEFT JOIN voted w ON w.id = v.id WHERE v.pass = 1) SELECT id, CASE WHEN asked AND w IS NOT NULL THEN w ELSE amount END AS amount, amount_reconciled OR (asked AND w IS NOT NULL) AS amount_reconciled, CASE WHEN asked AND w IS NOT NULL THEN array_to_string(other, ' | ') ELSE flags END AS flags, CASE WHEN asked AND w IS NOT NULL THEN CASE WHEN len(list_filter(other, lambda x: contains(x, ':high:'))) > 0 THEN 'review' ELSE 'ok' END ELSE status END AS status, CASE WHEN asked THEN 'gemini-2.5-pro' ELSE model END AS model FROM f",
+    "a7_majority_amount": validated(1, 3) + VOTE("v WHERE pass = 1", 1) + " SELECT id, amount, votes FROM voted",
+    "a8_apply_vote": validated(1, 4) + ", best AS (SELECT * FROM v WHERE pass <= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, " + SCORE + " DESC, pass) = 1)" + VOTE("best", 2) + VOTED + " SELECT id, amount, amount_reconciled, flags, status, model FROM after",
     "a9_progress": f"WITH r AS ({raw()}), p AS (SELECT pdf_id, page_index, count(*) AS n, min(key) % 5 <> 0 AS done FROM r GROUP BY 1, 2) SELECT pdf_id, count(*) FILTER (done) AS pages_done, count(*) AS total_pages, CAST(sum(n) AS BIGINT) AS cheques_found, CAST(floor(100 * count(*) FILTER (done) / count(*) + 0.5) AS BIGINT) AS percent FROM p GROUP BY pdf_id",
     "w1_box_smooth": f"WITH {RUNS}{PROFILE}{SMOOTH} SELECT page_key, y, round(smooth, 6) AS smooth FROM smooth",
     "w2_bool_runs": f"WITH {RUNS}{PROFILE}{SMOOTH}{ROW_RUNS} SELECT page_key, CAST(s AS INT) AS start, CAST(e AS INT) AS end FROM row_runs".replace("AS end FROM", 'AS "end" FROM'),
@@ -238,4 +243,14 @@ SQL = {
     "o4_cap_regions": f"WITH {PROPS}, o AS (SELECT *, count(*) OVER (PARTITION BY page_key) AS n, CAST(row_number() OVER (PARTITION BY page_key ORDER BY i) AS INT) AS ordinal FROM normal) SELECT page_key, ordinal, {BOX6}, 'ok' AS flag FROM o WHERE n <= 12 UNION ALL SELECT page_key, 1, 0, 0, 1, 1, 'ambiguous' FROM o WHERE n > 12 AND ordinal = 1",
     "u1_union_outcomes": LAYOUT + RESOLVED + ", f AS (SELECT page_key, max(flag) AS flag FROM regions GROUP BY page_key) SELECT flag, count(DISTINCT page_key) AS pages, count(*) AS regions FROM resolved JOIN f USING (page_key) GROUP BY flag",
     "u2_with_error_rows": validated() + f" SELECT {FIELDS}, model, error FROM v",
+    "job_find_cheques": LAYOUT + RESOLVED + f", f AS (SELECT page_key, max(flag) AS flag FROM regions GROUP BY page_key) SELECT page_key || ':' || ordinal AS id, page_key, ordinal, CAST(count(*) OVER (PARTITION BY page_key) AS INT) AS cheques_on_page, {BOX6}, flag FROM resolved JOIN f USING (page_key)",
+    "job_read_cheques": validated(1, 4) + ", best AS (SELECT * FROM v WHERE pass = 1 OR (pass = 2 AND id IN (SELECT id FROM v WHERE pass = 1 AND status = 'review' AND model <> 'gemini-2.5-pro')) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, " + SCORE + " DESC, pass) = 1)" + VOTE("best", 2) + VOTED + " SELECT id, amount, amount_reconciled, currency, date, payer, bank, cheque_number, flags, confidence, status, false AS reviewed, model, error FROM after",
+    "job_review_cheques": validated() + f", {CORR}{LAST}, d AS (SELECT v.* REPLACE ({', '.join(f'CASE WHEN l.id IS NOT NULL THEN l.{c} ELSE v.{c} END AS {c}' for c in ('amount', 'currency', 'date', 'payer', 'bank', 'cheque_number'))}, CASE WHEN l.id IS NOT NULL THEN 'ok' ELSE status END AS status, CASE WHEN l.id IS NOT NULL THEN '' ELSE flags END AS flags), l.id IS NOT NULL AS reviewed FROM v LEFT JOIN last l ON l.id = v.id) SELECT id, row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS rank, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM d) AS t",
+    "s6_save_load": validated() + " SELECT id, amount, status, confidence FROM v",
+    "s8_pages_to_ink_runs": f"WITH {RUNS} SELECT page_key, y, x0, x1 FROM runs",
+    "t1_stream_validate": validated() + f" SELECT {FIELDS}, model, error FROM v",
+    "t2_stream_upsert": f"WITH {CORR}{LAST} SELECT id, seq, amount, bank, cheque_number FROM last",
+    "t3_stream_progress": f"SELECT pdf_id AS file, count(DISTINCT page_index) AS pages_done, count(*) AS cheques_found FROM ({raw()}) GROUP BY pdf_id",
+    "t4_stream_exemplars": f"WITH {CORR}{EXEMPLARS} SELECT bank_key, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY pos) AS seqs FROM ex GROUP BY bank_key",
+    "f1_map_bounded": f"SELECT key, 2 * key AS twice, upper(bank) AS bank FROM ({raw()})",
 }

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
-from draftmill.operators import choose, exemplars, layout, results
+from draftmill.functions.shared import new_path
+from draftmill.jobs import cheques
+from draftmill.jobs.hooks import map_bounded
+from draftmill.operators import choose, exemplars, layout, raster, results
 from draftmill.operators.validate import validate_extraction, with_error_rows
 from draftmill.sources import bridge as B
 from draftmill.sources import manifest, responses
+from draftmill.streaming import streams
 
 ESCALATE = "gemini-2.5-pro"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +61,7 @@ def _lit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bands(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.bands(layout.row_profile(B.ink_runs(spark, sf), B.pages(spark, sf)))
+    return layout.bands(B.ink_runs(spark, sf), B.pages(spark, sf))
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +87,8 @@ def n2_parse_amount(spark, sf):
 
 @query
 def n3_format_amount(spark, sf):
-    return n2_parse_amount(spark, sf).select("id", C.format_amount(F.col("amount")).alias("amount"))
+    amounts = n2_parse_amount(spark, sf)
+    return amounts.select("id", C.format_amount(F.col("amount")).alias("amount"), C.format_amount(F.col("amount") / 1000).alias("thousandth"))
 
 
 @query
@@ -366,18 +371,16 @@ def a6_gray_percentile(spark, sf):
     return layout.gray_percentile(B.gray_histogram(spark, sf), 95)
 
 
-def _votes(spark: SparkSession, sf: str) -> DataFrame:
-    return choose.majority_amount(_valid(spark, sf), B.raw_reads(spark, sf, 2, 3))
-
-
 @query
 def a7_majority_amount(spark, sf):
-    return _votes(spark, sf)
+    return choose.majority_amount(_valid(spark, sf), B.raw_reads(spark, sf, 2, 3))
 
 
 @query
 def a8_apply_vote(spark, sf):
-    return _flat(choose.apply_vote(_valid(spark, sf), _votes(spark, sf), ESCALATE)).select("id", "amount", "amount_reconciled", "flags", "status", "model")
+    best = choose.pick_best_read(_valid(spark, sf, 1, 2))
+    voted = choose.apply_vote(best, choose.majority_amount(best, B.raw_reads(spark, sf, 3, 4)), ESCALATE)
+    return _flat(voted).select("id", "amount", "amount_reconciled", "flags", "status", "model")
 
 
 @query
@@ -464,3 +467,85 @@ def u1_union_outcomes(spark, sf):
 @query
 def u2_with_error_rows(spark, sf):
     return _flat(_valid(spark, sf)).select(*FIELDS, "model", "error")
+
+
+@query
+def job_find_cheques(spark, sf):
+    return cheques.find_cheques(B.ink_runs(spark, sf), B.pages(spark, sf), B.proposals(spark, sf)).select("id", "page_key", "ordinal", "cheques_on_page", *_r6(*layout.BOX), "flag")
+
+
+def _read(spark: SparkSession, sf: str) -> DataFrame:
+    return cheques.read_cheques(B.raw_reads(spark, sf, 1, 4))
+
+
+@query
+def job_read_cheques(spark, sf):
+    return _flat(_read(spark, sf)).select("id", "amount", "amount_reconciled", "currency", "date", "payer", "bank", "cheque_number", "flags", "confidence", "status", "reviewed", "model", "error")
+
+
+@query
+def job_review_cheques(spark, sf):
+    n = F.count("*").over(Window.partitionBy("pdf_id", "page_index")).cast("int")
+    found = choose.result_rows(_valid(spark, sf)).withColumns({"source_file": F.concat(F.col("pdf_id"), F.lit(".pdf")), "cheques_on_page": n})
+    return cheques.review_cheques(found, B.corrections(spark, sf)).select("id", "rank", "line")
+
+
+@query
+def s6_save_load(spark, sf):
+    path = new_path(spark, "results")
+    results.save_results(_results(spark, sf).withColumn("crop", F.lit("x")), path)
+    return results.load_results(spark, path).select("id", "amount", "status", "confidence")
+
+
+@query
+def s8_pages_to_ink_runs(spark, sf):
+    return raster.pages_to_ink_runs(B.rasters(spark, sf))
+
+
+def _finished(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _landed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a stream of its rows, and a new folder for what comes of it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(f"{path}/in")
+    return df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/in"), path
+
+
+@query
+def t1_stream_validate(spark, sf):
+    reads, path = _landed(_raw(spark, sf), "validated-stream")
+    _finished(streams.stream_validate(reads).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").option("path", f"{path}/out"))
+    return _flat(spark.read.parquet(f"{path}/out")).select(*FIELDS, "model", "error")
+
+
+@query
+def t2_stream_upsert(spark, sf):
+    fixed, path = _landed(B.corrections(spark, sf), "upserted-stream")
+    _finished(streams.stream_upsert(fixed, f"{path}/table", f"{path}/cp"))
+    return streams.read_table(spark, f"{path}/table").select("id", "seq", "amount", "bank", "cheque_number")
+
+
+@query
+def t3_stream_progress(spark, sf):
+    done = _raw(spark, sf).groupBy(F.col("pdf_id").alias("file"), "page_index").agg(F.count("*").alias("cheques"))
+    pages, path = _landed(done, "progress-stream")
+    out = f"{path}/out"
+    _finished(streams.stream_progress(pages).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/cp").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)))
+    return spark.read.parquet(out)
+
+
+@query
+def t4_stream_exemplars(spark, sf):
+    fixed, path = _landed(B.corrections(spark, sf), "exemplar-stream")
+    keep = lambda b, i: streams.upsert_batch(b.withColumn("seq", F.lit(i)), i, f"{path}/table", "bank_key", ("seq",))
+    _finished(streams.stream_exemplars(fixed).writeStream.outputMode("update").option("checkpointLocation", f"{path}/cp").foreachBatch(keep))
+    newest = F.transform(F.from_json("exemplars", "array<array<string>>"), lambda x: x[0])
+    return streams.read_table(spark, f"{path}/table").select("bank_key", F.array_join(newest, ",").alias("seqs"))
+
+
+@query
+def f1_map_bounded(spark, sf):
+    kind = "key long, twice long, bank string"
+    return map_bounded(_raw(spark, sf).select("key", "bank"), lambda r: {"key": r["key"], "twice": 2 * r["key"], "bank": r["bank"].upper()}, 4, kind)

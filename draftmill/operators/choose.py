@@ -11,9 +11,11 @@ from draftmill.operators.validate import VALIDATED
 
 
 def pick_best_read(validated: DataFrame) -> DataFrame:
-    """One row per id: the read with the highest score; of equal ones the earliest pass. A partial aggregate: no sort of the reads."""
+    """One row per id: the read with the highest score; of equal ones the earliest pass. A later read that failed is no read: it never takes the place
+    of another. A partial aggregate: no sort of the reads."""
     cols = [c for c in validated.columns if c != "id"]
-    order = F.struct(C.score(F.col("flags"), F.col("amount_reconciled"), F.col("confidence")), -F.col("pass"))
+    failed = F.col("error").isNotNull() & (F.col("pass") > 1)
+    order = F.struct(~failed, C.score(F.col("flags"), F.col("amount_reconciled"), F.col("confidence")), -F.col("pass"))
     return validated.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("r")).select("id", "r.*")
 
 
@@ -43,7 +45,9 @@ def escalation_target(reads: DataFrame, configured: str) -> DataFrame:
 def majority_amount(base: DataFrame, extra: DataFrame) -> DataFrame:
     """(id, amount, votes) where at least three samples agree on two decimals; of equally frequent amounts the one seen first. Samples: the
     base read's two values, then for each extra read, by pass, its digits and its words value. base: id and the two values; extra: raw
-    reads."""
+    reads, of which those that failed have no say."""
+    if "error" in extra.columns:
+        extra = extra.filter("error is null")
     first = base.select("id", F.posexplode(F.array("amount_numeric_value", "amount_words_value")).alias("k", "v")).withColumn("pos", F.col("k").cast("long"))
     pair = F.array(C.parse_amount(F.col("amount_numeric")), F.col("amount_words_value"))
     more = extra.select("id", "pass", F.posexplode(pair).alias("k", "v")).withColumn("pos", F.col("pass") * 2 + F.col("k") + 10)

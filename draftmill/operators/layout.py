@@ -25,11 +25,32 @@ def ink_fraction(runs: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(ink, "page_key", "left").select("page_key", (F.coalesce("ink", F.lit(0)) / (F.col("width") * F.col("height"))).alias("fraction"))
 
 
+def page_profiles(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_key, width, height, upto): for each page an array of running sums of ink, one for each scan line. Only lines with ink are grouped;
+    the gaps between them are filled in within the page."""
+    ink = runs.groupBy("page_key", F.col("y").cast("int").alias("y")).agg(F.sum(F.col("x1") - F.col("x0")).alias("ink"))
+    upto = F.sum("ink").over(Window.partitionBy("page_key").orderBy("y"))
+    own = ink.withColumn("upto", upto).groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("y", "upto"))).alias("own"))
+    d = pages.select(*PAGE).filter("height > 0").join(own, "page_key", "left")
+    ends = F.concat(F.filter("own", lambda x: (x["y"] >= 0) & (x["y"] < F.col("height"))), F.array(F.struct(F.col("height").alias("y"), F.lit(0).cast("long").alias("upto"))))
+    none = F.array().cast("array<struct<y: int, upto: bigint>>")
+    d = d.withColumn("own", F.coalesce("own", none)).withColumn("own", ends)
+
+    def stretch(x: Column, i: Column) -> Column:
+        """The sums from this line with ink to the next."""
+        following = F.get("own", i + 1)["y"]
+        return F.array_repeat(x["upto"], following - x["y"])
+
+    before = F.array_repeat(F.lit(0).cast("long"), F.get("own", F.lit(0))["y"])
+    filled = F.flatten(F.transform(F.slice("own", F.lit(1), F.size("own") - 1), stretch))
+    return d.select(*PAGE, F.concat(before, filled).alias("upto"))
+
+
 def row_profile(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_key, width, height, y, ink) for every scan line of every page."""
-    ink = runs.groupBy("page_key", "y").agg(F.sum(F.col("x1") - F.col("x0")).alias("ink"))
-    zero = pages.select(*PAGE, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), F.lit(0).cast("long").alias("ink"))
-    return zero.unionByName(ink.join(pages, "page_key").select(*PAGE, F.col("y").cast("int").alias("y"), "ink")).groupBy(*PAGE, "y").agg(F.sum("ink").alias("ink"))
+    ink = F.transform("upto", lambda x, i: x - F.coalesce(F.get("upto", i - 1), F.lit(0)))
+    # The outer forms of explode and inline: for the others a filter on the array's size is put below the steps that make it, and repeats them.
+    return page_profiles(runs, pages).select(*PAGE, F.posexplode_outer(ink).alias("y", "ink"))
 
 
 def smooth_window(size: Column) -> Column:
@@ -78,13 +99,26 @@ def merge_runs(runs: DataFrame, keys: tuple[str, ...], gap: Column) -> DataFrame
     return d.groupBy(*keys, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
 
 
-def bands(profile: DataFrame) -> DataFrame:
-    """(page, y0, y1): bands of ink rows, gutters merged, those under 6 % of the height left out."""
-    smooth = box_smooth(profile, smooth_window(F.col("height"))).withColumn("share", F.col("smooth") / F.col("width"))
-    runs = bool_runs(page_max_threshold(smooth, "share", PAGE).filter("on"), PAGE)
-    gutter = F.greatest(F.lit(2), F.floor(F.col("height") * 0.012))
-    tall = F.col("end") - F.col("start") >= F.greatest(F.lit(4), F.floor(F.col("height") * 0.06))
-    return merge_runs(runs, PAGE, gutter).filter(tall).select(*PAGE, F.col("start").alias("y0"), F.col("end").alias("y1"))
+def bands(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, y0, y1): bands of ink rows, gutters merged, those under 6 % of the height left out. The steps of box_smooth, page_max_threshold,
+    bool_runs and merge_runs on a page's lines as one array: lines are neither exploded nor sorted; each step is a column of its own."""
+    h = F.col("height")
+    win = smooth_window(h)
+    d = page_profiles(runs, pages).withColumn("half", F.when(win <= 1, 0).otherwise(F.floor(win / 2)).cast("int"))
+
+    def share(i: Column) -> Column:
+        low, high = F.greatest(F.lit(0), i - F.col("half")), F.least(h, i + F.col("half") + 1)
+        return (F.get("upto", high - 1) - F.coalesce(F.get("upto", low - 1), F.lit(0))) / (high - low) / F.col("width")
+
+    d = d.withColumn("share", F.transform(F.sequence(F.lit(0), h - 1), share))
+    d = d.withColumn("on", C.let(F.greatest(F.lit(0.02), 0.06 * F.array_max("share")), lambda least: F.transform("share", lambda s: s > least)))
+    on = lambda i: F.coalesce(F.get("on", i), F.lit(False))
+    d = d.withColumn("start", F.filter(F.sequence(F.lit(0), h - 1), lambda i: on(i) & ~on(i - 1))).withColumn("end", F.filter(F.sequence(F.lit(1), h), lambda i: on(i - 1) & ~on(i)))
+    gutter = F.greatest(F.lit(2), F.floor(h * 0.012))
+    apart = lambda k: F.coalesce(F.get("start", k) - F.get("end", k - 1) > gutter, F.lit(True))
+    d = d.withColumn("bands", F.arrays_zip(F.filter("start", lambda s, k: apart(k)).alias("y0"), F.filter("end", lambda e, k: apart(k + 1)).alias("y1")))
+    tall = F.col("y1") - F.col("y0") >= F.greatest(F.lit(4), F.floor(h * 0.06))
+    return d.select(*PAGE, F.inline_outer("bands").alias("y0", "y1")).filter(tall)
 
 
 BAND = (*PAGE, "band_y0", "band_y1")
@@ -129,8 +163,8 @@ def pad_and_filter_boxes(boxes: DataFrame) -> DataFrame:
     return d.withColumn("wide", (F.col("x1") - F.col("x0") > 0.05) & (F.col("y1") - F.col("y0") > 0.03))
 
 
-def order_regions(regions: DataFrame, key: str = "page_key", ties: tuple[str, ...] = ("x0", "y0", "x1", "y1")) -> DataFrame:
-    """regions with `ordinal`, from 1: by top, then left, both to a hundredth; `ties` decide what is equal in both."""
+def order_regions(regions: DataFrame, key: str = "page_key", ties: tuple[str, ...] = ("i",)) -> DataFrame:
+    """regions with `ordinal`, from 1: by top, then left, both to a hundredth; what is equal in both keeps its order (`ties`: its place before)."""
     order = Window.partitionBy(key).orderBy(C.round2(F.col("y0")), C.round2(F.col("x0")), *ties)
     return regions.withColumn("ordinal", F.row_number().over(order))
 
@@ -151,13 +185,15 @@ def regions_overlap_badly(regions: DataFrame, key: str = "page_key") -> DataFram
     return regions.select(key).distinct().join(pairs, key, "left").select(key, F.coalesce("bad", F.lit(False)).alias("bad"))
 
 
-def _keyed(box: Column) -> Column:
-    """A box with its sort key before it, so that sorting an array of them is the order of regions."""
-    return F.struct(C.round2(box["y0"]).alias("top"), C.round2(box["x0"]).alias("left"), *[box[c].alias(c) for c in BOX])
+def _keyed(box: Column, place: Column, nth: Column | int = 0) -> Column:
+    """A box with its sort key before it, so that sorting an array of them is the order of regions; place, then nth: where it stood before."""
+    nth = F.lit(nth) if isinstance(nth, int) else nth
+    return F.struct(C.round2(box["y0"]).alias("top"), C.round2(box["x0"]).alias("left"), place.cast("int").alias("place"), nth.cast("int").alias("nth"), *[box[c].alias(c) for c in BOX])
 
 
 def _full_page() -> Column:
-    return F.array(F.struct(*[F.lit(v).alias(n) for n, v in zip(("top", "left", *BOX), (0.0, 0.0, 0.0, 0.0, 1.0, 1.0), strict=True)]))
+    box = F.struct(*[F.lit(v).alias(n) for n, v in zip(BOX, (0.0, 0.0, 1.0, 1.0), strict=True)])
+    return F.array(_keyed(box, F.lit(0)))
 
 
 def _any_clash(boxes: Column) -> Column:
@@ -179,9 +215,9 @@ def detect_regions(runs: DataFrame, pages: DataFrame) -> DataFrame:
     are gathered once and judged as an array."""
     pages = pages.select(*PAGE).repartition("page_key")
     runs = runs.repartition("page_key")
-    found = split_band_columns(band_column_profile(runs, bands(row_profile(runs, pages))))
-    boxes = pad_and_filter_boxes(found.withColumns({"y0": F.col("band_y0"), "y1": F.col("band_y1")}))
-    one = F.when(F.col("wide"), _keyed(F.struct(*BOX)))
+    found = split_band_columns(band_column_profile(runs, bands(runs, pages)))
+    boxes = pad_and_filter_boxes(found.withColumns({"y0": F.col("band_y0"), "y1": F.col("band_y1"), "left": F.col("x0")}))
+    one = F.when(F.col("wide"), _keyed(F.struct(*BOX), F.col("band_y0"), F.col("left")))
     own = boxes.groupBy("page_key").agg(F.max("ambiguous").alias("odd"), F.array_sort(F.collect_list(one)).alias("b"))
     blank = (F.col("fraction") < MIN_INK) | (F.col("width") < MIN_SIDE) | (F.col("height") < MIN_SIDE)
     d = pages.join(ink_fraction(runs, pages), "page_key").join(own, "page_key", "left").withColumn("n", F.when(blank | F.col("b").isNull(), 0).otherwise(F.size("b")))
@@ -203,8 +239,8 @@ def cap_regions(regions: DataFrame, most: int = MAX_CHEQUES) -> DataFrame:
 def resolve_page_regions(classical: DataFrame, proposals: DataFrame) -> DataFrame:
     """(page_key, ordinal, x0, y0, x1, y1, flag): single pages whole; ok pages by their boxes; ambiguous ones by two or more proposals, else whole.
     proposals: (page_key, boxes). Every page keeps at least one region."""
-    own = classical.groupBy("page_key").agg(F.max("flag").alias("flag"), F.collect_list(_keyed(F.struct(*BOX))).alias("b"))
-    given = proposals.select("page_key", F.transform(C.normalize_proposals(F.col("boxes")), _keyed).alias("p"))
+    own = classical.groupBy("page_key").agg(F.max("flag").alias("flag"), F.collect_list(_keyed(F.struct(*BOX), F.col("ordinal"))).alias("b"))
+    given = proposals.select("page_key", F.transform(C.normalize_proposals(F.col("boxes")), lambda b, i: _keyed(b, i)).alias("p"))
     d = own.join(given, "page_key", "left")
     asked = (F.col("flag") == "ambiguous") & F.coalesce(F.size("p") >= 2, F.lit(False))
     regions = F.when(F.col("flag") == "ok", F.col("b")).when(asked, F.col("p")).otherwise(_full_page())

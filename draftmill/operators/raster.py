@@ -13,6 +13,9 @@ def gray_of(pixels: bytes, width: int, height: int) -> np.ndarray:
     """Gray levels of a raster of one (gray), three or four bytes (colour, luma of weights 77, 150, 29) a pixel."""
     a = np.frombuffer(pixels, np.uint8)
     depth = len(a) // max(width * height, 1)
+    a = a[: depth * width * height]
+    if depth == 2:
+        a = a[::2]
     if depth >= 3:
         a = ((a.reshape(-1, depth)[:, :3].astype(np.int64) @ [77, 150, 29]) >> 8).astype(np.uint8)
     return a.reshape(height, width)
@@ -34,13 +37,14 @@ def runs_of(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pages_to_ink_runs(pages: DataFrame) -> DataFrame:
-    """(page_key, y, x0, x1) from (page_key, width, height, pixels). A page is read and let go before the next; only runs leave."""
+    """(page_key, y, x0, x1) from (page_key, width, height, pixels). A page is read and let go before the next; only runs leave. A page without
+    a size or pixels, or with fewer pixels than its size asks for, has no runs."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, w, h, pixels in zip(batch["page_key"], batch["width"], batch["height"], batch["pixels"], strict=True):
-                if w and h and pixels is not None:
-                    y, x0, x1 = runs_of(gray_of(pixels, w, h))
+                if pd.notna(w) and pd.notna(h) and w > 0 and h > 0 and pixels is not None and len(pixels) >= int(w) * int(h):
+                    y, x0, x1 = runs_of(gray_of(pixels, int(w), int(h)))
                     yield pd.DataFrame({"page_key": key, "y": y, "x0": x0, "x1": x1})
 
     kind = pages.schema["page_key"].dataType.simpleString()

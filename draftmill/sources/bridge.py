@@ -56,7 +56,7 @@ RAW_READS = [
         "cheque_number": f"CASE WHEN k % 19 = 0 THEN '' WHEN k % 8 = 0 AND p < 3 THEN {text('k % 100000', 5)} ELSE 'No ' || {text('k', 10)} END",
         "has_handwriting": pick("k % 3", "NULL", "true", "false"),
         "conf_amount": pick("k % 6", "CAST(0.5 AS DOUBLE)", "NULL", "CAST(0.9 AS DOUBLE)"), "conf_payer": pick("k % 10", "CAST(0.3 AS DOUBLE)", "NULL", "CAST(0.8 AS DOUBLE)"),
-        "model": f"CASE WHEN p = 1 THEN {pick('k % 5', *MODELS)} ELSE 'gemini-2.5-pro' END", "error": "CASE WHEN k % 29 = 0 AND p = 1 THEN 'HTTP 500, no answer' ELSE NULL END",
+        "model": f"CASE WHEN p = 1 THEN {pick('k % 5', *MODELS)} ELSE 'gemini-2.5-pro' END", "error": "CASE WHEN k % 29 = 0 AND p = 1 THEN 'HTTP 500, no answer' WHEN k % 4 = 3 AND p = 2 THEN 'HTTP 429, no answer' ELSE NULL END",
     },
 ]
 
@@ -102,6 +102,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_reads(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 1) -> DataFrame:
     """Passes first to last of every order's cheque."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("price"))
+    # The table is one row group: its narrow keys are spread before the long chain of strings. A number keeps small tables spread.
+    o = o.repartition(spark.sparkContext.defaultParallelism, "k")
     d = chain(o.withColumn("p", F.explode(F.array(*[F.lit(p).cast("long") for p in range(first, last + 1)]))), RAW_READS)
     none = F.lit(None).cast("double")
     conf = F.struct(F.col("conf_amount").alias("amount"), none.alias("date"), F.col("conf_payer").alias("payer"), none.alias("bank"), none.alias("chequeNumber"))
@@ -140,3 +142,19 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gray_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     return line.groupBy(F.col("l_suppkey").alias("page_key"), ((F.col("l_quantity").cast("int") * 5) % 256).alias("gray")).agg(F.count("*").alias("n"))
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_key, width, height, pixels): the ink runs of each page drawn dark on white, a line of pixels after the other."""
+    size = pages(spark, sf_dir)
+    runs = F.array_sort(F.collect_list(F.struct("x0", "x1")))
+    lines = ink_runs(spark, sf_dir).groupBy("page_key", F.col("y").cast("int").alias("y")).agg(runs.alias("runs")).join(size, "page_key")
+    white, dark = (lambda n: F.repeat(F.lit("~"), n)), (lambda n: F.repeat(F.lit(" "), n))
+    end = F.coalesce(F.element_at("runs", -1)["x1"], F.lit(0))
+    parts = F.transform("runs", lambda r, i: F.concat(white(r["x0"] - F.coalesce(F.get("runs", i - 1)["x1"], F.lit(0))), dark(r["x1"] - r["x0"])))
+    drawn = lines.select("page_key", "y", F.concat(F.array_join(parts, ""), white(F.col("width") - end)).alias("line"))
+    own = drawn.groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("own"))
+    d = size.join(own, "page_key", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<y: int, line: string>>")))
+    following = lambda i: F.coalesce(F.get("own", i)["y"], F.col("height"))
+    body = F.transform("own", lambda x, i: F.concat(x["line"], white(F.col("width") * (following(i + 1) - x["y"] - 1))))
+    return d.select("page_key", "width", "height", F.concat(white(F.col("width") * following(F.lit(0))), F.array_join(body, "")).cast("binary").alias("pixels"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftmill.functions import columns as C  # noqa: F401
-
 DETECT_EDGE, CROP_EDGE, PREVIEW_EDGE = 1500, 1568, 1100
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from draftmill.functions import columns as C
 from draftmill.functions.tables import RAW
 from draftmill.operators.exemplars import KEEP
-from draftmill.operators.results import keep_last
+from draftmill.operators.results import ORDER, keep_last, order_results
 from draftmill.operators.validate import with_error_rows
 
 READ = f"id string, pass int, model string, error string, {RAW}"
@@ -27,41 +27,70 @@ def stream_validate(reads: DataFrame) -> DataFrame:
     return with_error_rows(reads)
 
 
-def _versions(spark: SparkSession, path: str):
+def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = jvm.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return fs, []
-    # A version counts when its success file is there.
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return fs, sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.Path(f"{path}/{n}/_SUCCESS")))
+    return jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.Path
+
+
+def _buckets(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions that hold each bucket of the table, oldest first. A version counts when its success file is there."""
+    fs, at = _hadoop(spark, path)
+    out: dict[int, list[int]] = {}
+    if fs.exists(at(path)):
+        for v in sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at(path)) if s.getPath().getName().startswith("v=")):
+            if fs.exists(at(f"{path}/v={v}/_SUCCESS")):
+                for b in fs.listStatus(at(f"{path}/v={v}")):
+                    if b.getPath().getName().startswith("bucket="):
+                        out.setdefault(int(b.getPath().getName()[7:]), []).append(v)
+    return out
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of an upserted table."""
-    _, found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+    """An upserted table: of each bucket its newest version. Results come in the order of display."""
+    found = _buckets(spark, path)
+    if not found:
+        return None
+    table = spark.read.parquet(*[f"{path}/v={vs[-1]}/bucket={b}" for b, vs in sorted(found.items())])
+    return order_results(table) if set(ORDER) <= set(table.columns) else table
+
+
+def _bucket_count(spark: SparkSession, path: str, wanted: int) -> int:
+    """The table's number of buckets: a property that is written with its first batch and stays."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at(f"{path}/_buckets/_SUCCESS")):
+        spark.range(1).select(F.lit(str(wanted)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/_buckets")
+        return wanted
+    return int(spark.read.text(f"{path}/_buckets").first().value)
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, key: str, seq: tuple[str, ...], buckets: int = 16) -> None:
-    """One micro-batch into the table at path: the last result of a key wins. Version batch_id + 1 is the version before it and the batch, dealt by key; a batch
-    that is run again writes the same version again. Older versions but the one before are removed."""
+    """One micro-batch into the table at path: the last result of a key wins. Rows are dealt by key into the table's buckets; only buckets that the
+    batch touches are written, as version batch_id + 1. A batch that is run again writes the same version again. Of a bucket the version before
+    stays, older ones are removed."""
     spark = batch.sparkSession
-    fs, found = _versions(spark, path)
-    before = [v for v in found if v <= batch_id]
-    last = keep_last(batch, key, *seq)
-    if before:
-        old = spark.read.parquet(f"{path}/v={before[-1]}")
-        last = keep_last(old.unionByName(last), key, *seq)
-    last.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
-    for v in before[:-1]:
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
-
-
-def stream_upsert(results: DataFrame, path: str, checkpoint: str, key: str = "id", seq: tuple[str, ...] = ("seq",)):
+    n = _bucket_count(spark, path, buckets)
+    last = keep_last(batch, key, *seq).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    touched = [r.bucket for r in last.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    found = {b: [v for v in vs if v <= batch_id] for b, vs in _buckets(spark, path).items()}
+    for b in touched:
+        if found.get(b):
+            last = last.unionByName(spark.read.parquet(f"{path}/v={found[b][-1]}/bucket={b}").withColumn("bucket", F.lit(b)))
+    order = [c for c in ORDER if c in batch.columns] or [key]
+    whole = keep_last(last, key, *seq).repartition("bucket").sortWithinPartitions("bucket", *order)
+    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id + 1}")
+    fs, at = _hadoop(spark, path)
+    for b in touched:
+        for v in found.get(b, [])[:-1]:
+            fs.delete(at(f"{path}/v={v}/bucket={b}"), True)
+            if not any(s.isDirectory() for s in fs.listStatus(at(f"{path}/v={v}"))):
+                fs.delete(at(f"{path}/v={v}"), True)
+
+
+def stream_upsert(results: DataFrame, path: str, checkpoint: str, key: str = "id", seq: tuple[str, ...] = ("seq",), buckets: int = 16):
     """A writer that keeps the table at path up to date; start it by .start()."""
-    return results.writeStream.foreachBatch(lambda b, i: upsert_batch(b, i, path, key, seq)).option("checkpointLocation", checkpoint).outputMode("append")
+    return results.writeStream.foreachBatch(lambda b, i: upsert_batch(b, i, path, key, seq, buckets)).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def stream_progress(pages: DataFrame) -> DataFrame:

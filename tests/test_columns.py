@@ -1,3 +1,5 @@
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ def test_parse_amount(spark):
 
 def test_format_amount(spark):
     assert values(spark, C.format_amount, 1234.5, None, 0.0, float("nan"), float("inf"), kind="double") == ["1234.50", "", "0.00", "", ""]
-    assert values(spark, C.format_amount_exact, 1.005, 0.125, None, 1234.5, kind="double") == ["1.00", "0.13", "", "1234.50"]
+    given = [1.005, 0.125, 1234.5, -1.005, -0.125, 2.675, 8.345, 0.005, 1e15, 35.855, 1.015, 1000000.005, 0.0049999999, 5e-324]
+    want = [format(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP), "f").replace("-0.00", "0.00") for v in given]
+    assert values(spark, C.format_amount, *given, kind="double") == want
 
 
 def test_words_to_number(spark):
