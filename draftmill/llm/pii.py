@@ -25,6 +25,7 @@ read, whatever other columns there are; no rows in, no rows out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, staged
+from .exact import text_hash
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "name")
@@ -52,6 +54,9 @@ LOOSE = {
     "name": re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?"),
 }
 DIGIT = re.compile(r"[0-9]")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn in br ru ch at be se no dk fi pl pt".split())
 CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "64", "65", "81", "82", "86", "90", "91", "971", "974")
 FIRST_NAMES = frozenset("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna maria peter paul hans marie jean pierre carlos jose juan ana luis laura".split())
@@ -78,7 +83,7 @@ def _digits(s: str) -> str:
 def passes(kind: str, s: str) -> bool:
     """Whether a match of a base pattern passes its check."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
     if kind == "card":
         return 16 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -86,17 +91,40 @@ def passes(kind: str, s: str) -> bool:
     return True
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """What EMAIL finds, from each @ outwards: the run of a local part's characters before it, and the domain behind it. Every character is looked
+    at a few times at most, however long a run is."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > low and text[start - 1] in _LOCAL:
+            start -= 1
+        low = at + 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            low = m.end()
+        at = text.find("@", low)
+    return out
+
+
+def _ips(text: str) -> list[tuple[int, int]]:
+    """What IP finds: of each sequence of numbers with single dots between them, four at a time."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        if m.group().count(".") >= 3:
+            at, parts = m.start(), m.group().split(".")
+            for k in range(0, len(parts) - 3, 4):
+                size = sum(map(len, parts[k : k + 4])) + 3
+                out.append((at, at + size))
+                at += size + 1
+    return out
+
+
 def base_matches(text: str) -> list[tuple[str, int, int]]:
     """All matches of the base patterns, leftmost and non-overlapping within a kind, before their checks."""
-    found = []
-    at, seen = text.find("@"), 0
-    while at >= 0:  # an address holds no space, so only the stretches between spaces that hold an @ are searched
-        low, high = max(text.rfind(" ", 0, at) + 1, seen), text.find(" ", at)
-        high = len(text) if high < 0 else high
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, low, high)]
-        seen, at = high, text.find("@", high)
+    found = [("email", s, e) for s, e in _emails(text)]
     if DIGIT.search(text):
-        found += [(k, m.start(), m.end()) for k, p in (("ip", IP), ("card", CARD)) for m in p.finditer(text)]
+        found += [("ip", s, e) for s, e in _ips(text)] + [("card", m.start(), m.end()) for m in CARD.finditer(text)]
         if "+" in text:
             found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text)]
     return found
@@ -144,13 +172,22 @@ def votes(kind: str, start: int, end: int, text: str, strict: bool | None) -> tu
 def spans_of(text: str) -> list[tuple[str, int, int, str, bool]]:
     """(kind, start, end, pattern, base) of a text, by kind and start; candidates that overlap what comes before them are left out."""
     matches = [(k, s, e, passes(k, text[s:e])) for k, s, e in base_matches(text)]
-    taken = [(s, e) for _, s, e, ok in matches if ok]
+    # Stretches that are taken, apart from one another (base spans of two kinds may overlap: such are joined).
+    starts, ends = [], []
+    for a, b in sorted((s, e) for _, s, e, ok in matches if ok):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = [(k, s, e, True, True) for k, s, e, ok in matches if ok]
     # A number that only looks like the start of a card is no candidate: cards that failed need 13 digits or more.
     more = [(k, s, e, False) for k, s, e, ok in matches if not ok and (k != "card" or len(_digits(text[s:e])) >= 13)] + [(*x, None) for x in _loose(text)]
     for k, s, e, strict in sorted(more, key=lambda x: (KINDS.index(x[0]), x[1], x[2], x[3] is None)):
-        if all(e <= a or b <= s for a, b in taken):
-            taken.append((s, e))
+        at = bisect_left(starts, e)  # the stretches before `at` start before this one ends
+        if at == 0 or ends[at - 1] <= s:
+            starts.insert(at, s)
+            ends.insert(at, e)
             out.append((k, s, e, strict, False))
     rows = []
     for k, s, e, strict, base in sorted(out, key=lambda x: (KINDS.index(x[0]), x[1])):
@@ -201,14 +238,14 @@ def classify(patterns: list[str], counts: np.ndarray, steps: int = 60) -> np.nda
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, and its base spans and candidates in order."""
+    """Per row: doc_id, th (the hash of the text), and its base spans and candidates in order."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("base", pa.bool_())]))
 
     def per_task():
         names = ("kind", "start", "end", "pattern", "base")
-        return lambda ids, texts: {"spans": pa.array([[dict(zip(names, s, strict=True)) for s in spans_of(t)] for t in texts], kind)}
+        return lambda ids, texts: {"th": [text_hash(t) for t in texts], "spans": pa.array([[dict(zip(names, s, strict=True)) for s in spans_of(t)] for t in texts], kind)}
 
-    return map_texts(id_and_text(docs), per_task, "spans array<struct<kind: string, start: long, end: long, pattern: string, base: boolean>>")
+    return map_texts(id_and_text(docs), per_task, "th long, spans array<struct<kind: string, start: long, end: long, pattern: string, base: boolean>>")
 
 
 def _written(spans: Column) -> Column:
@@ -216,13 +253,13 @@ def _written(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """Per row: doc_id, base (array of base spans) and found (array of all spans), each of kind, start, end and base, by kind and start."""
+    """Per row: doc_id, th (the hash of the text), base (array of base spans) and found (array of all spans), each of kind, start, end and base, by kind and start."""
     found = staged(find_candidates(docs), "pii-candidates")
     rows = found.select(F.explode("spans").alias("s")).groupBy("s.pattern").count().orderBy("pattern").collect()
     patterns = [r.pattern for r in rows]
     good = [p for p, x in zip(patterns, classify(patterns, np.array([r["count"] for r in rows], float)) if patterns else [], strict=True) if x >= accept]
     chosen = F.array(*[F.lit(p) for p in good]) if good else F.array().cast("array<string>")
-    return found.select("doc_id", F.filter("spans", lambda s: s["base"]).alias("base"), F.filter("spans", lambda s: s["base"] | F.array_contains(chosen, s["pattern"])).alias("found"))
+    return found.select("doc_id", "th", F.filter("spans", lambda s: s["base"]).alias("base"), F.filter("spans", lambda s: s["base"] | F.array_contains(chosen, s["pattern"])).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -233,10 +270,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Per row: doc_id and text with every span replaced by its kind in angle brackets. Joined by doc_id and a hash of the text."""
-    docs = id_and_text(docs).withColumn("h", F.xxhash64("text"))
-    spans = personal_data(docs, accept).select("doc_id", "found")
+    docs = id_and_text(docs)
+    spans = personal_data(docs, accept).select("doc_id", "th", "found")
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    once = spans.filter(F.size("found") > 0).withColumn("found", ordered).dropDuplicates(["doc_id", "found"]).groupBy(F.col("doc_id").alias("id")).agg(F.first("found").alias("found"))
+    once = spans.filter(F.size("found") > 0).withColumn("found", ordered).groupBy(F.col("doc_id").alias("id"), "th").agg(F.first("found").alias("found"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def put(acc: Column, s: Column) -> Column:
@@ -246,5 +283,5 @@ def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         return F.when(skip, acc).otherwise(F.struct(F.concat(acc["out"], kept, F.lit("<"), s["kind"], F.lit(">")).alias("out"), s["end"].alias("at")))
 
     whole = F.aggregate("found", start, put, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
-    both = docs.join(once, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    both = docs.join(once, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th")), "left")
     return both.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(whole).alias("text"))
