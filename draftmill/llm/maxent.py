@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import SLICE, crc_mod, id_and_text, map_texts, staged, to_arrow
+from .common import SLICE, crc_mod, id_and_text, map_texts, most_frequent, staged, to_arrow
 
 END = b"\n"  # no word holds white space
 HEAD, PER_KIND, LEAST_BITS, MOST_BITS = 1 << 17, 16, 12, 22
@@ -82,20 +82,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def most_frequent(counts: DataFrame, head: int) -> DataFrame:
-    """The rows of (word, c) with the highest counts, head of them at most; those that tie at the border stay out. The border comes from
-    a histogram of counts (exact below 65,536, finer than a thousandth beyond), so no task sends more rows than are kept."""
-    exact = 1 << 16
-    level = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log2("c") * 1024)).cast("long")
-    total, border = 0, None
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        total += r.n
-        if total > head:
-            break
-        border = r.level
-    return counts.select("word", "c").filter(level >= border if border is not None else F.lit(False))
-
-
 @dataclass
 class Model:
     """What tasks need. Word i of the head has code i + 1, count counts[i]; code 0 stands before a text's first word."""

@@ -2,8 +2,8 @@
 
 First tier: a broadcast hash table of the token counts of frequent pre-tokens, of at most HEAD entries (about 4 MB). Second
 tier: a cache in each Python worker, for the rest; what both miss is encoded by the tokenizer's library. No pre-token is shuffled: to
-find the frequent ones each task counts its own in bounded space and sends its CANDIDATES most frequent, and nothing
-depends on that table but speed.
+find the frequent ones each task counts its own in bounded space and sends its CANDIDATES most frequent, the highest counts are taken above a
+border that a histogram gives, and nothing depends on that table but speed.
 
 A pre-token is here a run without ASCII white space. The tokenizer drops white space and its pieces never reach over it, so a
 text's tokens are those of its pre-tokens; strings of special tokens hold no white space and meet the library whole.
@@ -17,18 +17,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, load
-from .common import SLICE, id_and_text, map_texts, to_arrow
+from .common import SLICE, id_and_text, map_texts, most_frequent, staged, to_arrow
 
 HEAD, CANDIDATES, COUNTED = 1 << 15, 1 << 13, 1 << 18
 
 
 def frequent(docs: DataFrame, head: int = HEAD) -> DataFrame:
-    """(word, n) of the most frequent pre-tokens, as far as bounded counters in the tasks can tell."""
+    """(word, c) of the most frequent pre-tokens, as far as bounded counters in the tasks can tell; head rows at most."""
     schema = "word binary, n long"
     arrow = to_arrow(docs.sparkSession, schema)
 
@@ -46,8 +47,19 @@ def frequent(docs: DataFrame, head: int = HEAD) -> DataFrame:
         top = count.most_common(CANDIDATES)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], schema=arrow)
 
-    found = docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "word").limit(head)
+    found = staged(docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("c")), "frequent-words")
+    return most_frequent(found, head)
+
+
+class Head(dict):
+    """The first tier: a table of lengths. What it misses is asked of the second tier and not kept here."""
+
+    def __init__(self, table: tuple[bytes, bytes], rest: Memo):
+        super().__init__(zip(table[0].split(b"\n"), np.frombuffer(table[1], "<u4").tolist(), strict=True) if table[0] else ())
+        self.rest = rest
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rest[word]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, head: int = HEAD) -> DataFrame:
@@ -57,15 +69,16 @@ def token_counts(docs: DataFrame, tokenizer: str, head: int = HEAD) -> DataFrame
     coder = load(tokenizer)
     words = [bytes(r.word) for r in frequent(docs, head).collect()]
     lengths = [len(e) for e in coder.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-    table = spark.sparkContext.broadcast(dict(zip(words, lengths, strict=True)))
+    # Compact: the words end to end (they hold no line feed) and their lengths.
+    table = spark.sparkContext.broadcast((b"\n".join(words), np.array(lengths, "<u4").tobytes()))
 
     def per_task():
-        coder, known = load(tokenizer), table.value
-        rest = Memo(lambda w: known[w] if w in known else len(coder.encode(w.decode("utf-8", "replace"), add_special_tokens=False)))
+        coder = load(tokenizer)
+        head = Head(table.value, Memo(lambda w: len(coder.encode(w.decode("utf-8", "replace"), add_special_tokens=False))))
 
         def work(ids, texts):
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            return {"n_bytes": [len(b) for b in raw], "n_tokens": [sum(map(rest.__getitem__, b.split())) for b in raw]}
+            return {"n_bytes": [len(b) for b in raw], "n_tokens": [sum(map(head.__getitem__, b.split())) for b in raw]}
 
         return work
 

@@ -1,13 +1,15 @@
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from draftmill.llm import maxent, pii
+from draftmill.llm import common, maxent, pii
 from draftmill.llm.queries import op3_pii, op10_lm_scoring
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +59,28 @@ def test_email_windows_find_what_the_whole_text_gives():
         assert [(s, e) for k, s, e in pii.base_matches(text) if k == "email"] == [m.span() for m in pii.EMAIL.finditer(text)]
 
 
+def test_base_matches_are_those_of_the_patterns():
+    rng = random.Random(1)
+    for chars in ("a.@-b ", "1.2 -+()", "1.23.4.", "a@b.c%+1 \n"):
+        for _ in range(5000):
+            text = "".join(rng.choice(chars) for _ in range(rng.randint(0, 24)))
+            want = [(k, m.start(), m.end()) for k, p in (("email", pii.EMAIL), ("ip", pii.IP), ("card", pii.CARD), ("phone", pii.PHONE)) for m in p.finditer(text)]
+            assert sorted(pii.base_matches(text)) == sorted(want), text
+
+
+def test_long_runs_take_time_in_proportion():
+    for text in ("1" * 10**6, "a" * 10**6 + " x@y.z", "12 " * 300_000, "a@" * 500_000, "+1" + " " * 10**6, "0" * 10**6 + ".1.1.1", "call 555-123-4567 " * 50_000):
+        began = time.process_time()
+        pii.spans_of(text)
+        assert time.process_time() - began < 20, text[:10]
+
+
+def test_redaction_goes_by_id_and_text(spark):
+    rows = [(1, "write to jo.doe@mail.example.com now"), (1, "nothing personal here at all"), (None, "or call a.b@mail.example.com"), (2, None)]
+    got = sorted(r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == ["", "nothing personal here at all", "or call <email>", "write to <email> now"]
+
+
 def test_labelers_are_weighed_and_loose_spans_found(spark):
     good = [(i, f"please call our phone (555) 01{i % 10}-2{i % 10}34 or mail jo{i}@mail.example.com") for i in range(60)]
     good += [(300 + i, f"please call our phone +1 (555) 01{i % 10}-2{i % 10}34") for i in range(60)]
@@ -175,7 +199,7 @@ def test_lm_trains_on_every_position(spark):
 def test_most_frequent_words_fit_the_bound(spark):
     rows = [(b"w%d" % i, c) for i, c in enumerate([900000, 70000, 70000, 5, 5, 5, 4, 1, 1])]
     counts = spark.createDataFrame(rows, "word binary, c long")
-    got = {h: sorted(r.c for r in maxent.most_frequent(counts, h).collect()) for h in (0, 1, 3, 5, 6, 7, 100)}
+    got = {h: sorted(r.c for r in common.most_frequent(counts, h).collect()) for h in (0, 1, 3, 5, 6, 7, 100)}
     assert got == {0: [], 1: [900000], 3: [70000, 70000, 900000], 5: [70000, 70000, 900000], 6: [5, 5, 5, 70000, 70000, 900000], 7: [4, 5, 5, 5, 70000, 70000, 900000], 100: sorted(c for _, c in rows)}
 
 
