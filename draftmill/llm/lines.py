@@ -19,15 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftmill.functions.columns import let
+
 from .common import WHITE, id_and_text, staged
 from .exact import hit_cells, possibly_in
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once a row; a plain reference within a lambda would be computed for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _hashes(line: Column) -> Column:
     blank = F.translate(line, WHITE, "") == ""
     zero = F.lit(0).cast("long")

@@ -23,8 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftmill.functions.columns import let
+
 from .common import WHITE, id_and_text, staged
-from .lines import let
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_length", "symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share", "digit_share", "line_words")
