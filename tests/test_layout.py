@@ -90,3 +90,30 @@ def test_crops_start_at_their_corner(spark):
     regions = spark.createDataFrame([("p", 1, 0.2, 0.5, 1.0, 1.0), ("p", 2, 0.0, 0.0, 1.0, 1.0)], "page_key string, ordinal int, x0 double, y0 double, x1 double, y1 double")
     got = sorted(tuple(r)[1:] for r in layout.crop_runs(runs, regions, pages).collect())
     assert got == [(1, y, 0, 3) for y in range(5)] + [(2, y, 0, 5) for y in range(10)]
+
+
+def test_ties_keep_their_order(spark):
+    box = "struct<x0: double, y0: double, x1: double, y1: double>"
+    given = [(0.200, 0.101, 0.4, 0.3), (0.199, 0.104, 0.4, 0.3), (0.6, 0.1, 0.9, 0.3)]
+    rows = spark.createDataFrame([("p", i, *b) for i, b in enumerate(given)], "page_key string, i int, x0 double, y0 double, x1 double, y1 double")
+    assert [r.i for r in layout.order_regions(rows).orderBy("ordinal").collect()] == [0, 1, 2]  # 0 and 1 are equal to a hundredth
+    single = spark.createDataFrame([("p", 1, 0.0, 0.0, 1.0, 1.0, "ambiguous")], "page_key string, ordinal int, x0 double, y0 double, x1 double, y1 double, flag string")
+    props = spark.createDataFrame([("p", [dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in given])], f"page_key string, boxes array<{box}>")
+    got = [(r.x0, r.y0) for r in layout.resolve_page_regions(single, props).orderBy("ordinal").collect()]
+    assert got == [b[:2] for b in given]
+
+
+def test_pages_without_a_size_or_pixels_have_no_runs(spark):
+    rows = [("a", None, 3, bytearray(9)), ("b", 3, None, bytearray(9)), ("c", 3, 3, None), ("d", 3, 3, bytearray(5)), ("e", 0, 0, bytearray(0)), ("f", 3, 2, bytearray([255, 0, 255] * 2)), ("g", 2, 1, bytearray([0, 9, 255, 9]))]
+    got = raster.pages_to_ink_runs(spark.createDataFrame(rows, "page_key string, width int, height int, pixels binary")).collect()
+    assert sorted((r.page_key, r.y, r.x0, r.x1) for r in got) == [("f", 0, 1, 2), ("f", 1, 1, 2), ("g", 0, 0, 1)]
+
+
+def test_bands_are_those_of_the_single_steps(spark, pages, runs):
+    profile = layout.row_profile(runs, pages)
+    assert profile.count() == sum(h for _, h, _, _, _ in PAGES.values())
+    smooth = layout.box_smooth(profile, layout.smooth_window(F.col("height"))).withColumn("share", F.col("smooth") / F.col("width"))
+    steps = layout.merge_runs(layout.bool_runs(layout.page_max_threshold(smooth, "share", layout.PAGE).filter("on"), layout.PAGE), layout.PAGE, F.greatest(F.lit(2), F.floor(F.col("height") * 0.012)))
+    tall = F.col("end") - F.col("start") >= F.greatest(F.lit(4), F.floor(F.col("height") * 0.06))
+    want = sorted((r.page_key, r.start, r.end) for r in steps.filter(tall).collect())
+    assert sorted((r.page_key, r.y0, r.y1) for r in layout.bands(runs, pages).collect()) == want and len(want) > 10

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftmill.functions.tables import RAW, RESULT
+from draftmill.jobs import cheques
 from draftmill.jobs.hooks import map_bounded
 from draftmill.operators import choose, exemplars, results
 from draftmill.operators.validate import validate_extraction, with_error_rows
@@ -54,6 +55,25 @@ def test_best_read_keeps_the_earlier_of_equals(spark):
     assert got == {"a": 2, "b": 1, "c": 1}
 
 
+def test_a_failed_later_read_never_wins(spark):
+    bad = read("a", "5", "nine hundred", 900.0, date="31/02/2020", number="1")
+    rows = [bad, read("a", None, None, None, pass_=2, model=PRO, error="HTTP 500"), read("b", "1", "", 1.0, error="timeout")]
+    got = {r.id: (r["pass"], r.status) for r in choose.pick_best_read(with_error_rows(spark.createDataFrame(rows, READ))).collect()}
+    assert got == {"a": (1, "review"), "b": (1, "error")}
+    votes = choose.majority_amount(with_error_rows(spark.createDataFrame([bad], READ)), spark.createDataFrame([read("a", "900", "", 900.0, pass_=3, error="x"), read("a", "900", "", 900.0, pass_=4)], READ))
+    assert [(r.amount, r.votes) for r in votes.collect()] == [("900.00", 3)]
+
+
+def test_the_job_asks_for_second_reads_and_votes_as_its_options_say(spark):
+    rows = [read("a", "5", "", 6.0), read("a", "7", "", 7.0, pass_=2, model=PRO), read("b", "5", "", 6.0), read("b", "x", "", None, pass_=2, model=PRO, error="HTTP 500"), read("b", "6", "", 6.0, pass_=3), read("b", "9", "", 6.0, pass_=4), read("c", "1", "", 1.0), read("c", "2", "", 3.0, pass_=2, model=PRO)]
+    place = {"pdf_id": F.lit("d"), "page_index": F.lit(0), "cheque_on_page": F.ascii("id")}
+    d = spark.createDataFrame(rows, READ).withColumns(place)
+    got = {r.id: (r.amount, r.status, r.model) for r in cheques.read_cheques(d).collect()}
+    assert got == {"a": ("7.00", "ok", PRO), "b": ("6.00", "ok", PRO), "c": ("1.00", "ok", FLASH)}
+    plain = {r.id: (r.amount, r.status) for r in cheques.read_cheques(d, cheques.Options(escalate=False, voting=False)).collect()}
+    assert plain == {"a": ("6.00", "review"), "b": ("6.00", "review"), "c": ("1.00", "ok")}
+
+
 def test_votes(spark):
     base = validate_extraction(spark.createDataFrame([read("a", "5", "", 6.0), read("b", "1", "", 2.0), read("c", "7", "", 8.0, number="1")], READ))
     extra = spark.createDataFrame([read("a", "6.00", "", 6.0, pass_=2), read("a", "9", "", 9.0, pass_=3), read("b", "1", "", 2.0, pass_=2), read("c", "8", "", 8.0, pass_=2), read("c", "7", "", 7.0, pass_=3)], READ)
@@ -151,3 +171,9 @@ def test_bounded_map_keeps_order_and_bound(spark, tmp_path):
 
     got = map_bounded(spark.createDataFrame([(i,) for i in range(1, 8)], "x int").coalesce(1), double, 3, "x int, n int").collect()
     assert [r.x for r in got] == [2, 4, 6, 8, 10, 12, 14] and max(r.n for r in got) <= 3
+
+
+def test_bounded_map_keeps_types(spark):
+    rows = [(1, None), (None, "x"), (2**60 + 1, "y")]
+    got = map_bounded(spark.createDataFrame(rows, "n long, s string").coalesce(1), lambda r: {"n": r["n"], "kind": type(r["n"]).__name__}, 2, "n long, kind string").collect()
+    assert [tuple(r) for r in got] == [(1, "int"), (None, "NoneType"), (2**60 + 1, "int")]

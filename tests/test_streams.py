@@ -64,3 +64,17 @@ def test_exemplar_stream_equals_batch(spark, tmp_path):
     for r in learn_exemplars(spark.read.schema(CORR).json(str(source))).orderBy("bank_key", F.desc("seq")).collect():
         want.setdefault(r.bank_key, []).append(r.seq)
     assert {k: [x[0] for x in json.loads(v)] for k, v in got.items()} == want
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    table, kind = f"{tmp_path}/table", "id string, pdf_id string, page_index int, cheque_on_page int, seq long"
+    rows = [(f"k{i}", f"d{i % 3}", i, 1, i) for i in range(40)]
+    streams.upsert_batch(spark.createDataFrame(rows, kind), 0, table, "id", ("seq",), 8)
+    for batch in (1, 2, 3):
+        streams.upsert_batch(spark.createDataFrame([("k5", "d2", 5, 1, 100 + batch)], kind), batch, table, "id", ("seq",), 99)  # the table's number of buckets stays
+    streams.upsert_batch(spark.createDataFrame([], kind), 4, table, "id", ("seq",))
+    held = {v.name: len([b for b in v.iterdir() if b.is_dir()]) for v in (tmp_path / "table").iterdir() if v.name.startswith("v=")}
+    assert held == {"v=1": 7, "v=3": 1, "v=4": 1}  # of the touched bucket the newest version and the one before
+    got = streams.read_table(spark, table).collect()
+    assert len(got) == 40 and [(r.pdf_id, r.page_index) for r in got] == sorted((r.pdf_id, r.page_index) for r in got)
+    assert {r.seq for r in got if r.id == "k5"} == {103}
