@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from draftmill.llm import mixing
 from draftmill.llm.lines import dedup_lines
 from draftmill.llm.queries import op6_line_dedup, op8_mixing
@@ -83,3 +85,64 @@ def test_mixing_of_odd_rows(spark, odd, none):
     whole = mixing.mix_rows(odd, block=2)
     assert whole.columns == odd.columns and sorted(map(str, whole.collect())) == sorted(map(str, odd.collect()))
     assert mixing.mix(none).count() == 0 and mixing.mix_rows(none).count() == 0
+
+
+def slow_mix(blocks, weights, period):
+    """The mix slot by slot: in each, of the released blocks the one with the earliest deadline goes; when a source ends, a new phase begins with
+    the next period."""
+    left, done, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, {}
+    while any(left.values()):
+        active = {s: weights[s] for s, n in left.items() if n}
+        quota = mixing.quotas(active, max(period, 4 * len(active)))
+        size, stop = sum(quota.values()), False
+        while not stop:
+            placed = dict.fromkeys(quota, 0)
+            for t in range(size):
+                due = [(-(-(placed[s] + 1) * size // q), s) for s, q in quota.items() if placed[s] < q and placed[s] * size // q <= t]
+                s = min(due)[1]
+                placed[s] += 1
+                if left[s]:
+                    out[s, done[s]] = start + t
+                    done[s] += 1
+                    left[s] -= 1
+                    stop = stop or not left[s]
+            start += size
+    return out
+
+
+def test_plan_against_a_mix_slot_by_slot():
+    blocks, weights = {"a": 130, "b": 37, "c": 3, "e": 61}, {"a": 1.0, "b": 1.0, "c": 2.0, "e": 0.3}
+    got = {}
+    for s, phases in mixing.plan(blocks, weights, 40).items():
+        for p in phases:
+            for b in range(p["low"], p["high"]):
+                turn, j = divmod(b - p["low"], p["quota"])
+                got[s, b] = p["start"] + turn * p["size"] + p["slots"][j]
+    assert got == slow_mix(blocks, weights, 40)
+
+
+def test_order_of_the_mix(spark):
+    docs = spark.createDataFrame([(i if i % 50 else None, f"t{i}", "abc"[min(i % 7, 2)], i, i, i) for i in range(3000)], "doc_id long, text string, source string, `a.b` int, slot int, key int")
+    at = {(r.doc_id, r.source): [] for r in mixing.mix(docs).collect()}
+    for r in mixing.mix(docs).collect():
+        at[r.doc_id, r.source].append((r.slot, r.place))
+    rows = mixing.mix_rows(docs)
+    assert rows.columns == docs.columns
+    whole = [r for r in rows.collect()]
+    assert sorted(r["a.b"] for r in whole) == list(range(3000))
+    order = [at[r.doc_id, r.source][0] for r in whole if r.doc_id is not None]
+    assert order == sorted(order)
+    spans = mixing.mix_spans(docs, span=4)
+    got = spans.withColumn("part", F.spark_partition_id()).collect()
+    assert all(len({r.part for r in got if r.span == s}) == 1 for s in {r.span for r in got})
+    assert all(r.span == at[r.doc_id, next(x for d, x in at if d == r.doc_id)][0][0] // 4 for r in got if r.doc_id is not None)
+
+
+def test_many_sources_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 40}" if i % 2 else "big") for i in range(2000)], "doc_id long, source string")
+    mixing.SOURCES, was = 5, mixing.SOURCES
+    try:
+        rows = mixing.mix(docs, block=4, period=50).collect()
+    finally:
+        mixing.SOURCES = was
+    assert len({(r.slot, r.place) for r in rows}) == 2000 and {(r.doc_id, r.source) for r in rows} == {(r.doc_id, r.source) for r in docs.collect()}

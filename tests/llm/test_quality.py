@@ -1,10 +1,11 @@
+import math
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from draftmill.llm import rules, trees
+from draftmill.llm import exact, rules, trees
 from draftmill.llm.common import crc_mod
 from draftmill.llm.queries import op2_quality_classifier, op5_quality_rules
 
@@ -47,6 +48,54 @@ def test_classifier_of_odd_rows(spark, odd, none):
     assert trees.quality_scores(none, labels).count() == 0
 
 
+def plain_statistics(text):
+    """The classifier's statistics, one by one, by their definitions."""
+    b = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", b) if w]
+    lines = [x for x in b.split(b"\n") if x]
+    n, size = len(words), len(b)
+    share = lambda chars: sum(c in chars for c in b) / max(size, 1)
+    pairs = [(words[i], words[i + 1]) for i in range(n - 1)]
+    return [
+        math.log(1 + n), sum(len(w) for w in words) / max(n, 1), max([len(w) for w in words] or [0]), len(set(words)) / max(n, 1), len(set(pairs)) / max(n - 1, 1),
+        sum(a == c for a, c in pairs) / max(n - 1, 1), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b"#*$%&<>=@_{}[]^~"), share(b"|"), share(b"!?"), share(b".,:;"),
+        sum(c > 127 for c in b) / max(size, 1), math.log(1 + len(lines)), 1 - len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1),
+    ]
+
+
+def test_statistics_against_their_definitions(odd):
+    for r in odd.collect():
+        if len(r.text or "") < 10_000:
+            assert np.allclose(trees.statistics(r.text or ""), plain_statistics(r.text or "")), r
+
+
+def test_array_walk_against_a_walk_by_hand():
+    rng = np.random.default_rng(2)
+    x = rng.random((500, 5))
+    forest = trees.fit(x, (x[:, 1] + x[:, 3] > 1).astype(float), trees=12, depth=3)
+    want = []
+    for row in x:
+        total = forest.start
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - 7]
+        want.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(forest.score(x), want)
+
+
+def test_rows_leave_by_id_and_text(spark):
+    rows = [(1, "a good text", 0), (1, "!!! $$$ ### 111", 1), (None, "!!! $$$ ### 111", 2), (None, None, 3), (2, "a good text", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").withColumns({"th": F.lit("x"), "k": F.lit(1), "doc": F.lit(2), "all": F.lit(3)})
+    named = docs.filter("text like '!%'").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.lit(True).alias("all"))
+    for small in (exact.SMALL, 0):
+        exact.SMALL, was = small, exact.SMALL
+        left = exact.drop_rows(docs, named)
+        assert left.columns == docs.columns and sorted(r["a.b"] for r in left.collect()) == [0, 3, 4]
+        exact.SMALL = was
+
+
 def slow_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
