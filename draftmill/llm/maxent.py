@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,9 @@ _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
 def words_of(text: str) -> list[bytes]:
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words.append(END)
+    return words
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -191,7 +194,7 @@ def log_prob(model: Model, codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
         part = slice(start, start + POSITIONS)
         starts, _, child, z, _ = model.decisions(feats[:, part], codes[part])
         z[child == 1] *= -1
-        out[part] = -np.add.reduceat(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), starts)
+        out[part] = -np.add.reduceat(np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z))), starts)
     return out
 
 
@@ -208,9 +211,10 @@ class Steps:
         m = self.model
         if not m.modelled:
             return
+        now = replace(m, classes=m.classes.astype(np.float16))  # weights stay as they are within a batch; half the size is half the misses of a cache
         for start in range(0, len(codes), POSITIONS):
             part = slice(start, start + POSITIONS)
-            _, node, child, z, places = m.decisions(feats[:, part], codes[part])
+            _, node, child, z, places = now.decisions(feats[:, part], codes[part])
             p = 1 / (1 + np.exp(-z))
             both = (np.rint((p - child) * np.float32(SCALE)).astype(np.int64) << 32) + np.rint(p * (1 - p) * np.float32(SCALE)).astype(np.int64)
             for at in places:
@@ -232,7 +236,7 @@ class Steps:
 
 def _codes(texts: list[list[bytes]], code_of) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts])
-    codes = np.fromiter((c for t in texts for c in map(code_of, t)), np.int64, int(sizes.sum()))
+    codes = np.fromiter(map(code_of, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     return codes, np.cumsum(sizes) - sizes
 
 
@@ -304,8 +308,8 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, rid, n_tokens, the sums over the words of the head, and the other words with their counts in the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    pair = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    half = model.classes.astype(np.float16) if model.classes is not None else None  # exact: averaged tables are of that precision
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, classes=half))
 
     def per_task():
         from pyspark import TaskContext
@@ -325,13 +329,18 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             model_part = log_prob(m, codes, features(codes, starts)) / np.log(10)
             # At the last leaf a word's share is (c + 1) / rest; c is joined later.
             model_part -= np.where(codes > top, rest, 0.0)
-            tail = []
-            ends = np.append(starts[1:], len(codes))
-            for words, a, b in zip(split, starts, ends, strict=True):
-                tail.append([{"word": w, "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(~known[a:b])).items()])
+            words, times, ends = [], [], np.append(starts[1:], len(codes))
+            offsets = [0]
+            rare = np.flatnonzero(~known)
+            for own, a, low, high in zip(split, starts, np.searchsorted(rare, starts), np.searchsorted(rare, ends), strict=True):
+                found = Counter(map(own.__getitem__, (rare[low:high] - a).tolist()))
+                words += found.keys()
+                times += found.values()
+                offsets.append(len(words))
+            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
             rids = range(rid, rid + len(ids))
             rid += len(ids)
-            return {"rid": list(rids), "n_tokens": ends - starts, "head_known": np.add.reduceat(known.astype(np.int64), starts), "head_log": np.add.reduceat(log_c, starts), "model_log": np.add.reduceat(model_part, starts), "tail": pa.array(tail, pair)}
+            return {"rid": list(rids), "n_tokens": ends - starts, "head_known": np.add.reduceat(known.astype(np.int64), starts), "head_log": np.add.reduceat(log_c, starts), "model_log": np.add.reduceat(model_part, starts), "tail": tail}
 
         return work
 
