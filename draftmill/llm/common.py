@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftmill.functions.shared import written as staged  # noqa: F401
+
 #: ASCII white space, `[\x20\x09-\x0D]` in the contracts.
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows of one slice while Python works through an Arrow batch; bounds the memory of long texts.
@@ -21,44 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in local tests, a
-    temporary folder is made and set; on a cluster an unset folder is an error, as executors can't see local files."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_paths: list[list[str]] = []
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage is cut, and a lost executor costs no more than
-    the tasks it was running."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/draftmill/{name}-{uuid.uuid4().hex}"
-    if _paths:
-        _paths[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def cleared(spark: SparkSession):
-    """Tables that are staged within are removed at the end; what is read from them must have been written by then."""
-    _paths.append([])
-    try:
-        yield
-    finally:
-        for path in _paths.pop():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
