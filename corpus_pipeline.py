@@ -6,11 +6,10 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from draftmill.llm.common import cleared, shared_dir, table
+from draftmill.functions.shared import cleared, new_path
+from draftmill.llm.common import table
 from draftmill.llm.exact import drop_exact_copies
 from draftmill.llm.mixing import mix_rows, mix_spans
 from draftmill.llm.packing import pack
@@ -53,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stages write for themselves is removed when they end; their results stay, as the rows of the last stage are read from them."""
+    """What stages write for themselves is removed when they end; their results stay until the application ends, as the rows of the last stage are
+    read from them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/draftmill/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = new_path(spark, name.replace(" ", "-"))
         with cleared(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
