@@ -16,6 +16,7 @@ from .rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .trees import quality_scores
+from .trie import prefix_trie
 
 
 def tokenizer_path(name: str) -> str:
@@ -104,6 +105,44 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH step AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM own, step
+), turns AS (
+  SELECT conv.conv_id, own.pos, 0 AS later, role, text FROM conv JOIN own ON own.conv_id = base AND own.pos <= h
+  UNION ALL SELECT conv.conv_id, own.pos, 1, role, text FROM conv JOIN own ON own.conv_id = conv.conv_id AND own.pos > h
+), paths AS (
+  SELECT conv_id, row_number() OVER o AS depth, strlen(text) AS bytes, string_agg(md5(role) || md5(text), '' ) OVER o AS path
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY later, pos)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM conv
+), ended AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS at_end FROM paths
+), node AS (
+  SELECT path, depth, min(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+  FROM ended GROUP BY ALL
+), child AS (
+  SELECT a.*, b.conv_id AS parent_conv_id, b.path AS parent FROM node a LEFT JOIN node b ON b.depth = a.depth - 1 AND b.path = left(a.path, 64 * b.depth::INT)
+), kids AS (
+  SELECT parent, count(*) AS n FROM child WHERE parent IS NOT NULL GROUP BY 1
+), full_node AS (
+  SELECT child.*, coalesce(n, 0) AS n_children FROM child LEFT JOIN kids ON kids.parent = child.path
+)
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.bytes) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_node a JOIN full_node b ON b.depth >= a.depth AND left(b.path, 64 * a.depth::INT) = a.path
+GROUP BY ALL
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -115,5 +154,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL}

@@ -1,0 +1,90 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from draftmill.llm import trie
+
+KIND = "conv_id long, turn long, role string, text string, depth int, p1 string, bytes string"
+
+
+def brute(rows):
+    """The trie's nodes by their definitions."""
+    own = defaultdict(list)
+    for c, turn, role, text, *_ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        if c is not None:
+            own[c].append((role or "", text or ""))
+    built = {c: own.get(c - c % 5, [])[: zlib.crc32(str(c).encode()) % 9] + ts[zlib.crc32(str(c).encode()) % 9 :] for c, ts in own.items()}
+    members = defaultdict(list)
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].append(c)
+    below = {v: [u for u in members if u[: len(v)] == v] for v in members}
+    kids = {v: sum(len(u) == len(v) + 1 for u in below[v]) for v in members}
+    out = set()
+    for v, m in members.items():
+        saved = sum((len(members[u]) - 1) * len(u[-1][1].encode()) for u in below[v] if u)
+        ended = ",".join(str(c) for c in m if len(built[c]) == len(v))
+        out.add((m[0], len(v), members[v[:-1]][0] if v else None, len(m), kids[v], sum(kids[u] == 0 for u in below[v]), saved, hashlib.sha256(ended.encode()).hexdigest()))
+    return out
+
+
+def got(spark, rows):
+    found = trie.prefix_trie(spark.createDataFrame([(*r, 1, "x", "y")[:7] for r in rows], KIND)).collect()
+    assert len({tuple(r) for r in found}) == len(found)
+    return {tuple(r) for r in found}
+
+
+def talks(seed, n, longest=6, texts=("a", "bb", "é", "", None, "日本")):
+    rng, rows = random.Random(seed), []
+    for c in rng.sample(range(3 * n), n):
+        for t in range(rng.randint(1, longest)):
+            rows.append((c, t if t else rng.choice([0, None]), rng.choice(["user", "assistant", None]), rng.choice(texts)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_trie_against_brute_force(spark, seed):
+    rows = talks(seed, 60)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_copies_a_hot_first_turn_and_long_conversations_over_several_ranges(spark):
+    rows = [(c, t, "user", f"t{t}") for c in range(0, 400, 2) for t in range(3)]  # one conversation, 200 times
+    rows += [(1000 + c, t, "user", "hello" if t == 0 else f"{c % 7} {t}") for c in range(60) for t in range(2 + c % 4)]
+    rows += [(5001, t, "user", f"t{t}") for t in range(300)] + [(5002, t, "user", f"t{t}") for t in range(250)] + [(5000, t, "user", "t") for t in range(3)]
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spans = trie.ranged_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("conv_id = 5001").select("part").distinct().count()
+        assert spans > 1
+        assert got(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
+def test_ends_in_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(trie, "PIECE", 7)
+    rows = [(c, 0, "user", "same") for c in range(0, 90, 3)] + [(c, 0, "user", "other") for c in (91, 92)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None, None), (1, None, None, None), (2, 5, "user", "x" * 100_000), (None, 0, "user", "lost"), (10, 0, "user", "x"), (10, 0, "user", "x"), (11, 1, "", "")]
+    assert got(spark, rows) == brute(rows)
+    assert got(spark, []) == set()
+    assert got(spark, [(None, 1, "user", "x")]) == set()
+
+
+def test_role_and_text_are_kept_apart(spark):
+    rows = [(0, 0, "ab", "c"), (0, 1, "u", "z"), (100, 0, "a", "bc"), (100, 1, "u", "z")]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_a_conversation_may_be_left_without_turns(spark):
+    c = next(c for c in range(1, 99) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 1)
+    rows = [(c, 0, "user", "x")]
+    assert got(spark, rows) == {(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())}
