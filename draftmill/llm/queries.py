@@ -10,6 +10,7 @@ from .exact import exact_dedup
 from .lines import dedup_lines
 from .maxent import language_scores
 from .mixing import mix
+from .negatives import hard_negatives
 from .packing import pack
 from .pii import digest, personal_data
 from .rules import quality_rules
@@ -143,6 +144,29 @@ FROM full_node a JOIN full_node b ON b.depth >= a.depth AND left(b.path, 64 * a.
 GROUP BY ALL
 """
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER o <= 10
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -155,5 +179,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
