@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 from .exact import exact_dedup
+from .languages import languages
 from .lines import dedup_lines
 from .maxent import language_scores
 from .mixing import mix
@@ -144,6 +145,10 @@ FROM full_node a JOIN full_node b ON b.depth >= a.depth AND left(b.path, 64 * a.
 GROUP BY ALL
 """
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
@@ -179,6 +184,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_language_id": op12_language_id,
     "op13_hard_negatives": op13_hard_negatives,
 }
 SQL = {"op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
