@@ -2,12 +2,12 @@
 
 A text is lower-cased; whatever isn't a letter becomes a space, runs of spaces become one, and one stands before and after. The n-grams of ORDERS
 characters, each order by itself, are hashed into WIDTH places. Training counts every place for every language over all labelled texts: each task sums its
-texts up in one matrix, whose entries are added by key. The model is a matrix of log probabilities (places x languages), with Laplace's smoothing,
+texts up in one matrix, whose entries are added by key. The model is a matrix of log probabilities (languages x places), with Laplace's smoothing,
 beside the logs of the languages' shares of the documents. It is broadcast: WIDTH halves while languages are so many that it would exceed
 MODEL_BYTES, so its size is bounded whatever the input, and beyond MOST languages an error is raised.
 
-Scoring works on batches of texts, laid end to end: the places of all n-grams that lie within one text are one array, the rows of the matrix are gathered
-and added up text by text (np.add.reduceat), a bounded number at a time, so a long text takes no more than its own length. The score is the probability of the predicted language, with
+Scoring works on batches of texts, laid end to end: the places of all n-grams that lie within one text are one array, each language's row of the matrix is
+gathered and added up text by text (np.add.reduceat), a bounded number at a time, so a long text takes no more than its own length. The score is the probability of the predicted language, with
 evidence divided by the number of orders, as an n-gram of one order nearly says what those within it say.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text where nothing could be learned; texts equal but for case,
@@ -93,18 +93,20 @@ def batches(texts: list[str]) -> Iterator[slice]:
 class Model:
     names: list[str]  # ascending
     prior: np.ndarray  # logs of shares of documents; of languages that nothing was learned of minus infinity
-    matrix: np.ndarray  # places x languages: log probabilities, less their mean over the languages of the place
+    matrix: np.ndarray  # languages x places: log probabilities, less their mean over the languages of the place
 
     def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Texts x languages: summed log probabilities; and which texts have letters."""
         total, seen = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), bool)
         for part in batches(texts):
             first = part.start
-            for place, own in places(*laid_out(texts[part]), len(self.matrix), len(self.names)):
+            for place, own in places(*laid_out(texts[part]), self.matrix.shape[1], len(self.names)):
                 if len(place):
                     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    total[first + own[starts]] += np.add.reduceat(self.matrix[place], starts, axis=0)
-                    seen[first + own[starts]] = True
+                    at = first + own[starts]
+                    for i, column in enumerate(self.matrix):
+                        total[at, i] += np.add.reduceat(column[place], starts)
+                    seen[at] = True
         return total, seen
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -159,7 +161,7 @@ def learn(docs: DataFrame, train: Column) -> Model:
     with np.errstate(divide="ignore"):
         prior = np.log(documents / max(documents.sum(), 1))
     matrix = np.log(counts + SMOOTH) - np.log(counts.sum(axis=0) + SMOOTH * width)
-    return Model(names, prior, (matrix - matrix.mean(axis=1, keepdims=True) if names else matrix).astype(np.float32))
+    return Model(names, prior, np.ascontiguousarray((matrix - matrix.mean(axis=1, keepdims=True) if names else matrix).T, np.float32))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

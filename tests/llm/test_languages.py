@@ -67,7 +67,7 @@ def test_scores_against_plain_bayes(spark):
     counts = defaultdict(Counter)
     for _, t, lang in rows:
         counts[lang].update(grams(t))
-    width, share = len(model.matrix), Counter(lang for *_, lang in rows)
+    width, share = model.matrix.shape[1], Counter(lang for *_, lang in rows)
     for t in ("the dog", "die hunde", "chat", "quiz"):
         logs = {lang: math.log(share[lang] / 5) + sum(math.log((c[g] + languages.SMOOTH) / (c.total() + languages.SMOOTH * width)) for g in grams(t)) / len(languages.ORDERS) for lang, c in counts.items()}
         top = max(logs, key=logs.get)
@@ -103,7 +103,7 @@ def test_odd_rows(spark, odd, none):
 def test_many_languages_narrow_the_model_and_too_many_are_refused(spark, monkeypatch):
     docs = spark.range(40).selectExpr("id AS doc_id", "concat('word ', chr(97 + id % 20)) AS text", "concat('l', id % 20) AS lang")
     monkeypatch.setattr(languages, "MODEL_BYTES", 1 << 16)
-    assert languages.learn(docs, F.lit(True)).matrix.shape == (512, 20)
+    assert languages.learn(docs, F.lit(True)).matrix.shape == (20, 512)
     monkeypatch.setattr(languages, "MOST", 19)
     with pytest.raises(ValueError, match="19 languages"):
         languages.learn(docs, F.lit(True))
