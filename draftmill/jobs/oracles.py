@@ -62,13 +62,13 @@ DATE = rf"""
     TRY_CAST(regexp_extract(ds, '([0-9]{{1,4}})[./-]([0-9]{{1,2}})[./-]([0-9]{{1,4}})', 3) AS INT) AS c3 FROM days),
   named AS (SELECT *, CASE WHEN numeric_date THEN CASE WHEN a > 31 THEN a ELSE {_PIVOT('c3')} END WHEN len(nums) >= 2 THEN {_PIVOT('CAST(nums[-1] AS INT)')} END AS yy,
     CASE WHEN numeric_date THEN b ELSE {_MONTH} END AS mm, CASE WHEN numeric_date THEN CASE WHEN a > 31 THEN c3 ELSE a END WHEN len(nums) >= 2 THEN CAST(nums[1] AS INT) END AS dd FROM split),
-  dates AS (SELECT id, pass, raw_date, CASE WHEN yy BETWEEN 1900 AND 2200 AND mm BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 AND TRY_CAST(printf('%04d-%02d-%02d', yy, mm, dd) AS DATE) IS NOT NULL
+  dates AS (SELECT key, id, pass, raw_date, CASE WHEN yy BETWEEN 1900 AND 2200 AND mm BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 AND TRY_CAST(printf('%04d-%02d-%02d', yy, mm, dd) AS DATE) IS NOT NULL
     THEN printf('%04d-%02d-%02d', yy, mm, dd) END AS iso FROM named)"""
 
 
-def validated(first: int = 1, last: int = 1, blank_errors: bool = True) -> str:
+def validated(first: int = 1, last: int = 1, blank_errors: bool = True, source: str = "") -> str:
     """WITH ... as far as `v`, the validated reads. flags: texts field:severity:reason, in a list."""
-    source = raw(first, last)
+    source = source or raw(first, last)
     if blank_errors:
         fields = ("amount_numeric", "amount_words", "amount_words_value", "currency", "date", "payer", "bank", "cheque_number", "has_handwriting", "conf_amount", "conf_payer")
         source = f"SELECT * REPLACE ({', '.join(f'CASE WHEN error IS NULL THEN {c} END AS {c}' for c in fields)}) FROM ({source})"
@@ -89,7 +89,7 @@ def validated(first: int = 1, last: int = 1, blank_errors: bool = True) -> str:
     return rf"""WITH RECURSIVE raw AS ({source}), {AMOUNT}, {WORDS}, {DATE},
   v1 AS (SELECT a.*, raw_date, iso, coalesce(amount_words_value, spoken) AS words, {t('payer')} AS payer_t, {t('bank')} AS bank_t, {t('currency')} AS cur_t, {t('amount_words')} AS words_t,
     coalesce(substr(regexp_replace(translate(cheque_number, {q(EASTERN)}, {q(WESTERN)}), '[^0-9]', '', 'g'), 1, 8), '') AS number
-    FROM amounts a JOIN dates d ON a.id = d.id AND a.pass = d.pass LEFT JOIN spoken w ON w.aw = a.amount_words),
+    FROM amounts a JOIN dates d ON a.key = d.key AND a.pass = d.pass LEFT JOIN spoken w ON w.aw = a.amount_words),
   v2 AS (SELECT *, coalesce(abs(num - words) < CAST(0.01 AS DOUBLE) OR abs(num - words) / greatest(abs(num), abs(words), 1) < CAST(0.005 AS DOUBLE), false) AS rec FROM v1),
   v3 AS (SELECT *, {fmt('CASE WHEN rec THEN num ELSE coalesce(words, num) END')} AS amount, CASE WHEN cur_t <> '' THEN cur_t ELSE {chain_of('bank_t', CURRENCY_HINTS, "''")} END AS cur_v,
     CASE WHEN raw_date = '' THEN 'HANDOVER PAYMENT' ELSE coalesce(iso, raw_date) END AS date_v FROM v2),
@@ -195,7 +195,9 @@ SQL = {
     "s3_tool_use": f"SELECT id, CASE WHEN key % 4 <> 0 THEN bank END AS bank, CASE WHEN key % 4 = 0 THEN 'Model returned no tool_use block' END AS error FROM ({raw()})",
     "s4_function_call": f"SELECT id, CASE WHEN key % 5 < 3 THEN bank END AS bank, CASE key % 5 WHEN 3 THEN 'Could not parse model JSON' WHEN 4 THEN 'Model returned no structured output' END AS error FROM ({raw()})",
     "s5_export_csv": validated() + f" SELECT id, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, false AS reviewed, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM v) AS t",
-    "s7_crops": "WITH put AS (SELECT user_id AS id, event_type AS crop FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) SELECT id, crop FROM put WHERE crop <> 'error'",
+    "s7_crops": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id % 5 AS c, event_id % 29 = 0 AS gone, CASE WHEN event_id % 11 <> 0 THEN event_type || ' ' || lpad(CAST(event_id AS VARCHAR), 12, '0') ELSE '' END AS crop FROM events),
+  log AS (SELECT id, c, 0 AS after, max(crop) FILTER (crop <> '') AS crop FROM e GROUP BY id, c UNION ALL SELECT DISTINCT id, c, 1, NULL FROM e WHERE gone),
+  kept AS (SELECT * FROM log WHERE after = 1 OR crop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, after DESC) = 1) SELECT id, crop FROM kept WHERE after = 0""",
     "p1_validate_requests": f"SELECT id, CASE WHEN key % 7 = 0 OR key % 6 = 5 THEN 'Missing image or unsupported model' END AS error FROM ({raw()})",
     "p2_provider_of": f"SELECT id, CASE WHEN model IN ('gemini-2.5-flash-lite', 'gemini-2.5-pro') THEN 'google' ELSE 'anthropic' END AS provider FROM ({raw()})",
     "p3_is_full_page": LAYOUT + " SELECT page_key, ordinal, x0 <= 0.001 AND y0 <= 0.001 AND x1 >= 0.999 AND y1 >= 0.999 AS whole FROM regions",
@@ -248,9 +250,10 @@ SQL = {
     "job_review_cheques": validated() + f", {CORR}{LAST}, d AS (SELECT v.* REPLACE ({', '.join(f'CASE WHEN l.id IS NOT NULL THEN l.{c} ELSE v.{c} END AS {c}' for c in ('amount', 'currency', 'date', 'payer', 'bank', 'cheque_number'))}, CASE WHEN l.id IS NOT NULL THEN 'ok' ELSE status END AS status, CASE WHEN l.id IS NOT NULL THEN '' ELSE flags END AS flags), l.id IS NOT NULL AS reviewed FROM v LEFT JOIN last l ON l.id = v.id) SELECT id, row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS rank, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM d) AS t",
     "s6_save_load": validated() + " SELECT id, amount, status, confidence FROM v",
     "s8_pages_to_ink_runs": f"WITH {RUNS} SELECT page_key, y, x0, x1 FROM runs",
-    "t1_stream_validate": validated() + f" SELECT {FIELDS}, model, error FROM v",
+    "t1_stream_validate": validated(source=f"SELECT * REPLACE (CASE WHEN key % 41 <> 0 THEN id END AS id, CASE WHEN key % 41 <> 0 THEN model END AS model, CASE WHEN key % 41 = 0 THEN 'Invalid JSON' ELSE error END AS error) FROM ({raw()}) AS t")
+    + f" SELECT {FIELDS.replace('pass,', 'CASE WHEN id IS NOT NULL THEN pass END AS pass,')}, model, error FROM v",
     "t2_stream_upsert": f"WITH {CORR}{LAST} SELECT id, seq, amount, bank, cheque_number FROM last",
     "t3_stream_progress": f"SELECT pdf_id AS file, count(DISTINCT page_index) AS pages_done, count(*) AS cheques_found FROM ({raw()}) GROUP BY pdf_id",
-    "t4_stream_exemplars": f"WITH {CORR}{EXEMPLARS} SELECT bank_key, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY pos) AS seqs FROM ex GROUP BY bank_key",
+    "t4_stream_exemplars": f"WITH {CORR}{EXEMPLARS} SELECT bank_key, pos, amount, date, currency, cheque_number, seq FROM ex",
     "f1_map_bounded": f"SELECT key, 2 * key AS twice, upper(bank) AS bank FROM ({raw()})",
 }

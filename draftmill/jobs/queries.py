@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
-from draftmill.functions.shared import new_path
+from draftmill.functions.shared import file_system, new_path
+from draftmill.functions.tables import RAW
 from draftmill.jobs import cheques
 from draftmill.jobs.hooks import map_bounded
-from draftmill.operators import choose, exemplars, layout, raster, results
+from draftmill.operators import choose, crops, exemplars, layout, raster, results
 from draftmill.operators.validate import validate_extraction, with_error_rows
 from draftmill.sources import bridge as B
 from draftmill.sources import manifest, responses
@@ -213,9 +215,16 @@ def s5_export_csv(spark, sf):
 
 @query
 def s7_crops(spark, sf):
-    events = B.table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("crop"), "event_id")
-    kept = results.keep_last(events, "id", "event_id").select("id", "crop")
-    return results.drop_crops(kept, kept.filter("crop = 'error'"))
+    """A store of crops after several calls: puts, deletes, puts of what was deleted, empty crops, and an earlier store that was cleared."""
+    path = new_path(spark, "crops")
+    events = B.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), (F.col("event_id") % 5).alias("call"), F.when(F.col("event_id") % 11 != 0, F.concat("event_type", F.lit(" "), F.lpad(F.col("event_id").cast("string"), 12, "0"))).otherwise("").alias("crop"), "event_id")
+    crops.save_crops(events, path)
+    crops.clear_crops(spark, path)
+    for call in range(5):
+        now = events.filter(F.col("call") == call)
+        crops.save_crops(now, path)
+        crops.drop_crops(now.filter("event_id % 29 = 0"), path)
+    return crops.load_crops(spark, path)
 
 
 @query
@@ -502,47 +511,73 @@ def s8_pages_to_ink_runs(spark, sf):
     return raster.pages_to_ink_runs(B.rasters(spark, sf))
 
 
+#: Batches, at least, that a registered stream takes its rows in.
+BATCHES = 6
+
+
 def _finished(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _landed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a stream of its rows, and a new folder for what comes of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(f"{path}/in")
-    return df.sparkSession.readStream.schema(df.schema).parquet(f"{path}/in"), path
+def _landed(df: DataFrame, name: str, kind: str = "parquet") -> tuple[DataFrame, str]:
+    """df as a stream of its rows that takes BATCHES batches, and a new folder for what comes of it. Rows are dealt over the files as they come."""
+    spark = df.sparkSession
+    path, tasks = new_path(spark, name), spark.sparkContext.defaultParallelism
+    df.repartition(BATCHES * tasks).write.format(kind).save(f"{path}/in")
+    if kind == "text":
+        return streams.raw_stream(spark, f"{path}/in", tasks), path
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", tasks).parquet(f"{path}/in"), path
+
+
+def _repeat_last(spark: SparkSession, checkpoint: str) -> None:
+    """Forgets that a stream's last batch was committed, as after a crash: a restarted stream runs it again."""
+    fs, at = file_system(spark, checkpoint)
+    last = max(int(s.getPath().getName()) for s in fs.listStatus(at(f"{checkpoint}/commits")) if s.getPath().getName().isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        fs.delete(at(f"{checkpoint}/commits/{name}"), False)
 
 
 @query
 def t1_stream_validate(spark, sf):
-    reads, path = _landed(_raw(spark, sf), "validated-stream")
-    _finished(streams.stream_validate(reads).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").option("path", f"{path}/out"))
+    """Reads land as lines of JSON, every 41st cut off, some files a batch."""
+    reads = _raw(spark, sf).select("key", "id", "pass", "model", "error", *[f.name for f in StructType.fromDDL(RAW)])
+    line = F.to_json(F.struct(*[c for c in reads.columns if c != "key"]))
+    lines = reads.select(F.when(F.col("key") % 41 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line).alias("value"))
+    found, path = _landed(lines, "validated-stream", "text")
+    _finished(streams.stream_validate(found).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").option("path", f"{path}/out"))
     return _flat(spark.read.parquet(f"{path}/out")).select(*FIELDS, "model", "error")
 
 
 @query
 def t2_stream_upsert(spark, sf):
+    """Corrections of the same ids come in all batches, in any order of seq; the last batch comes twice."""
     fixed, path = _landed(B.corrections(spark, sf), "upserted-stream")
-    _finished(streams.stream_upsert(fixed, f"{path}/table", f"{path}/cp"))
+    for again in (False, True):
+        if again:
+            _repeat_last(spark, f"{path}/cp")
+        _finished(streams.stream_upsert(fixed, f"{path}/table", f"{path}/cp"))
     return streams.read_table(spark, f"{path}/table").select("id", "seq", "amount", "bank", "cheque_number")
 
 
 @query
 def t3_stream_progress(spark, sf):
+    """Update mode: each batch hands on the files that it changed; the last batch comes twice."""
     done = _raw(spark, sf).groupBy(F.col("pdf_id").alias("file"), "page_index").agg(F.count("*").alias("cheques"))
     pages, path = _landed(done, "progress-stream")
-    out = f"{path}/out"
-    _finished(streams.stream_progress(pages).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/cp").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)))
-    return spark.read.parquet(out)
+    for again in (False, True):
+        if again:
+            _repeat_last(spark, f"{path}/cp")
+        _finished(streams.stream_upsert(streams.stream_progress(pages), f"{path}/table", f"{path}/cp", "file", (), "update"))
+    return streams.read_table(spark, f"{path}/table", "file", ())
 
 
 @query
 def t4_stream_exemplars(spark, sf):
+    """Corrections in any order of seq, over several batches; equal to w7_learn_exemplars."""
     fixed, path = _landed(B.corrections(spark, sf), "exemplar-stream")
-    keep = lambda b, i: streams.upsert_batch(b.withColumn("seq", F.lit(i)), i, f"{path}/table", "bank_key", ("seq",))
-    _finished(streams.stream_exemplars(fixed).writeStream.outputMode("update").option("checkpointLocation", f"{path}/cp").foreachBatch(keep))
-    newest = F.transform(F.from_json("exemplars", "array<array<string>>"), lambda x: x[0])
-    return streams.read_table(spark, f"{path}/table").select("bank_key", F.array_join(newest, ",").alias("seqs"))
+    _finished(streams.stream_upsert(streams.stream_exemplars(fixed), f"{path}/table", f"{path}/cp", "slot", (), "update"))
+    slots = streams.read_table(spark, f"{path}/table", "slot", ())
+    return streams.exemplars_of(slots).select("bank_key", "pos", "amount", "date", "currency", "cheque_number", "seq")
 
 
 @query

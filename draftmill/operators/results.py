@@ -44,9 +44,6 @@ def attach_crops(results: DataFrame, crops: DataFrame) -> DataFrame:
     return both.withColumn("crop", F.coalesce("crop_ref", "s_crop")).drop("s_id", "s_crop")
 
 
-def drop_crops(crops: DataFrame, ids: DataFrame) -> DataFrame:
-    return crops.join(ids.select("id"), "id", "left_anti")
-
 
 def order_results(results: DataFrame) -> DataFrame:
     return results.orderBy(*ORDER)

@@ -1,25 +1,37 @@
-"""Streams of reads, results and corrections."""
+"""Streams of reads, results and corrections. Sinks are tables by key (`store.KeyedTable`): a batch that is repeated changes nothing."""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
 from draftmill.functions.tables import RAW
-from draftmill.operators.exemplars import KEEP
-from draftmill.operators.results import ORDER, keep_last, order_results
+from draftmill.operators.exemplars import KEEP, SALTS
+from draftmill.operators.results import ORDER, order_results
 from draftmill.operators.validate import with_error_rows
+from draftmill.sources.responses import is_json
+from draftmill.streaming.store import KeyedTable
 
 READ = f"id string, pass int, model string, error string, {RAW}"
+#: What a stream holds of a correction, and how it hands its newest ones on.
+EXEMPLAR = "seq long, amount string, date string, currency string, cheque_number string"
+SLOT = f"slot string, bank_key string, {EXEMPLAR}"
 
 
-def raw_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(READ).json(path)
+def raw_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Reads as they land in JSON, one object a line; `files`: how many new files a batch takes at most. A line that is no JSON object becomes a read
+    with nothing but an error; blank lines are no reads."""
+    source = spark.readStream
+    lines = (source.option("maxFilesPerTrigger", files) if files else source).text(path).filter(F.trim("value") != "")
+    good = F.coalesce(is_json(F.col("value")) & F.trim("value").startswith("{"), F.lit(False))
+    d = lines.withColumn("r", F.from_json(F.when(good, F.col("value")), READ)).withColumn("good", good)
+    return d.select("r.*", "good").withColumn("error", F.when(F.col("good"), F.col("error")).otherwise("Invalid JSON")).drop("good")
 
 
 def stream_validate(reads: DataFrame) -> DataFrame:
@@ -27,70 +39,21 @@ def stream_validate(reads: DataFrame) -> DataFrame:
     return with_error_rows(reads)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    return jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.Path
-
-
-def _buckets(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """The versions that hold each bucket of the table, oldest first. A version counts when its success file is there."""
-    fs, at = _hadoop(spark, path)
-    out: dict[int, list[int]] = {}
-    if fs.exists(at(path)):
-        for v in sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at(path)) if s.getPath().getName().startswith("v=")):
-            if fs.exists(at(f"{path}/v={v}/_SUCCESS")):
-                for b in fs.listStatus(at(f"{path}/v={v}")):
-                    if b.getPath().getName().startswith("bucket="):
-                        out.setdefault(int(b.getPath().getName()[7:]), []).append(v)
-    return out
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """An upserted table: of each bucket its newest version. Results come in the order of display."""
-    found = _buckets(spark, path)
-    if not found:
-        return None
-    table = spark.read.parquet(*[f"{path}/v={vs[-1]}/bucket={b}" for b, vs in sorted(found.items())])
-    return order_results(table) if set(ORDER) <= set(table.columns) else table
-
-
-def _bucket_count(spark: SparkSession, path: str, wanted: int) -> int:
-    """The table's number of buckets: a property that is written with its first batch and stays."""
-    fs, at = _hadoop(spark, path)
-    if not fs.exists(at(f"{path}/_buckets/_SUCCESS")):
-        spark.range(1).select(F.lit(str(wanted)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/_buckets")
-        return wanted
-    return int(spark.read.text(f"{path}/_buckets").first().value)
-
-
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, key: str, seq: tuple[str, ...], buckets: int = 16) -> None:
-    """One micro-batch into the table at path: the last result of a key wins. Rows are dealt by key into the table's buckets; only buckets that the
-    batch touches are written, as version batch_id + 1. A batch that is run again writes the same version again. Of a bucket the version before
-    stays, older ones are removed."""
-    spark = batch.sparkSession
-    n = _bucket_count(spark, path, buckets)
-    last = keep_last(batch, key, *seq).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    touched = [r.bucket for r in last.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    found = {b: [v for v in vs if v <= batch_id] for b, vs in _buckets(spark, path).items()}
-    for b in touched:
-        if found.get(b):
-            last = last.unionByName(spark.read.parquet(f"{path}/v={found[b][-1]}/bucket={b}").withColumn("bucket", F.lit(b)))
-    order = [c for c in ORDER if c in batch.columns] or [key]
-    whole = keep_last(last, key, *seq).repartition("bucket").sortWithinPartitions("bucket", *order)
-    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id + 1}")
-    fs, at = _hadoop(spark, path)
-    for b in touched:
-        for v in found.get(b, [])[:-1]:
-            fs.delete(at(f"{path}/v={v}/bucket={b}"), True)
-            if not any(s.isDirectory() for s in fs.listStatus(at(f"{path}/v={v}"))):
-                fs.delete(at(f"{path}/v={v}"), True)
-
-
-def stream_upsert(results: DataFrame, path: str, checkpoint: str, key: str = "id", seq: tuple[str, ...] = ("seq",), buckets: int = 16):
-    """A writer that keeps the table at path up to date; start it by .start()."""
-    return results.writeStream.foreachBatch(lambda b, i: upsert_batch(b, i, path, key, seq, buckets)).option("checkpointLocation", checkpoint).outputMode("append")
+def read_table(spark: SparkSession, path: str, key: str = "id", seq: tuple[str, ...] = ("seq",)) -> DataFrame | None:
+    """An upserted table; results come in the order of display."""
+    table = KeyedTable(spark, path, key, seq).read()
+    return table if table is None or not set(ORDER) <= set(table.columns) else order_results(table)
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, key: str = "id", seq: tuple[str, ...] = ("seq",)) -> None:
+    """One micro-batch into the table at path: the last result of a key wins, by `seq` or, without it, by arrival."""
+    KeyedTable(batch.sparkSession, path, key, seq).put(batch, batch_id)
+
+
+def stream_upsert(results: DataFrame, path: str, checkpoint: str, key: str = "id", seq: tuple[str, ...] = ("seq",), mode: str = "append"):
+    """A writer that keeps the table at path up to date; start it by .start(). With mode 'update' and no `seq` it is the sink of a running
+    aggregate: of each key the newest value counts."""
+    return results.writeStream.foreachBatch(lambda b, i: upsert_batch(b, i, path, key, seq)).option("checkpointLocation", checkpoint).outputMode(mode)
 
 
 def stream_progress(pages: DataFrame) -> DataFrame:
@@ -98,22 +61,47 @@ def stream_progress(pages: DataFrame) -> DataFrame:
     return pages.groupBy("file").agg(F.count("*").alias("pages_done"), F.sum("cheques").alias("cheques_found"))
 
 
-def stream_exemplars(corrections: DataFrame, keep: int = KEEP) -> DataFrame:
-    """(bank_key, exemplars): the newest distinct exemplars of each bank as corrections arrive (update mode); state: `keep` entries a bank."""
-    keyed = corrections.withColumn("bank_key", C.exemplar_key(F.col("bank"))).filter("bank_key <> '' and amount is not null and amount <> ''")
+class Newest(StatefulProcessor):
+    """The newest `keep` corrections of a key that differ in amount and date, whatever the order in which they arrive."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", EXEMPLAR)
 
-    def step(key, frames, state: GroupState):
-        items = json.loads(state.get[0]) if state.exists else []
-        for frame in frames:
-            items += [[int(s), a, d, c, n] for s, a, d, c, n in zip(frame["seq"], frame["amount"], frame["date"], frame["currency"], frame["cheque_number"], strict=True)]
-            items.sort(key=lambda x: -x[0])
-            seen, kept = set(), []
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        items = list(self.held.get()) if self.held.exists() else []
+        for frame in rows:
+            fresh = frame[["seq", "amount", "date", "currency", "cheque_number"]]
+            items += [tuple(None if pd.isna(x) else x for x in r) for r in fresh.itertuples(index=False, name=None)]
+            items.sort(key=lambda x: (-x[0], x[1], x[2] is not None, x[2] or ""))
+            seen: dict[tuple, tuple] = {}
             for x in items:
-                if (x[1], x[2]) not in seen and len(kept) < keep:
-                    seen.add((x[1], x[2]))
-                    kept.append(x)
-            items = kept
-        state.update((json.dumps(items),))
-        yield pd.DataFrame({"bank_key": [key[0]], "exemplars": [json.dumps(items)]})
-
-    return keyed.groupBy("bank_key").applyInPandasWithState(step, "bank_key string, exemplars string", "items string", "update", GroupStateTimeout.NoTimeout)
+                if len(seen) < self.keep:
+                    seen.setdefault((x[1], x[2]), x)
+            items = list(seen.values())
+        items = [(int(x[0]), *x[1:]) for x in items]
+        self.held.put(items)
+        bank, salt = key
+        yield pd.DataFrame([(f"{salt}:{pos}:{bank}", bank, *x) for pos, x in enumerate(items)], columns=["slot", "bank_key", "seq", "amount", "date", "currency", "cheque_number"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_exemplars(corrections: DataFrame, keep: int = KEEP, salts: int = SALTS) -> DataFrame:
+    """The newest distinct corrections of each bank as they arrive (update mode), a row for each slot. A bank may hold most of the corrections: they are
+    dealt by a hash of amount and date over `salts` keys, each with a state of `keep` entries of its own; `exemplars_of` merges them. A slot, once
+    filled, is only overwritten, so a table by slot is the sink. Rows without seq are left out. The state is a list, which only the RocksDB state
+    store holds: the session is set to it."""
+    corrections.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = corrections.withColumn("bank_key", C.exemplar_key(F.col("bank"))).filter("bank_key <> '' and amount is not null and amount <> '' and seq is not null")
+    keyed = keyed.select("bank_key", F.pmod(F.xxhash64("amount", "date"), F.lit(salts)).alias("salt"), F.col("seq").cast("long").alias("seq"), "amount", "date", "currency", "cheque_number")
+    return keyed.groupBy("bank_key", "salt").transformWithStateInPandas(Newest(keep), SLOT, "update", "none")
+
+
+def exemplars_of(slots: DataFrame, keep: int = KEEP) -> DataFrame:
+    """(bank_key, pos, amount, date, currency, cheque_number, seq) from a table of slots, as `learn_exemplars` gives them: a few dozen rows a bank meet."""
+    order = Window.partitionBy("bank_key").orderBy(F.col("seq").desc(), "amount", "date")
+    return slots.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= keep).select("bank_key", "pos", "amount", "date", "currency", "cheque_number", "seq")
