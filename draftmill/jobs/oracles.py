@@ -194,7 +194,10 @@ SQL = {
     "s2_read_raw": f"SELECT id, CASE WHEN key % 37 <> 0 THEN amount_numeric END AS amount_numeric, CASE WHEN key % 37 <> 0 THEN amount_words_value END AS amount_words_value, CASE WHEN key % 37 <> 0 THEN bank END AS bank, CASE WHEN key % 37 <> 0 THEN conf_amount END AS conf_amount, CASE WHEN key % 37 = 0 THEN 'Invalid JSON' END AS error FROM ({raw()})",
     "s3_tool_use": f"SELECT id, CASE WHEN key % 4 <> 0 THEN bank END AS bank, CASE WHEN key % 4 = 0 THEN 'Model returned no tool_use block' END AS error FROM ({raw()})",
     "s4_function_call": f"SELECT id, CASE WHEN key % 5 < 3 THEN bank END AS bank, CASE key % 5 WHEN 3 THEN 'Could not parse model JSON' WHEN 4 THEN 'Model returned no structured output' END AS error FROM ({raw()})",
-    "s5_export_csv": validated() + f" SELECT id, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, false AS reviewed, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM v) AS t",
+    "s1_pdf_manifest": "SELECT 'doc ' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' ELSE '.PDF' END AS source_file, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents WHERE doc_id % 3 < 2",
+    "s5_export_csv": validated()
+    + f", l AS (SELECT 1 + row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS n, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, false AS reviewed, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM v) AS t)"
+    + " SELECT n, line, true AS several FROM l UNION ALL SELECT 1, 'sourceFile,pageIndex,chequeOnPage,chequesOnPage,amount,currency,amountReconciled,amountWords,date,payer,bank,chequeNumber,hasHandwriting,confidence,status,model,reviewed,error,flags', true",
     "s7_crops": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id % 5 AS c, event_id % 29 = 0 AS gone, CASE WHEN event_id % 11 <> 0 THEN event_type || ' ' || lpad(CAST(event_id AS VARCHAR), 12, '0') ELSE '' END AS crop FROM events),
   log AS (SELECT id, c, 0 AS after, max(crop) FILTER (crop <> '') AS crop FROM e GROUP BY id, c UNION ALL SELECT DISTINCT id, c, 1, NULL FROM e WHERE gone),
   kept AS (SELECT * FROM log WHERE after = 1 OR crop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, after DESC) = 1) SELECT id, crop FROM kept WHERE after = 0""",
@@ -241,6 +244,8 @@ SQL = {
     "w9_display_rank": f"SELECT id, row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS rank FROM ({raw()})",
     "o1_order_regions": f"WITH {PROPS} SELECT page_key, CAST(row_number() OVER (PARTITION BY page_key ORDER BY floor(y0 * 100 + 0.5) / 100, floor(x0 * 100 + 0.5) / 100, i) AS INT) AS ordinal, {BOX6} FROM normal",
     "o2_order_results": f"SELECT id, pdf_id, page_index, cheque_on_page FROM ({raw()}) ORDER BY pdf_id, page_index, cheque_on_page",
+    "o2_locale_order": f"""WITH f AS (SELECT id, page_index, cheque_on_page, pdf_id AS doc, ['etude', 'Étude', 'zeta', 'Etude', 'alpha', 'étude', 'Zeta', 'Alpha'][key % 8 + 1] AS name FROM ({raw()}) AS t)
+  SELECT id, name || ' ' || doc AS pdf_id, row_number() OVER (ORDER BY strip_accents(lower(name)), doc, strip_accents(name) <> name, lower(name) <> name, page_index, cheque_on_page) AS rank FROM f""",
     "o3_top_exemplars": f"WITH {CORR}{EXEMPLARS} SELECT bank_key, pos, amount, seq FROM ex WHERE pos <= 2",
     "o4_cap_regions": f"WITH {PROPS}, o AS (SELECT *, count(*) OVER (PARTITION BY page_key) AS n, CAST(row_number() OVER (PARTITION BY page_key ORDER BY i) AS INT) AS ordinal FROM normal) SELECT page_key, ordinal, {BOX6}, 'ok' AS flag FROM o WHERE n <= 12 UNION ALL SELECT page_key, 1, 0, 0, 1, 1, 'ambiguous' FROM o WHERE n > 12 AND ordinal = 1",
     "u1_union_outcomes": LAYOUT + RESOLVED + ", f AS (SELECT page_key, max(flag) AS flag FROM regions GROUP BY page_key) SELECT flag, count(DISTINCT page_key) AS pages, count(*) AS regions FROM resolved JOIN f USING (page_key) GROUP BY flag",
@@ -249,7 +254,7 @@ SQL = {
     "job_read_cheques": validated(1, 4) + ", best AS (SELECT * FROM v WHERE pass = 1 OR (pass = 2 AND id IN (SELECT id FROM v WHERE pass = 1 AND status = 'review' AND model <> 'gemini-2.5-pro')) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, " + SCORE + " DESC, pass) = 1)" + VOTE("best", 2) + VOTED + " SELECT id, amount, amount_reconciled, currency, date, payer, bank, cheque_number, flags, confidence, status, false AS reviewed, model, error FROM after",
     "job_review_cheques": validated() + f", {CORR}{LAST}, d AS (SELECT v.* REPLACE ({', '.join(f'CASE WHEN l.id IS NOT NULL THEN l.{c} ELSE v.{c} END AS {c}' for c in ('amount', 'currency', 'date', 'payer', 'bank', 'cheque_number'))}, CASE WHEN l.id IS NOT NULL THEN 'ok' ELSE status END AS status, CASE WHEN l.id IS NOT NULL THEN '' ELSE flags END AS flags), l.id IS NOT NULL AS reviewed FROM v LEFT JOIN last l ON l.id = v.id) SELECT id, row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS rank, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM d) AS t",
     "s6_save_load": validated() + " SELECT id, amount, status, confidence FROM v",
-    "s8_pages_to_ink_runs": f"WITH {RUNS} SELECT page_key, y, x0, x1 FROM runs",
+    "s8_pages_to_ink_runs": f"WITH {RUNS}, full_ink AS (SELECT page_key FROM runs JOIN pages USING (page_key) GROUP BY page_key, width, height HAVING sum(runs.x1 - runs.x0) >= CAST(0.95 AS DOUBLE) * width * height) SELECT page_key, y, x0, x1 FROM runs WHERE page_key NOT IN (SELECT page_key FROM full_ink)",
     "t1_stream_validate": validated(source=f"SELECT * REPLACE (CASE WHEN key % 41 <> 0 THEN id END AS id, CASE WHEN key % 41 <> 0 THEN model END AS model, CASE WHEN key % 41 = 0 THEN 'Invalid JSON' ELSE error END AS error) FROM ({raw()}) AS t")
     + f" SELECT {FIELDS.replace('pass,', 'CASE WHEN id IS NOT NULL THEN pass END AS pass,')}, model, error FROM v",
     "t2_stream_upsert": f"WITH {CORR}{LAST} SELECT id, seq, amount, bank, cheque_number FROM last",

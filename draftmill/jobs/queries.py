@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
-from draftmill.functions.shared import file_system, new_path
+from draftmill.functions.shared import file_system, new_path, written
 from draftmill.functions.tables import RAW
 from draftmill.jobs import cheques
 from draftmill.jobs.hooks import map_bounded
@@ -208,9 +209,22 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return choose.result_rows(_valid(spark, sf)).withColumns({"source_file": F.concat(F.col("pdf_id"), F.lit(".pdf")), "cheques_on_page": n})
 
 
+@query
+def s1_pdf_manifest(spark, sf):
+    """Names and sizes of the PDF files among some that are made of the documents; no file is opened."""
+    folder = urlparse(new_path(spark, "files")).path
+    B.document_files(spark, sf, folder)
+    return manifest.pdf_manifest(spark, folder).select("source_file", "size")
+
+
 @query
 def s5_export_csv(spark, sf):
-    return results.csv_lines(_results(spark, sf)).select("id", "line")
+    """The exported files, read again in order: header and lines by number; and whether there were several files."""
+    path = new_path(spark, "export")
+    results.export_csv(_results(spark, sf), path, spark.sparkContext.defaultParallelism)
+    lines = results.read_export(spark, path)
+    several = lines.agg((F.count_distinct("part") > 1).alias("several"))
+    return lines.select("n", "line").join(F.broadcast(several))
 
 
 @query
@@ -387,8 +401,9 @@ def a7_majority_amount(spark, sf):
 
 @query
 def a8_apply_vote(spark, sf):
-    best = choose.pick_best_read(_valid(spark, sf, 1, 2))
-    voted = choose.apply_vote(best, choose.majority_amount(best, B.raw_reads(spark, sf, 3, 4)), ESCALATE)
+    best = written(choose.pick_best_read(_valid(spark, sf, 1, 2)), "best-reads")
+    asked = best.filter(choose.needs_vote())
+    voted = choose.apply_vote(best, choose.majority_amount(asked, B.raw_reads(spark, sf, 3, 4, asked)), ESCALATE)
     return _flat(voted).select("id", "amount", "amount_reconciled", "flags", "status", "model")
 
 
@@ -455,6 +470,14 @@ def o2_order_results(spark, sf):
     return results.order_results(_raw(spark, sf).select("id", *results.ORDER))
 
 
+@query
+def o2_locale_order(spark, sf):
+    """Ranks under a collation, with file names of mixed case and with accents."""
+    names = F.array(*[F.lit(n) for n in ("etude", "Étude", "zeta", "Etude", "alpha", "étude", "Zeta", "Alpha")])
+    named = _raw(spark, sf).select("id", F.concat(F.element_at(names, (F.col("key") % 8 + 1).cast("int")), F.lit(" "), F.col("pdf_id")).alias("pdf_id"), "page_index", "cheque_on_page")
+    return results.display_rank(named, "UNICODE").select("id", "pdf_id", "rank")
+
+
 @query
 def o3_top_exemplars(spark, sf):
     return exemplars.top_exemplars(_exemplars(spark, sf)).select("bank_key", "pos", "amount", "seq")

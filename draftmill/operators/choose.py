@@ -45,9 +45,10 @@ def escalation_target(reads: DataFrame, configured: str) -> DataFrame:
 def majority_amount(base: DataFrame, extra: DataFrame) -> DataFrame:
     """(id, amount, votes) where at least three samples agree on two decimals; of equally frequent amounts the one seen first. Samples: the
     base read's two values, then for each extra read, by pass, its digits and its words value. base: id and the two values; extra: raw
-    reads, of which those that failed have no say."""
+    reads, of which those that failed or that base doesn't ask for have no say."""
     if "error" in extra.columns:
         extra = extra.filter("error is null")
+    extra = extra.join(base.select("id"), "id", "left_semi")
     first = base.select("id", F.posexplode(F.array("amount_numeric_value", "amount_words_value")).alias("k", "v")).withColumn("pos", F.col("k").cast("long"))
     pair = F.array(C.parse_amount(F.col("amount_numeric")), F.col("amount_words_value"))
     more = extra.select("id", "pass", F.posexplode(pair).alias("k", "v")).withColumn("pos", F.col("pass") * 2 + F.col("k") + 10)

@@ -45,24 +45,32 @@ def attach_crops(results: DataFrame, crops: DataFrame) -> DataFrame:
 
 
 
-def order_results(results: DataFrame) -> DataFrame:
-    return results.orderBy(*ORDER)
-
-
-def display_rank(results: DataFrame) -> DataFrame:
-    """results with `rank`, 1-based in the global order: ranks within pdf_id by many tasks, and the number of rows of the pdf_ids before it.
-    Only one count per pdf_id is summed up in order."""
-    counts = results.groupBy("pdf_id").agg(F.count("*").alias("n"))
-    # Prefix sums in two levels: within ranges of pdf_id, then over the ranges (as many as there are partitions).
-    # Written out, so that which file is in which range is settled.
-    ranged = written(counts.repartitionByRange("pdf_id").withColumn("part", F.spark_partition_id()), "file-counts")
-    within = Window.partitionBy("part").orderBy("pdf_id").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("part").agg(F.sum("n").alias("total"))
-    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("part", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("start"))
-    offsets = ranged.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(starts), "part").select("pdf_id", (F.col("start") + F.col("before")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("pdf_id").orderBy("page_index", "cheque_on_page"))
-    return results.withColumn("local", local).join(offsets, "pdf_id").withColumn("rank", F.col("before") + F.col("local")).drop("local", "before")
+def _order(collation: str | None) -> list[Column]:
+    return [F.collate("pdf_id", collation) if collation else F.col("pdf_id"), *map(F.col, ORDER[1:])]
+
+
+def order_results(results: DataFrame, collation: str | None = None) -> DataFrame:
+    """In the order of display. Files come by the bytes of their names or, with a collation such as 'UNICODE', as a reader expects: letters before their
+    accents, accents before upper case."""
+    return results.orderBy(*_order(collation))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their number in the order, from 1, as column `name`. Rows are dealt by sampled ranges of the order and sorted within their range; what
+    is summed up in order is one count for each range. So it is no matter how many rows share the first of the order's columns; only rows that are
+    alike in all of them meet. They are written out, so that which row is in which range is settled."""
+    at = F.monotonically_increasing_id()  # the range, and from the 33rd bit down the place within it
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranges")
+    place, part = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))  # as many as there are ranges
+    return ranged.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_start") + place + 1).drop("_at", "_part", "_start")
+
+
+def display_rank(results: DataFrame, collation: str | None = None) -> DataFrame:
+    """results with `rank`, 1-based in the global order. A file of very many rows is ranked by many tasks."""
+    return numbered(results, "rank", *_order(collation))
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -84,11 +92,20 @@ def csv_lines(results: DataFrame) -> DataFrame:
     return results.withColumn("line", F.concat_ws(",", *[C.csv_cell(F.col(c)) for _, c in CSV_FIELDS], C.csv_cell(C.flags_text(F.col("flags")))))
 
 
-def export_csv(results: DataFrame, path: str) -> None:
-    """Part files by range of the global order; the first begins with the byte-order mark and the header."""
+def export_csv(results: DataFrame, path: str, parts: int | None = None) -> None:
+    """Part files by range of the global order, `parts` of them if it is given; the first begins with the byte-order mark and the header."""
     header = results.sparkSession.range(1).select(F.lit("\ufeff" + ",".join([n for n, _ in CSV_FIELDS] + ["flags"])).alias("line"), F.lit(0).alias("kind"), F.lit("").alias("pdf_id"), F.lit(0).alias("page_index"), F.lit(0).alias("cheque_on_page"))
-    lines = csv_lines(results).select("line", F.lit(1).alias("kind"), *ORDER)
-    header.unionByName(lines).orderBy("kind", *ORDER).select("line").write.mode("overwrite").text(path)
+    lines = header.unionByName(csv_lines(results).select("line", F.lit(1).alias("kind"), *ORDER))
+    dealt = lines.repartitionByRange(parts, "kind", *ORDER) if parts else lines.repartitionByRange("kind", *ORDER)
+    dealt.sortWithinPartitions("kind", *ORDER).select("line").write.mode("overwrite").text(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """(n, part, line): the lines of an export in the order of its part files, numbered from 1. Files may be read in splits and in any order: a line's
+    place is its file, the start of its split, and its place within that. Spark's reader takes the byte-order mark off; a cell with line ends has as many
+    lines."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_row"))
+    return numbered(lines, "n", F.col("part"), F.col("_from"), F.col("_row")).select("n", "part", "line")
 
 
 def save_results(results: DataFrame, path: str) -> None:
@@ -107,7 +124,3 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
 def field_reasons(results: DataFrame) -> DataFrame:
     """(id, field, reason): one row for each field with a flag, the last flag's reason."""
     return results.select("id", F.explode(C.field_flags(F.col("flags"))).alias("field", "reason"))
-
-
-def status_is(*states: str) -> Column:
-    return F.col("status").isin(*states)

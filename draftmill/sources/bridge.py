@@ -7,6 +7,8 @@ nested SELECT.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,9 +101,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_reads(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 1) -> DataFrame:
-    """Passes first to last of every order's cheque."""
+def raw_reads(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 1, keys: DataFrame | None = None) -> DataFrame:
+    """Passes first to last of every order's cheque, or of those with the `key`s."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("price"))
+    o = o if keys is None else o.join(keys.select(F.col("key").alias("k")), "k", "left_semi")
     # The table is one row group: its narrow keys are spread before the long chain of strings. A number keeps small tables spread.
     o = o.repartition(spark.sparkContext.defaultParallelism, "k")
     d = chain(o.withColumn("p", F.explode(F.array(*[F.lit(p).cast("long") for p in range(first, last + 1)]))), RAW_READS)
@@ -145,11 +148,13 @@ def gray_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_key, width, height, pixels): the ink runs of each page drawn dark on white, a line of pixels after the other."""
+    """(page_key, width, height, pixels): the ink runs of each page drawn on a light ground, a line of pixels after the other. Pages are gray, in colour, or
+    in colour with an alpha channel, by turns; ink is light enough to count as ink only against the page's own ground."""
     size = pages(spark, sf_dir)
     runs = F.array_sort(F.collect_list(F.struct("x0", "x1")))
     lines = ink_runs(spark, sf_dir).groupBy("page_key", F.col("y").cast("int").alias("y")).agg(runs.alias("runs")).join(size, "page_key")
-    white, dark = (lambda n: F.repeat(F.lit("~"), n)), (lambda n: F.repeat(F.lit(" "), n))
+    shade = lambda *by: lambda n: F.repeat(F.when(F.col("page_key") % 3 == 0, by[0]).when(F.col("page_key") % 3 == 1, by[1]).otherwise(by[2]), n)
+    white, dark = shade("E0", "E6E0D2", "E6E0D2FF"), shade("AA", "C8A096", "C8A09680")
     end = F.coalesce(F.element_at("runs", -1)["x1"], F.lit(0))
     parts = F.transform("runs", lambda r, i: F.concat(white(r["x0"] - F.coalesce(F.get("runs", i - 1)["x1"], F.lit(0))), dark(r["x1"] - r["x0"])))
     drawn = lines.select("page_key", "y", F.concat(F.array_join(parts, ""), white(F.col("width") - end)).alias("line"))
@@ -157,4 +162,19 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = size.join(own, "page_key", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<y: int, line: string>>")))
     following = lambda i: F.coalesce(F.get("own", i)["y"], F.col("height"))
     body = F.transform("own", lambda x, i: F.concat(x["line"], white(F.col("width") * (following(i + 1) - x["y"] - 1))))
-    return d.select("page_key", "width", "height", F.concat(white(F.col("width") * following(F.lit(0))), F.array_join(body, "")).cast("binary").alias("pixels"))
+    return d.select("page_key", "width", "height", F.unhex(F.concat(white(F.col("width") * following(F.lit(0))), F.array_join(body, ""))).alias("pixels"))
+
+
+def document_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Each document's text as a file of its own in a local folder that driver and executors share: `doc <id>` with .pdf, .PDF or .txt, in seven subfolders.
+    A task that runs again writes the same files."""
+
+    def work(batches):
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                path = Path(folder, f"s{i % 7}", f"doc {i}.{('pdf', 'PDF', 'txt')[i % 3]}")
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes((text or "").encode())
+            yield batch[["doc_id"]]
+
+    table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(work, "doc_id long").write.format("noop").mode("overwrite").save()
