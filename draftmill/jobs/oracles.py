@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from draftmill.functions.tables import BANKS, CURRENCY_HINTS, DEFAULT_ROIS, EASTERN, EXTRACT_PROMPT, MAGNITUDES, MONTHS, REGION_PROMPT, SMALL, WESTERN
+from draftmill.functions.tables import BANKS, CURRENCY_HINTS, DEFAULT_ROIS, EASTERN, MAGNITUDES, MONTHS, SMALL, WESTERN
 from draftmill.sources import bridge as B
 
 
@@ -171,6 +171,46 @@ VOTED = """, f AS (SELECT b.*, w.amount AS w, b.status = 'review' AS asked, list
     CASE WHEN asked AND w IS NOT NULL THEN array_to_string(other, ' | ') ELSE flags END AS flags,
     CASE WHEN asked AND w IS NOT NULL THEN CASE WHEN len(list_filter(other, lambda x: contains(x, ':high:'))) > 0 THEN 'review' ELSE 'ok' END ELSE status END AS status,
     CASE WHEN asked THEN 'gemini-2.5-pro' ELSE model END AS model) FROM f)"""
+# Fixed texts, written out here so that a wrong one in the library shows.
+ASK_CHEQUE = (
+    "Extract the fields from this single bank cheque. For the amount, report the figures from the amount box as "
+    "amount_numeric, the courtesy line text as amount_words, and your own numeric reading of those words as "
+    "amount_words_value. If a field is absent, return an empty string (or null for amount_words_value). The cheque "
+    "number is the leading digits of the MICR/MRIC line at the bottom. Give a 0..1 confidence per field."
+)
+ASK_REGIONS = (
+    "This scanned page may contain ONE or SEVERAL separate bank cheques. Identify every distinct physical cheque "
+    "and give a bounding box for each as fractions of the image size with the origin at the TOP-LEFT: x0,y0 is the "
+    "top-left corner and x1,y1 the bottom-right, each between 0 and 1. Order cheques top-to-bottom then left-to-"
+    "right. Exclude page edges, staples, and anything that is not a cheque. If a single cheque covers most of the "
+    "page, return one box [0,0,1,1]."
+)
+BANK_TEXTS = [
+    ("Bank-specific guidance for Qatar National Bank (QNB): Amount box is top-right; courtesy line is centre, usually English. Cheque number = first 8 digits of the MICR line. Currency QAR.", ("qatar national", "qnb")),
+    ("Bank-specific guidance for Commercial Bank of Qatar (CBQ): Bilingual layout; legal amount box upper-right. MICR cheque number is 8 digits. Currency QAR.", ("commercial bank", "cbq")),
+    ("Bank-specific guidance for Qatar Islamic Bank (QIB): Arabic-forward layout; date often upper-right in DD/MM/YYYY. 8-digit cheque number. Currency QAR.", ("qatar islamic", "qib")),
+    ("Bank-specific guidance for Qatar International Islamic Bank (QIIB): Bilingual; courtesy line may be Arabic. 8-digit MICR cheque number. Currency QAR.", ("international islamic", "qiib")),
+    ("Bank-specific guidance for Doha Bank: Amount box upper-right; English courtesy line common. 8-digit cheque number. Currency QAR.", ("doha bank",)),
+    ("Bank-specific guidance for Masraf Al Rayan: Islamic-bank bilingual layout. 8-digit MICR cheque number. Currency QAR.", ("al rayan", "masraf")),
+    ("Bank-specific guidance for HSBC: English-forward layout; amount box upper-right. 8-digit cheque number.", ("hsbc",)),
+]
+EXAMPLES_TEXT = "Recently human-verified examples for this bank (format references only, NOT answers for this image):"
+LINES = ", lines AS (SELECT bank_key, string_agg('  - amount=' || amount || ' ' || currency || ', date=' || date || ', cheque#=' || cheque_number, chr(10) ORDER BY pos) AS l FROM ex WHERE pos <= 2 GROUP BY bank_key)"
+HINT = f"nullif(concat_ws(chr(10) || chr(10), {chain_of('bank', BANK_TEXTS, 'NULL')}, {q(EXAMPLES_TEXT)} || chr(10) || l), '')"
+#: From responses: what each read's error is; an answer that was cut off or in another tool has none of the fields.
+_GOOGLE = "starts_with(model, 'gemini')"
+ANSWERS = f"""SELECT * REPLACE (CASE WHEN error IS NOT NULL THEN CASE WHEN {_GOOGLE} THEN 'Gemini' ELSE 'Anthropic' END || ' ' || split_part(error, ',', 1) WHEN {_GOOGLE} AND key % 43 = 0 THEN 'Could not parse model JSON'
+  WHEN NOT {_GOOGLE} AND key % 47 = 0 THEN 'Model returned no tool_use block' END AS error) FROM ({raw(1, 4)}) AS t"""
+READ_JOB = ", best AS (SELECT * FROM v WHERE pass = 1 OR (pass = 2 AND id IN (SELECT id FROM v WHERE pass = 1 AND status = 'review' AND model <> 'gemini-2.5-pro')) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, " + SCORE + " DESC, pass) = 1)" + VOTE("best", 2) + VOTED + " SELECT id, amount, amount_reconciled, currency, date, payer, bank, cheque_number, flags, confidence, status, false AS reviewed, model, error FROM after"
+REVIEWED = validated() + f", {CORR}{LAST}, d AS (SELECT v.* REPLACE ({', '.join(f'CASE WHEN l.id IS NOT NULL THEN l.{c} ELSE v.{c} END AS {c}' for c in ('amount', 'currency', 'date', 'payer', 'bank', 'cheque_number'))}, CASE WHEN l.id IS NOT NULL THEN 'ok' ELSE status END AS status, CASE WHEN l.id IS NOT NULL THEN '' ELSE flags END AS flags), l.id IS NOT NULL AS reviewed FROM v LEFT JOIN last l ON l.id = v.id) SELECT id, row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS rank, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM d) AS t"
+REQUESTS = (
+    validated(1, 2, source=f"SELECT * FROM ({raw(1, 2)}) AS t WHERE pass = 1 OR key % 2 = 0")
+    + f""", first AS (SELECT * FROM v WHERE pass = 1), asked AS (SELECT id, key, bank FROM first WHERE status = 'review' AND model <> 'gemini-2.5-pro'),
+  best AS (SELECT * FROM v WHERE pass = 1 OR id IN (SELECT id FROM asked) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, {SCORE} DESC, pass) = 1),
+  second AS (SELECT id, bank, 2 AS pass FROM asked WHERE key % 2 <> 0), votes AS (SELECT id, bank, p.p AS pass FROM best, (VALUES (3), (4)) AS p(p) WHERE status = 'review' AND id NOT IN (SELECT id FROM second) AND (p.p = 4 OR key % 4 <> 0)),
+  {CORR}{EXEMPLARS}{LINES} SELECT id, CAST(pass AS INT) AS pass, 'gemini-2.5-pro' AS model, md5({q(ASK_CHEQUE)} || coalesce(chr(10) || chr(10) || {HINT}, '')) AS prompt_md5
+  FROM (SELECT * FROM second UNION ALL SELECT * FROM votes) AS d LEFT JOIN lines ON bank_key = {exemplar_key('bank')}"""
+)
 TARGET = "CASE WHEN starts_with(model, 'gemini') THEN 'gemini-2.5-pro' ELSE 'claude-opus-4-8' END"
 
 SQL = {
@@ -209,7 +249,7 @@ SQL = {
     "p6_needs_escalation": validated() + " SELECT id FROM v WHERE status = 'review' AND model <> 'gemini-2.5-pro'",
     "p7_needs_vote": validated(1, 2) + BEST + " SELECT id FROM best WHERE status = 'review'",
     "p8_page_geometry": "SELECT page_key, CAST(rotation AS INT) AS rotation, CAST(ceil(CASE WHEN rotation % 180 = 90 THEN height ELSE width END * s) AS INT) AS out_width, CAST(ceil(CASE WHEN rotation % 180 = 90 THEN width ELSE height END * s) AS INT) AS out_height FROM (SELECT *, CAST(1500 AS DOUBLE) / greatest(width, height) AS s, CASE WHEN height > CAST(1.3 AS DOUBLE) * width THEN (rotate + 90) % 360 ELSE rotate END AS rotation FROM (SELECT p_partkey AS page_key, 600 + p_partkey % 300 AS width, 500 + p_size * 13 AS height, 90 * (p_partkey % 4) AS rotate FROM part) AS a) AS b",
-    "p9_build_requests": f"SELECT id, md5(CASE WHEN key % 3 = 0 THEN {q(REGION_PROMPT)} ELSE {q(EXTRACT_PROMPT)} END || CASE WHEN {trim('bank')} <> '' THEN chr(10) || chr(10) || {trim('bank')} ELSE '' END) AS prompt_md5 FROM ({raw()})",
+    "p9_build_requests": f"SELECT id, md5(CASE WHEN key % 3 = 0 THEN {q(ASK_REGIONS)} ELSE {q(ASK_CHEQUE)} END || CASE WHEN {trim('bank')} <> '' THEN chr(10) || chr(10) || {trim('bank')} ELSE '' END) AS prompt_md5 FROM ({raw()})",
     "p10_retry_plan": f"""WITH a AS (SELECT * FROM ({B.sql('SELECT * FROM events', B.ATTEMPTS)}) AS t QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC, seq DESC) = 1),
   b AS (SELECT *, CASE WHEN http_status = 200 AND has_payload THEN 'done' WHEN (http_status IN (408, 409, 429, 500, 502, 503, 529) OR http_status = 200) AND attempt < 4 THEN 'retry' ELSE 'fail' END AS action FROM a)
   SELECT request_id, attempt, action, CASE WHEN action = 'retry' THEN CAST(1500 * pow(2, attempt) AS BIGINT) END AS wait_ms FROM b""",
@@ -221,7 +261,7 @@ SQL = {
     "j6_crop_runs": LAYOUT + f", px AS ({PIXELS}) SELECT r.page_key, p.ordinal, CAST(r.y - p.y0 AS INT) AS y, CAST(greatest(r.x0, p.x0) - p.x0 AS INT) AS x0, CAST(least(r.x1, p.x1) - p.x0 AS INT) AS x1 FROM runs r JOIN px p ON r.page_key = p.page_key AND r.y >= p.y0 AND r.y < p.y1 AND r.x0 < p.x1 AND r.x1 > p.x0",
     "j7_attach_crops": f"WITH r AS ({raw()}), c AS (SELECT DISTINCT id AS cid FROM ({B.sql('SELECT * FROM events', B.CORRECTIONS)}) AS t) SELECT id, CASE WHEN key % 3 = 0 THEN 'own' WHEN cid IS NOT NULL THEN 'stored ' || id END AS crop FROM r LEFT JOIN c ON cid = id",
     "j8_escalation_worklist": validated(1, 2) + BEST + " SELECT id, bank, status, confidence FROM best b WHERE status = 'review' AND model <> 'gemini-2.5-pro' AND NOT EXISTS (SELECT 1 FROM v WHERE v.id = b.id AND model = 'gemini-2.5-pro' AND (v.pass = 1 OR v.key % 4 <> 0))",
-    "j9_build_hints": validated() + f", {CORR}{EXEMPLARS}, lines AS (SELECT bank_key, string_agg('  - amount=' || amount || ' ' || currency || ', date=' || date || ', cheque#=' || cheque_number, chr(10) ORDER BY pos) AS l FROM ex WHERE pos <= 2 GROUP BY bank_key) SELECT id, md5(nullif(concat_ws(chr(10) || chr(10), {chain_of('bank', [(f'Bank-specific guidance for {b[3]}: {b[4]}', b[1]) for b in BANKS], 'NULL')}, 'Recently human-verified examples for this bank (format references only, NOT answers for this image):' || chr(10) || l), '')) AS hint_md5 FROM v LEFT JOIN lines ON bank_key = {exemplar_key('bank')}",
+    "j9_build_hints": validated() + f", {CORR}{EXEMPLARS}{LINES} SELECT id, md5({HINT}) AS hint_md5 FROM v LEFT JOIN lines ON bank_key = {exemplar_key('bank')}",
     "j10_resolve_page_regions": LAYOUT + RESOLVED + f" SELECT page_key, ordinal, {BOX6} FROM resolved",
     "j11_escalation_target": f"SELECT id, {TARGET} AS target FROM ({raw()})",
     "a1_summary": validated() + " SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'error') AS error, CAST(coalesce(floor(avg(confidence) + 0.5), 0) AS BIGINT) AS avg_confidence FROM v",
@@ -251,8 +291,10 @@ SQL = {
     "u1_union_outcomes": LAYOUT + RESOLVED + ", f AS (SELECT page_key, max(flag) AS flag FROM regions GROUP BY page_key) SELECT flag, count(DISTINCT page_key) AS pages, count(*) AS regions FROM resolved JOIN f USING (page_key) GROUP BY flag",
     "u2_with_error_rows": validated() + f" SELECT {FIELDS}, model, error FROM v",
     "job_find_cheques": LAYOUT + RESOLVED + f", f AS (SELECT page_key, max(flag) AS flag FROM regions GROUP BY page_key) SELECT page_key || ':' || ordinal AS id, page_key, ordinal, CAST(count(*) OVER (PARTITION BY page_key) AS INT) AS cheques_on_page, {BOX6}, flag FROM resolved JOIN f USING (page_key)",
-    "job_read_cheques": validated(1, 4) + ", best AS (SELECT * FROM v WHERE pass = 1 OR (pass = 2 AND id IN (SELECT id FROM v WHERE pass = 1 AND status = 'review' AND model <> 'gemini-2.5-pro')) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pass > 1 AND error IS NOT NULL, " + SCORE + " DESC, pass) = 1)" + VOTE("best", 2) + VOTED + " SELECT id, amount, amount_reconciled, currency, date, payer, bank, cheque_number, flags, confidence, status, false AS reviewed, model, error FROM after",
-    "job_review_cheques": validated() + f", {CORR}{LAST}, d AS (SELECT v.* REPLACE ({', '.join(f'CASE WHEN l.id IS NOT NULL THEN l.{c} ELSE v.{c} END AS {c}' for c in ('amount', 'currency', 'date', 'payer', 'bank', 'cheque_number'))}, CASE WHEN l.id IS NOT NULL THEN 'ok' ELSE status END AS status, CASE WHEN l.id IS NOT NULL THEN '' ELSE flags END AS flags), l.id IS NOT NULL AS reviewed FROM v LEFT JOIN last l ON l.id = v.id) SELECT id, row_number() OVER (ORDER BY pdf_id, page_index, cheque_on_page) AS rank, concat_ws(',', {', '.join(CELL(x) for x, _ in CSV_COLS)}) AS line FROM (SELECT *, count(*) OVER (PARTITION BY pdf_id, page_index) AS n FROM d) AS t",
+    "job_read_cheques": validated(1, 4) + READ_JOB,
+    "job_review_cheques": REVIEWED, "job_review_stored": REVIEWED,
+    "job_read_responses": validated(1, 4, source=ANSWERS) + READ_JOB,
+    "job_request_reads": REQUESTS,
     "s6_save_load": validated() + " SELECT id, amount, status, confidence FROM v",
     "s8_pages_to_ink_runs": f"WITH {RUNS}, full_ink AS (SELECT page_key FROM runs JOIN pages USING (page_key) GROUP BY page_key, width, height HAVING sum(runs.x1 - runs.x0) >= CAST(0.95 AS DOUBLE) * width * height) SELECT page_key, y, x0, x1 FROM runs WHERE page_key NOT IN (SELECT page_key FROM full_ink)",
     "t1_stream_validate": validated(source=f"SELECT * REPLACE (CASE WHEN key % 41 <> 0 THEN id END AS id, CASE WHEN key % 41 <> 0 THEN model END AS model, CASE WHEN key % 41 = 0 THEN 'Invalid JSON' ELSE error END AS error) FROM ({raw()}) AS t")

@@ -20,6 +20,7 @@ from draftmill.operators.validate import validate_extraction, with_error_rows
 from draftmill.sources import bridge as B
 from draftmill.sources import manifest, responses
 from draftmill.streaming import streams
+from draftmill.streaming.store import KeyedTable
 
 ESCALATE = "gemini-2.5-pro"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -515,11 +516,33 @@ def job_read_cheques(spark, sf):
     return _flat(_read(spark, sf)).select("id", "amount", "amount_reconciled", "currency", "date", "payer", "bank", "cheque_number", "flags", "confidence", "status", "reviewed", "model", "error")
 
 
+@query
+def job_read_responses(spark, sf):
+    """From responses of five passes, of which the last is one too many."""
+    return _flat(cheques.read_responses(B.responses(spark, sf, 1, 5))).select("id", "amount", "amount_reconciled", "currency", "date", "payer", "bank", "cheque_number", "flags", "confidence", "status", "reviewed", "model", "error")
+
+
+@query
+def job_request_reads(spark, sf):
+    """What is to be asked next, where second reads are there for some cheques and one vote for some of those."""
+    reads = B.raw_reads(spark, sf, 1, 3).filter("pass = 1 or (pass = 2 and key % 2 = 0) or (pass = 3 and key % 4 = 0)")
+    return cheques.request_reads(reads, B.corrections(spark, sf)).select("id", "pass", "model", F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def job_review_cheques(spark, sf):
-    n = F.count("*").over(Window.partitionBy("pdf_id", "page_index")).cast("int")
-    found = choose.result_rows(_valid(spark, sf)).withColumns({"source_file": F.concat(F.col("pdf_id"), F.lit(".pdf")), "cheques_on_page": n})
-    return cheques.review_cheques(found, B.corrections(spark, sf)).select("id", "rank", "line")
+    return cheques.review_cheques(_results(spark, sf), B.corrections(spark, sf)).select("id", "rank", "line")
+
+
+@query
+def job_review_stored(spark, sf):
+    """The same, from a stored table of results that corrections of two sessions change."""
+    path = new_path(spark, "stored-results")
+    KeyedTable(spark, path).put(_results(spark, sf))
+    fixed = B.corrections(spark, sf)
+    middle = fixed.agg(F.expr("percentile_approx(seq, 0.5)").alias("middle")).first().middle or 0
+    cheques.review_stored(spark, path, fixed.filter(F.col("seq") <= middle))
+    return cheques.review_stored(spark, path, fixed.filter(F.col("seq") > middle)).select("id", "rank", "line")
 
 
 @query

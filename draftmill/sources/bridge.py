@@ -113,6 +113,23 @@ def raw_reads(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 1, k
     return d.withColumn("field_confidence", conf).drop("conf_amount", "conf_payer")
 
 
+def responses(spark: SparkSession, sf_dir: str, first: int = 1, last: int = 1) -> DataFrame:
+    """What models answered, as their providers send it: an attempt that failed before each third answer; HTTP errors; answers cut off (every 43rd) and
+    answers in another tool (every 47th)."""
+    r = raw_reads(spark, sf_dir, first, last)
+    fields = ("amount_numeric", "amount_words", "amount_words_value", "currency", "date", "payer", "bank", "cheque_number", "has_handwriting", "field_confidence")
+    payload = F.to_json(F.struct(*fields))
+    cut = F.when(F.col("key") % 43 == 0, F.substring(payload, F.lit(1), F.length(payload) - 1)).otherwise(payload)
+    call = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.struct(cut.alias("arguments")).alias("function"))).alias("tool_calls")).alias("message"))).alias("choices")))
+    tool = F.when(F.col("key") % 47 == 0, "other_tool").otherwise("record_cheque")
+    use = F.concat(F.lit('{"content": [{"type": "text", "text": "x"}, {"type": "tool_use", "name": "'), tool, F.lit('", "input": '), payload, F.lit("}]}"))
+    status = F.when(F.col("error").isNotNull(), F.substring("error", 6, 3).cast("int")).otherwise(200)
+    body = F.when(F.col("error").isNull(), F.when(F.col("model").startswith("gemini"), call).otherwise(use))
+    answers = r.select("id", "pdf_id", "page_index", "cheque_on_page", "key", "pass", F.lit(1).alias("attempt"), "model", status.alias("http_status"), body.alias("body"))
+    earlier = answers.filter("key % 3 = 0").withColumns({"attempt": F.lit(0), "http_status": F.lit(503), "body": F.lit(None).cast("string")})
+    return answers.unionByName(earlier)
+
+
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain(table(spark, sf_dir, "events"), CORRECTIONS)
 

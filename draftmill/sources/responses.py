@@ -47,6 +47,27 @@ def parse_function_call(df: DataFrame, column: str) -> DataFrame:
     return d.withColumn("error", error).drop("a", "c")
 
 
+#: Fixed texts: the tool that an extraction calls, and how providers are named in errors.
+EXTRACT_TOOL = "record_cheque"
+PROVIDERS = {"google": "Gemini", "anthropic": "Anthropic"}
+
+
+def reads_of(responses: DataFrame) -> DataFrame:
+    """Raw reads from landed responses (id, pass, attempt, model, http_status, body, and whatever columns go with an id): of each id and pass the last attempt.
+    The answer is looked up as the model's provider gives it; `error` says why there is none."""
+    rest = [c for c in responses.columns if c not in ("id", "pass", "attempt")]
+    last = responses.groupBy("id", "pass").agg(F.max_by(F.struct(*rest), "attempt").alias("r")).select("id", "pass", "r.*")
+    google = C.provider_of(F.col("model")) == "google"
+    ok = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
+    tool = parse_tool_use(last.filter(~google), "body", EXTRACT_TOOL)
+    call = parse_function_call(last.filter(google), "body")
+    both = tool.unionByName(call).drop("body")
+    name = F.when(google, PROVIDERS["google"]).otherwise(PROVIDERS["anthropic"])
+    failed = F.concat(name, F.lit(" HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("?")))
+    both = both.withColumns({"why": F.when(ok, F.col("error")).otherwise(failed), "payload": F.when(ok, F.col("payload"))}).drop("error", "http_status")
+    return parse_raw(both, "payload").withColumn("error", F.coalesce("why", "error")).drop("why")
+
+
 def validate_requests(df: DataFrame) -> DataFrame:
     """df with `error` where the image is missing or the model is not one of the catalogue."""
     good = (C.or_empty(F.col("image")) != "") & F.coalesce(F.col("model").isin(*[m for m, _, _ in MODELS]), F.lit(False))
