@@ -11,10 +11,15 @@ Sign bits alone can't keep the promise: at a similarity of 0.8, some 10 of the 6
 differing places with probability 0.944 at that similarity, and all three prints fail with probability 0.0001, whatever was edited.
 
 The buckets' least members are summed up before their shuffle. Each node is held against the least node it meets; then against the least nodes
-of its other buckets, where they are not yet joined. What is left are buckets that still hold several components: there the nodes
-outside the bucket's largest component, LIMIT at a time, are held against all others. Rows are sent once for each such step (those
-held, once for each LIMIT rows that pass by), so the work sent grows with the members of a bucket, not with their pairs; a task
-holds at most some 2 x LIMIT sets. Only texts that share a bucket are read again for their sets.
+of its other buckets, where they are not yet joined. What is left are buckets that still hold several components. Where LIMIT nodes at most are
+outside a bucket's largest component, they are held against all others: one step, in which a row is sent once, or, if it is held, once for each LIMIT rows
+that pass by, so some 2 n rows for n members, and a task holds some 2 x LIMIT sets.
+
+Larger ones, such as of many texts on one template, are dealt anew by prefixes: of its shingles, rarest first (counted over the texts of such buckets), a
+set of n shares one of the first n - 0.8 n + 1 with every set that it is linked to. What texts on one template have in common is frequent, so it is not in
+their prefixes unless they are linked; rows sent are one for each shingle and then one for each shared shingle of a prefix. Only where still more than LIMIT
+nodes of several components share a rare shingle there are several steps, LIMIT nodes held at a time, between which components are found anew; that is
+the one part whose rows can grow faster than the members, by one round for each LIMIT of them. Only texts that share a bucket are read again for their sets.
 
 Defined results: null counts as empty. Texts without words are alike. Texts of under five words have one shingle, the whole sequence. A row is known by
 its doc_id and text: rows equal in both stay or go together. A null doc_id comes after all others. No rows in, no rows out.
@@ -123,7 +128,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, limit: int = LIMIT) -
     lows = whole.join(nodes.select("node", "low"), "node")
     names = lows.groupBy("root").agg(F.min("low").alias("least"))
     linked = lows.join(names, "root").select("node", "least")
-    of = nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("least", "low").alias("least"))
+    # Written out: its join with the rows has an exchange of its own on either side, so a text with very many copies can be split.
+    of = staged(nodes.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("least", "low").alias("least")), "least-of-nodes")
     return rows.select("doc_id", "th", "node").join(of, "node").select("doc_id", "th", F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("low_th"))
 
 
@@ -185,16 +191,17 @@ def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, Da
     links = links.union(staged(judged(rooted(met, root, "u", "v").filter("u_root <> v_root").select("u", "v")), "links"))
     root = components(links)
 
-    # Buckets of three or more that hold several components. Those with the same members are one.
-    inside = staged(rooted(members.select("h", "node").distinct(), root, "node"), "held")
-    open_ = inside.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x"), F.min("node_root").alias("lo"), F.max("node_root").alias("hi"))
-    open_ = staged(open_.filter("n > 2 and lo < hi").groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")).select("h"), "open-buckets")
-    sizes = inside.join(open_, "h").groupBy("h", "node_root").agg(F.count("*").alias("m"))
-    # groups: of what is outside the largest component; spread: tasks among which the members that pass by are dealt.
-    plan = sizes.groupBy("h").agg(F.max_by("node_root", F.struct("m", "node_root")).alias("large"), F.sum("m").alias("n"), F.max("m").alias("most"))
-    plan = staged(plan.select("h", "large", F.ceil((F.col("n") - F.col("most")) / limit).cast("int").alias("groups"), F.ceil(F.col("n") / limit).cast("int").alias("spread")), "plan")
-    group = F.when(F.col("node_root") == F.col("large"), F.col("groups")).otherwise(F.pmod(F.xxhash64("node"), "groups")).cast("int")
-    dealt = staged(inside.join(plan, "h").withColumn("group", group).drop("large"), "dealt")
+    def opened(inside: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+        """Of (h, node, node_root) the buckets of `least` or more that hold several components; those with the same members are one. Gives the plan (h,
+        groups of nodes outside the largest component, spread of those that pass by over tasks) and the members with their groups."""
+        inside = staged(inside, "held")
+        n = inside.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("node").alias("x"), F.min("node_root").alias("lo"), F.max("node_root").alias("hi"))
+        h = staged(n.filter((F.col("n") >= least) & (F.col("lo") < F.col("hi"))).groupBy("n", "u", "v", "x").agg(F.min("h").alias("h")).select("h"), "open-buckets")
+        sizes = inside.join(h, "h").groupBy("h", "node_root").agg(F.count("*").alias("m"))
+        plan = sizes.groupBy("h").agg(F.max_by("node_root", F.struct("m", "node_root")).alias("large"), F.sum("m").alias("n"), F.max("m").alias("most"))
+        plan = staged(plan.select("h", "large", F.ceil((F.col("n") - F.col("most")) / limit).cast("int").alias("groups"), F.ceil(F.col("n") / limit).cast("int").alias("spread")), "plan")
+        group = F.when(F.col("node_root") == F.col("large"), F.col("groups")).otherwise(F.pmod(F.xxhash64("node"), "groups")).cast("int")
+        return plan, staged(inside.join(plan, "h").withColumn("group", group).drop("large"), "dealt")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         each = [(n, r, np.frombuffer(s, np.uint32)) for n, r, s in zip(group["node"], group["node_root"], group["s"], strict=True)]
@@ -202,13 +209,50 @@ def _linked(texts: DataFrame, similar: float, limit: int) -> tuple[DataFrame, Da
         links = cross_links([x for x, y in zip(each, held, strict=True) if y], [x for x, y in zip(each, held, strict=True) if not y], similar)
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    for step in range(plan.agg(F.coalesce(F.max("groups"), F.lit(0))).first()[0]):
-        at = dealt.filter((F.col("groups") > step) & (F.col("group") >= step)).withColumn("held", F.col("group") == step)
+    def step(dealt: DataFrame, at: int) -> DataFrame:
+        """Links of the nodes of group `at` with those of the groups after it."""
+        now = dealt.filter((F.col("groups") > at) & (F.col("group") >= at)).withColumn("held", F.col("group") == at)
         spots = F.when(F.col("held"), F.sequence(F.lit(0), F.col("spread") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "h"), "spread").cast("int")))
-        sent = at.select("h", "node", "node_root", "held", F.explode(spots).alias("spot")).join(sets, "node")
-        links = links.union(staged(sent.groupBy("h", "spot").applyInPandas(search, "u long, v long"), "links"))
-        root = None
-    return rows, nodes, root or components(links)
+        sent = now.select("h", "node", "node_root", "held", F.explode(spots).alias("spot")).join(sets, "node")
+        return staged(sent.groupBy("h", "spot").applyInPandas(search, "u long, v long"), "step-links")
+
+    def none(df: DataFrame) -> bool:
+        return not df.limit(1).count()
+
+    plan, dealt = opened(rooted(members.select("h", "node").distinct(), root, "node"), 3)
+    if none(plan):
+        return rows, nodes, root
+    links = links.union(step(dealt.filter("groups = 1"), 0))
+    root = components(links)
+    large = staged(dealt.filter("groups > 1").select("node").distinct(), "large-buckets")
+    if none(large):
+        return rows, nodes, root
+    plan, dealt = opened(rooted(staged(by_prefix(sets.join(large, "node"), similar), "prefixes"), root, "node"), 2)
+    for at in range(plan.agg(F.coalesce(F.max("groups"), F.lit(0))).first()[0]):
+        if at:
+            dealt = rooted(dealt.drop("node_root"), root, "node")
+        links = links.union(step(dealt, at))
+        root = components(links)
+    return rows, nodes, root
+
+
+def by_prefix(sets: DataFrame, similar: float) -> DataFrame:
+    """(h, node): each set's prefix shingles that other sets have too. Two sets that are linked share one."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            parts = [np.frombuffer(s, np.uint32) for s in p["s"]]
+            n = np.array([len(x) for x in parts], np.int64)
+            if n.sum():
+                yield pd.DataFrame({"h": np.concatenate(parts).astype(np.int64), "node": np.repeat(p["node"].to_numpy(), n), "size": np.repeat(n, n)})
+
+    shingle = sets.select("node", "s").mapInPandas(each, "h long, node long, size long")
+    often = staged(shingle.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared-shingles")
+    own = shingle.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("xs"), F.first("size").alias("size"))
+    # Shingles that no other set has come first and meet nobody.
+    prefix = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + 1
+    take = F.greatest(F.lit(0), prefix - (F.col("size") - F.size("xs"))).cast("int")
+    return own.select("node", F.explode(F.slice("xs", F.lit(1), take)).alias("x")).select("x.h", "node")
 
 
 def drop_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

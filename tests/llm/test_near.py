@@ -102,3 +102,58 @@ def test_components_are_those_of_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for limit in (near.LIMIT, 2):
         assert {r.doc_id: r.component_id for r in near.near_copies(docs, limit=limit).collect()} == dict(enumerate(root))
+
+
+def templated(n, seed):
+    """Texts that share a template without being linked, and for every eighth a copy with a few words changed, which is."""
+    rng = random.Random(seed)
+    template = " ".join(rng.choice(WORDS) for _ in range(150))
+    texts = []
+    for i in range(n):
+        own = " ".join(f"u{seed}x{i}x{j}" for j in range(55))
+        texts.append(f"{template} {own}")
+        if i % 8 == 0:
+            texts.append(edited(rng, texts[-1], 2))
+    return texts
+
+
+def test_templated_texts_take_as_many_steps_whatever_their_number(spark, monkeypatch):
+    write, found = near.staged, {}
+    for n in (64, 128, 256):
+        texts, seen = templated(n, n), {}
+
+        def staged(df, name, seen=seen):
+            out = write(df, name)
+            seen.setdefault(name, []).append(out.count() if name in ("prefixes", "dealt", "step-links") else 0)
+            return out
+
+        monkeypatch.setattr(near, "staged", staged)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in near.near_copies(docs, limit=8).collect()}
+        want = {}
+        for i, t in enumerate(texts):
+            copy = i and "u" in t and t.split()[-1].split("x")[1] == texts[i - 1].split()[-1].split("x")[1]
+            want[i] = i - 1 if copy or (i and jaccard(t, texts[i - 1]) >= 0.8) else i
+        assert got == want
+        found[n] = (len(seen["step-links"]), sum(seen["dealt"]), sum(seen.get("prefixes", [0])))
+    steps, dealt, prefixes = zip(*found.values(), strict=True)
+    assert "prefixes" in seen and max(steps) <= 3, found  # the larger buckets are dealt anew
+    assert dealt[2] < 5 * dealt[0] and prefixes[2] < 5 * max(prefixes[0], n), found
+
+
+def test_prefixes_meet_every_linked_pair(spark):
+    rng = np.random.default_rng(7)
+    base = rng.choice(1 << 20, 400, replace=False).astype(np.uint32)
+    sets = [np.unique(np.r_[base[: rng.integers(200, 400)], rng.integers(1 << 20, 1 << 30, rng.integers(0, 90))]).astype(np.uint32) for _ in range(60)]
+    d = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, s binary")
+    prefix = {}
+    for r in near.by_prefix(d, 0.8).collect():
+        prefix.setdefault(r.node, set()).add(r.h)
+    linked = 0
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                assert prefix[i] & prefix[j]
+    assert linked > 100
