@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, limit: int
     named = whole.join(rep, F.col("node") == F.col("fp")).select("fp", "root", "low")
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = named.join(names, "root").select("fp", "component_id")
-    of = rep.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written out: its join with the rows has an exchange of its own on either side, so a fingerprint of very many rows can be split.
+    of = staged(rep.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "component-of-fingerprints")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
