@@ -7,9 +7,10 @@ deadline, so after any t slots a source has had t q / Q blocks, give or take les
 
 The schedule repeats after Q slots, so the driver works out one period, from the weights alone, and a block's slot is arithmetic:
 no document waits for another. When a source has no blocks left, the others go on by their weights among themselves, as a next phase with a
-period of its own; in the last period of a phase an ended source leaves slots empty. What the driver collects and broadcasts is one
-count per source and `phases x Q` slot numbers: a million at most, as sources beyond the SOURCES largest are scheduled together,
-with the sum of their weights, in the order of the hash among themselves.
+period of its own; in the last period of a phase an ended source leaves slots empty. While more than SINGLY sources go on, a phase lasts until a quarter of
+them have ended (or SINGLY are left), those that end leaving their slots empty; so there are SINGLY phases and some more, and the promise holds for every
+source, of however many, as long as it lasts. What the driver holds is one count for each source and the schedule, some twenty numbers for each
+source (a million for SINGLY); it is broadcast up to BROADCAST numbers and joined by source beyond that. More than MOST sources are refused with an error.
 
 All documents are kept, each once. The rank of a document in its source is found in two levels, so that a source that holds a third
 of the table is ranked by many tasks: within buckets of keys, then by the buckets' counts. Only keys are shuffled for it. To put texts in
@@ -26,6 +27,7 @@ import heapq
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,10 +36,10 @@ from .common import staged, text_of
 
 BLOCK, PERIOD = 16, 1000
 SPAN = 64  # slots of a span
-SOURCES, REST = 512, "\x00"  # sources that are scheduled by themselves; the others together
+SINGLY, MOST = 512, 1 << 22  # sources, at most, while each that ends begins a phase; sources at all
 BUCKET_BITS, PER_BUCKET = 8, 50_000  # least number of buckets of a source; rows of one, beyond that
 PARTS, PER_PART = 64, 1 << 15  # least number of parts; rows of one, beyond that
-BROADCAST = 1 << 20  # rows at most of a table that is broadcast
+BROADCAST = 1 << 20  # rows, or numbers, at most of a table that is broadcast
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -49,10 +51,14 @@ def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     spare = period - sum(out.values())
     for i in range(max(0, spare)):
         out[by_rest[i % len(by_rest)]] += 1
-    while spare < 0:  # the minimum of 1 took too much: the largest give way
-        most = max(out, key=lambda s: (out[s], s))
-        out[most] -= 1
-        spare += 1
+    if spare < 0:  # the minimum of 1 took too much: the largest give way
+        names = sorted(out, reverse=True)
+        largest = [(-out[s], i) for i, s in enumerate(names)]
+        heapq.heapify(largest)
+        for _ in range(-spare):
+            n, i = largest[0]
+            out[names[i]] -= 1
+            heapq.heapreplace(largest, (n + 1, i))
     return out
 
 
@@ -85,7 +91,8 @@ def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD
         size = max(period, 4 * len(active))
         quota = quotas(active, size)
         slots = one_period(quota)
-        periods = min(-(-left[s] // quota[s]) for s in active)
+        ends = sorted(-(-left[s] // quota[s]) for s in active)
+        periods = ends[max(1, len(ends) - max(SINGLY, len(ends) * 3 // 4)) - 1]  # when enough of them have ended
         for s in active:
             done = min(left[s], periods * quota[s])
             low = blocks[s] - left[s]
@@ -100,11 +107,6 @@ def _source() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
-def _lane(counts: dict[str, int]) -> Column:
-    """The source as it is scheduled: itself, or REST if it is not one of those in counts."""
-    return F.when(_source().isin(*[s for s in counts if s != REST]), _source()).otherwise(F.lit(REST)) if REST in counts else _source()
-
-
 def _bits(counts: dict[str, int]) -> int:
     """Of the number of buckets that the keys of a source are cut into."""
     return max(BUCKET_BITS, math.ceil(math.log2(max(1, max(counts.values(), default=0) / PER_BUCKET))))
@@ -113,21 +115,17 @@ def _bits(counts: dict[str, int]) -> int:
 def _keys(docs: DataFrame, counts: dict[str, int], bits: int, *more: Column) -> DataFrame:
     """doc_id, src, key (a hash that orders the documents of a source) and bucket (a range of keys)."""
     tie = text_of() if "text" in docs.columns else F.lit("")
-    keyed = docs.select(*more, "doc_id", _lane(counts).alias("src"), F.xxhash64("doc_id", tie).alias("key"))
+    keyed = docs.select(*more, "doc_id", _source().alias("src"), F.xxhash64("doc_id", tie).alias("key"))
     return keyed.withColumn("bucket", (F.shiftright("key", 64 - bits) + (1 << bits - 1)).cast("int"))
 
 
 def _counts(docs: DataFrame, weights: dict[str, float] | None) -> tuple[dict[str, int], dict[str, float]]:
-    """Documents and weight of each source. Without weights a source weighs the square root of its number of documents. Of more than SOURCES sources the
-    largest stand alone and the others are scheduled together, as REST, with the sum of their weights."""
-    each = docs.groupBy(_source().alias("src")).agg(F.count("*").alias("n"))
-    top = {r.src: r.n for r in each.orderBy(F.desc("n"), "src").limit(SOURCES).collect()}
-    own = {s: math.sqrt(n) for s, n in top.items()} if weights is None else weights
-    whole = each.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.sqrt("n")).alias("w")).first()
-    if whole.k <= len(top):
-        return top, own
-    rest = whole.w - sum(own.values()) if weights is None else sum(w for s, w in weights.items() if s not in top)
-    return top | {REST: whole.n - sum(top.values())}, own | {REST: rest}
+    """Documents and weight of each source. Without weights a source weighs the square root of its number of documents."""
+    each = docs.groupBy(_source().alias("src")).agg(F.count("*").alias("n")).limit(MOST + 1).toArrow()
+    if each.num_rows > MOST:
+        raise ValueError(f"more than {MOST} sources")
+    counts = dict(zip(each.column("src").to_pylist(), each.column("n").to_pylist(), strict=True))
+    return counts, {s: math.sqrt(n) for s, n in counts.items()} if weights is None else weights
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -147,10 +145,15 @@ def _ranked(keyed: DataFrame, buckets: int) -> DataFrame:
 def _slotted(ranked: DataFrame, counts: dict[str, int], weights: dict[str, float], block: int, period: int) -> DataFrame:
     """ranked (src, rank, ...) with block and slot."""
     phases = plan({s: -(-n // block) for s, n in counts.items()}, weights, period)
-    rows = json.dumps([{"src": s, "phases": p} for s, p in sorted(phases.items())])
-    kind = "array<struct<src: string, phases: array<struct<low: long, high: long, quota: long, slots: array<long>, size: long, start: long>>>>"
-    table = ranked.sparkSession.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(rows), kind)))
-    both = ranked.withColumn("block", F.floor(F.col("rank") / block)).join(F.broadcast(table), "src")  # SOURCES + 1 rows at most
+    spark, kind = ranked.sparkSession, "array<struct<low: long, high: long, quota: long, slots: array<long>, size: long, start: long>>"
+    if sum(p["quota"] for own in phases.values() for p in own) <= BROADCAST:
+        rows = json.dumps([{"src": s, "phases": p} for s, p in sorted(phases.items())])
+        table = F.broadcast(spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<src: string, phases: {kind}>>"))))
+    else:
+        names = sorted(phases)
+        rows = pa.table({"src": pa.array(names, pa.string()), "phases": pa.array([json.dumps(phases[s]) for s in names], pa.string())})
+        table = staged(spark.createDataFrame(rows), "mix-schedule").select("src", F.from_json("phases", kind).alias("phases"))
+    both = ranked.withColumn("block", F.floor(F.col("rank") / block)).join(table, "src")
     phase = F.element_at(F.filter("phases", lambda p: (p["low"] <= F.col("block")) & (F.col("block") < p["high"])), 1)
     both = both.withColumn("p", phase).drop("phases").withColumn("j", F.col("block") - F.col("p.low"))
     turn = F.floor(F.col("j") / F.col("p.quota"))

@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from draftmill.llm import mixing
@@ -138,11 +140,59 @@ def test_order_of_the_mix(spark):
     assert all(r.span == at[r.doc_id, next(x for d, x in at if d == r.doc_id)][0][0] // 4 for r in got if r.doc_id is not None)
 
 
-def test_many_sources_are_bounded(spark):
-    docs = spark.createDataFrame([(i, f"s{i % 40}" if i % 2 else "big") for i in range(2000)], "doc_id long, source string")
-    mixing.SOURCES, was = 5, mixing.SOURCES
-    try:
-        rows = mixing.mix(docs, block=4, period=50).collect()
-    finally:
-        mixing.SOURCES = was
-    assert len({(r.slot, r.place) for r in rows}) == 2000 and {(r.doc_id, r.source) for r in rows} == {(r.doc_id, r.source) for r in docs.collect()}
+def placed(phases):
+    """Of each block of the plan its slot."""
+    out = {}
+    for s, own in phases.items():
+        for p in own:
+            for b in range(p["low"], p["high"]):
+                turn, j = divmod(b - p["low"], p["quota"])
+                out[s, b] = p["start"] + turn * p["size"] + p["slots"][j]
+    return out
+
+
+def test_two_thousand_sources_keep_their_targets():
+    """At the default parameters: in each phase every source that goes on is less than one block from its share after any slot, and no two blocks share a
+    slot."""
+    rng = random.Random(4)
+    blocks = {f"s{i}": max(1, int(rng.paretovariate(0.8))) for i in range(2000)}
+    weights = {s: math.sqrt(n) for s, n in blocks.items()}
+    phases = mixing.plan(blocks, weights)
+    got = placed(phases)
+    assert len(got) == sum(blocks.values()) == len(set(got.values()))
+    assert len({p["start"] for own in phases.values() for p in own}) < mixing.SINGLY + 10
+    for s, own in phases.items():
+        assert [p["low"] for p in own] == [0, *[p["high"] for p in own[:-1]]] and own[-1]["high"] == blocks[s]
+        for p in own:
+            for i, slot in enumerate(got[s, b] - p["start"] for b in range(p["low"], p["high"])):
+                # After `slot` slots i blocks are placed, after the next i + 1: each less than one from the share.
+                share = p["quota"] / p["size"]
+                assert abs(slot * share - i) < 1 and abs((slot + 1) * share - i - 1) < 1
+    # Quotas follow the weights to within a slot of the period, while sources are many enough for it to say so.
+    first = {s: own[0] for s, own in phases.items()}
+    total = sum(weights.values())
+    assert all(abs(p["quota"] - weights[s] / total * p["size"]) < 1.5 or p["quota"] == 1 or p["quota"] > 50 for s, p in first.items())
+
+
+def test_the_schedule_of_many_sources_is_joined_by_source(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 700}" if i % 2 else "big") for i in range(6000)], "doc_id long, source string")
+    one = {(r.doc_id, r.slot, r.place) for r in mixing.mix(docs, block=2, period=50).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST", 10)
+    assert {(r.doc_id, r.slot, r.place) for r in mixing.mix(docs, block=2, period=50).collect()} == one
+    assert len({x[1:] for x in one}) == 6000 and len({x[0] for x in one}) == 6000
+    assert sorted(r.doc_id for r in mixing.mix_rows(docs, block=2, period=50).collect()) == list(range(6000))
+    given = {(r.source, r.slot) for r in mixing.mix(docs, {"big": 1.0, "s1": 1.0}, block=1, period=50).collect()}
+    early = sorted(given, key=lambda x: x[1])[:8]
+    assert {s for s, _ in early} == {"big", "s1"} and abs(sum(s == "s1" for s, _ in early) - 4) <= 1  # a small source has its own weight
+    monkeypatch.setattr(mixing, "MOST", 5)
+    with pytest.raises(ValueError, match="5 sources"):
+        mixing.mix(docs)
+
+
+def test_quotas_give_way_as_one_by_one():
+    rng = random.Random(8)
+    for _ in range(30):
+        weights = {f"s{i}": rng.random() ** 6 + 1e-9 for i in range(rng.randint(2, 60))}
+        period = len(weights) + rng.randint(0, 30)
+        got = mixing.quotas(weights, period)
+        assert sum(got.values()) == period and min(got.values()) >= 1
