@@ -57,9 +57,14 @@ DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
-DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn in br ru ch at be se no dk fi pl pt".split())
-CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "64", "65", "81", "82", "86", "90", "91", "971", "974")
-FIRST_NAMES = frozenset("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna maria peter paul hans marie jean pierre carlos jose juan ana luis laura".split())
+# Generic top-level domains in wide use; those of two letters are the countries' own, all of them.
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro aero asia cat coop jobs mobi museum post tel travel app dev online site store tech xyz eu".split())
+# Country calling codes: of one digit, of two, and of three by zone.
+CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split(),
+    *"211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 246 247 248 249 250 251 252 253 254 255 256 257 258".split(),
+    *"260 261 262 263 264 265 266 267 268 269 290 291 297 298 299 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 378 379 380 381 382 383 385 386 387 389".split(),
+    *"420 421 423 500 501 502 503 504 505 506 507 508 509 590 591 592 593 594 595 596 597 598 599 670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692".split(),
+    *"800 808 850 852 853 855 856 870 878 880 881 882 883 886 888 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 979 992 993 994 995 996 998".split())
 CONTEXT = {
     "email": ("mail", "contact", "write", "@"), "ip": ("ip", "host", "address", "server", "login", "from"), "card": ("card", "visa", "mastercard", "amex", "credit", "payment"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "contact"), "ssn": ("ssn", "social", "security"), "iban": ("iban", "account", "bank", "transfer"), "name": ("name", "dear", "patient", "signed", "regards", "contact"),
@@ -145,23 +150,22 @@ def votes(kind: str, start: int, end: int, text: str, strict: bool | None) -> tu
     s = text[start:end]
     d = _digits(s)
     before = _WORD.findall(text[max(0, start - BEFORE) : start].lower())
-    checksum = {"card": lambda: luhn(d), "iban": lambda: _mod97(s), "ip": lambda: passes("ip", s), "ssn": lambda: d[:3] not in ("000", "666") and d[3:5] != "00" and d[0] != "9"}.get(kind)
+    checksum = {"card": lambda: luhn(d), "iban": lambda: _mod97(s), "ip": lambda: passes("ip", s), "ssn": lambda: None if d[:3] not in ("000", "666") and d[3:5] != "00" and d[0] != "9" else False}.get(kind)
     gazetteer = 2
     if kind == "email":
-        gazetteer = int(re.split(r"[^A-Za-z]+", s.lower().rstrip(")]"))[-1] in DOMAINS) or 2
+        top = re.split(r"[^A-Za-z]+", s.lower().rstrip(")]"))[-1]
+        gazetteer = int(len(top) == 2 or top in DOMAINS) or 2
     elif kind == "card":
         gazetteer = int(d[0] in "3456" or "2221" <= d[:4] <= "2720")
     elif kind == "phone":
         gazetteer = int(s[0] == "+" and d.startswith(CODES)) or 2
     elif kind == "ip":
         gazetteer = 0 if d and (s.startswith(("0.", "10.", "127.", "192.168.", "255."))) else 2
-    elif kind == "name":
-        gazetteer = int(any(w.lower() in FIRST_NAMES for w in s.split()[1:])) or 2
     left, right = text[start - 1 : start], text[end : end + 1]
     alone = not (left.isalnum() or left in ("_", ".", "-", "+", "$") and left or right.isalnum() or right in ("_", "-") and right)
     return (
         2 if strict is None else int(strict),
-        2 if checksum is None else int(checksum()),
+        2 if checksum is None or (ok := checksum()) is None else int(ok),  # a rule that nearly all numbers keep only speaks against one
         gazetteer,
         1 if any(w.startswith(c) for w in before[-5:] for c in CONTEXT[kind]) else 2,
         0 if any(w in ADVERSE for w in before[-3:]) else 2,
@@ -183,7 +187,8 @@ def spans_of(text: str) -> list[tuple[str, int, int, str, bool]]:
     out = [(k, s, e, True, True) for k, s, e, ok in matches if ok]
     # A number that only looks like the start of a card is no candidate: cards that failed need 13 digits or more.
     more = [(k, s, e, False) for k, s, e, ok in matches if not ok and (k != "card" or len(_digits(text[s:e])) >= 13)] + [(*x, None) for x in _loose(text)]
-    for k, s, e, strict in sorted(more, key=lambda x: (KINDS.index(x[0]), x[1], x[2], x[3] is None)):
+    # An account number whose check digits are right comes before a card number that failed within it.
+    for k, s, e, strict in sorted(more, key=lambda x: (x[0] != "iban" or not _mod97(text[x[1] : x[2]]), KINDS.index(x[0]), x[1], x[2], x[3] is None)):
         at = bisect_left(starts, e)  # the stretches before `at` start before this one ends
         if at == 0 or ends[at - 1] <= s:
             starts.insert(at, s)
