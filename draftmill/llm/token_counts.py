@@ -2,8 +2,8 @@
 
 First tier: a broadcast hash table of the token counts of frequent pre-tokens, of at most HEAD entries (about 4 MB). Second
 tier: a cache in each Python worker, for the rest; what both miss is encoded by the tokenizer's library. No pre-token is shuffled: to
-find the frequent ones each task counts its own in bounded space and sends its CANDIDATES most frequent, the highest counts are taken above a
-border that a histogram gives, and nothing depends on that table but speed.
+find the frequent ones each task counts its own in bounded space and sends one record, a sketch of its CANDIDATES most frequent; sketches are
+merged as a tree. Nothing depends on that table but speed.
 
 A pre-token is here a run without ASCII white space. The tokenizer drops white space and its pieces never reach over it, so a
 text's tokens are those of its pre-tokens; strings of special tokens hold no white space and meet the library whole.
@@ -14,26 +14,47 @@ No rows in, no rows out. Other columns play no part in it.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, load
-from .common import SLICE, id_and_text, map_texts, most_frequent, staged, to_arrow
+from .common import SLICE, id_and_text, map_texts, staged, to_arrow
 
-HEAD, CANDIDATES, COUNTED = 1 << 15, 1 << 13, 1 << 18
+HEAD, CANDIDATES, COUNTED, FAN = 1 << 15, 1 << 13, 1 << 18, 32
 
 
-def frequent(docs: DataFrame, head: int = HEAD) -> DataFrame:
-    """(word, c) of the most frequent pre-tokens, as far as bounded counters in the tasks can tell; head rows at most."""
-    schema = "word binary, n long"
+def _sketch(count: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The CANDIDATES most frequent words, end to end (they hold no line feed), and their counts."""
+    top = heapq.nsmallest(CANDIDATES, count.items(), key=lambda x: (-x[1], x[0]))
+    return b"\n".join(w for w, _ in top), np.array([n for _, n in top], "<i8").tobytes()
+
+
+def _merged(sketches) -> dict[bytes, int]:
+    count: Counter = Counter()
+    for words, n in sketches:
+        if n:
+            for w, k in zip(bytes(words).split(b"\n"), np.frombuffer(n, "<i8").tolist(), strict=True):
+                count[w] += k
+    return count
+
+
+def frequent(docs: DataFrame, head: int = HEAD) -> list[tuple[bytes, int]]:
+    """The most frequent pre-tokens with their counts, as far as bounded counters in the tasks can tell; head at most. A task sends one record, a sketch of
+    its CANDIDATES most frequent ones; sketches are merged as a tree, FAN at a time, so that a merge holds some FAN x CANDIDATES words and the driver the
+    last FAN sketches."""
+    schema = "task int, words binary, n binary"
     arrow = to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         count: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -44,11 +65,18 @@ def frequent(docs: DataFrame, head: int = HEAD) -> DataFrame:
                     while len(count) > COUNTED // 2:
                         count = Counter({w: n for w, n in count.items() if n > least})
                         least *= 2
-        top = count.most_common(CANDIDATES)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], schema=arrow)
+        words, n = _sketch(count)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((TaskContext.get().partitionId(), words, n), arrow, strict=True)], schema=arrow)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        words, n = _sketch(_merged(zip(group["words"], group["n"], strict=True)))
+        return pd.DataFrame({"task": [int(group["task"].iloc[0]) // FAN], "words": [words], "n": [n]})
 
-    found = staged(docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("c")), "frequent-words")
-    return most_frequent(found, head)
+    found = staged(docs.mapInArrow(run, schema), "frequent-words")
+    while found.count() > FAN:
+        found = staged(found.groupBy(F.floor(F.col("task") / FAN).alias("of")).applyInPandas(merge, schema), "frequent-words")
+    count = _merged((r.words, r.n) for r in found.collect())
+    return heapq.nsmallest(head, count.items(), key=lambda x: (-x[1], x[0]))
 
 
 class Head(dict):
@@ -67,7 +95,7 @@ def token_counts(docs: DataFrame, tokenizer: str, head: int = HEAD) -> DataFrame
     docs = id_and_text(docs)
     spark = docs.sparkSession
     coder = load(tokenizer)
-    words = [bytes(r.word) for r in frequent(docs, head).collect()]
+    words = [w for w, _ in frequent(docs, head)]
     lengths = [len(e) for e in coder.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
     # Compact: the words end to end (they hold no line feed) and their lengths.
     table = spark.sparkContext.broadcast((b"\n".join(words), np.array(lengths, "<u4").tobytes()))
