@@ -5,8 +5,9 @@ keeps the cells that were hit twice or more. Pass two keeps a row for the shuffl
 A text without a copy is taken for a repeated one now and then (about 1 in 200), never the other way round, and the
 groups among the rows that shuffle are formed by SHA-256, so the result is exact whatever the size of the filter.
 
-The filter has 16 cells a row, up to MAX_CELLS; so what is collected and broadcast is MAX_CELLS / 8 bytes (64 MB) at most.
-Beyond some 30 million rows more rows shuffle, each of about 60 bytes, and the result stays the same.
+The filter has 16 cells a row, up to MAX_CELLS; so what is collected and broadcast at a time is MAX_CELLS / 8 bytes (64 MB) at most. Beyond some 30
+million rows there is a filter for each range of another hash: the keys are written dealt by range (no shuffle) and each range is filtered by
+itself, one after the other, so the share of rows that are taken for repeated ones stays the same at every size.
 
 Defined results: null text counts as empty, empty texts are copies of one another, a null doc_id comes after all others,
 and of rows that agree in doc_id and text one stays. No rows in, no rows out. Other columns play no part in it.
@@ -22,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftmill.functions.shared import new_path
+
 from .common import WHITE, staged, text_of
 
 MIN_CELLS, MAX_CELLS, PER_ROW, HASHES, SEGMENT = 1 << 16, 1 << 29, 16, 3, 1 << 16
@@ -39,10 +42,10 @@ def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([((h + np.uint64(i) * step) & np.uint64(cells - 1)).astype(np.int64) for i in range(HASHES)])
 
 
-def hit_cells(keys: DataFrame, hash_col: str = "h", times: int = 2) -> np.ndarray:
-    """The Bloom filter's cells that `times` (1 or 2) or more rows of `keys` hit, as a bitmap of one byte for eight cells."""
+def hit_cells(keys: DataFrame, hash_col: str = "h", times: int = 2, rows: int | None = None) -> np.ndarray:
+    """The Bloom filter's cells that `times` (1 or 2) or more rows of `keys` hit, as a bitmap of one byte for eight cells. rows: their number, if it is known."""
     cells = MIN_CELLS
-    while cells < min(MAX_CELLS, PER_ROW * keys.count()):
+    while cells < min(MAX_CELLS, PER_ROW * (keys.count() if rows is None else rows)):
         cells *= 2
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,6 +96,20 @@ def possibly_in(df: DataFrame, twice: np.ndarray, hash_col: str) -> Column:
     return test(F.col(hash_col))
 
 
+def marked(keys: DataFrame, hash_col: str = "h") -> DataFrame:
+    """keys with `maybe`: false for rows whose hash surely comes once."""
+    spark, rows = keys.sparkSession, keys.count()
+    ranges = -(-PER_ROW * rows // MAX_CELLS)
+    if ranges <= 1:
+        return keys.withColumn("maybe", possibly_in(keys, hit_cells(keys, hash_col, rows=rows), hash_col))
+    dealt, out = new_path(spark, "exact-ranges"), new_path(spark, "exact-marked")
+    keys.withColumn("__range", F.pmod(F.xxhash64(F.lit(1), hash_col), F.lit(ranges)).cast("int")).write.partitionBy("__range").parquet(dealt)
+    for r in range(ranges):
+        part = spark.read.parquet(dealt).filter(F.col("__range") == r).drop("__range")  # reads the range's folder alone
+        part.withColumn("maybe", possibly_in(part, hit_cells(part, hash_col, rows=-(-rows // ranges)), hash_col)).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def in_set(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     """The rows of df whose `col` (a hash) is in `keys` (a table with that column), and perhaps a few more. A set of SMALL hashes at most is broadcast; a
     larger one goes as a Bloom filter, whose size is bounded."""
@@ -117,9 +134,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256."""
     text = text_of()
     keys = staged(docs.select("doc_id", normal_sha(text).alias("sha"), F.length(text).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row")).withColumn("h", F.xxhash64("sha")), "exact-keys")
-    flag = possibly_in(keys, hit_cells(keys), "h")
-    marked = keys.withColumn("maybe", flag)
-    dup, single = marked.filter("maybe"), marked.filter("not maybe")
+    flagged = marked(keys)
+    dup, single = flagged.filter("maybe"), flagged.filter("not maybe")
     groups = _staged_groups(dup)
     found = dup.join(groups, "sha", "left").select(
         "doc_id",
@@ -154,8 +170,8 @@ def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     if named.limit(SMALL + 1).count() <= SMALL:
         straight, both = None, full.join(F.broadcast(sent), same, "left")
     else:
-        marked = full.withColumn("maybe", possibly_in(full, hit_cells(named, "k", times=1), "k"))
-        straight, both = marked.filter("not maybe").select("doc.*"), marked.filter("maybe").drop("maybe").join(sent, same, "left")
+        flagged = full.withColumn("maybe", possibly_in(full, hit_cells(named, "k", times=1), "k"))
+        straight, both = flagged.filter("not maybe").select("doc.*"), flagged.filter("maybe").drop("maybe").join(sent, same, "left")
     stay = both.filter("all is null").select("doc.*")
     stay = stay if straight is None else straight.unionByName(stay)
     if not named.filter("not all").limit(1).count():
@@ -168,7 +184,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     where the row goes."""
     text = text_of()
     keys = staged(docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.translate(text, WHITE, "")).alias("h")), "exact-keys")
-    again = staged(keys.filter(possibly_in(keys, hit_cells(keys), "h")).select(F.xxhash64("id", "th").alias("k")), "exact-again")
+    again = staged(marked(keys).filter("maybe").select(F.xxhash64("id", "th").alias("k")), "exact-again")
     full = _keyed(docs)
     some = in_set(full, again, "k").select("id", "th", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
     dup = staged(some.select(F.col("id").alias("doc_id"), "th", normal_sha(F.col("text")).alias("sha"), F.length("text").cast("long").alias("n_chars"), F.lit(0).alias("row")), "exact-copies")

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from draftmill.llm import simhash
+from draftmill.llm import exact, simhash
 from draftmill.llm.components import components
 from draftmill.llm.exact import drop_exact_copies, exact_dedup
 from draftmill.llm.queries import op7_simhash
@@ -91,3 +91,20 @@ def test_exact_dedup_of_odd_rows(odd, none):
     assert stay.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in stay.collect()) == [0, 2, 5, 6, 7, 9, 10, 11, 12]
     assert exact_dedup(none).count() == 0 and drop_exact_copies(none).count() == 0
+
+
+def test_many_rows_have_a_filter_for_each_range(spark, monkeypatch):
+    """At ten times the rows that one filter is meant for, unrepeated rows still pass it, and every repeated one is caught."""
+    monkeypatch.setattr(exact, "MAX_CELLS", 1 << 16)
+    n = 10 * (1 << 16) // exact.PER_ROW
+    keys = spark.range(n).select(F.xxhash64(F.when(F.col("id") % 20 == 0, F.col("id") % 100).otherwise(F.col("id"))).alias("h"), F.col("id"))
+    one = keys.withColumn("maybe", exact.possibly_in(keys, exact.hit_cells(keys), "h"))
+    wrong = lambda d: d.filter("maybe and id % 20 > 0").count() / (0.95 * n)
+    assert wrong(one) > 0.5  # a single filter of that size is full
+    rows = exact.marked(keys)
+    assert wrong(rows) < 0.02 and rows.filter("not maybe and id % 20 = 0").count() == 0 and rows.count() == n and rows.select("id").distinct().count() == n
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id % 90) AS text")
+    monkeypatch.setattr(exact, "PER_ROW", 1 << 11)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(docs).collect()}
+    assert got == {i: (i % 90, 4 if i % 90 < 30 else 3) for i in range(300)}
+    assert sorted(r.doc_id for r in exact.drop_exact_copies(docs).collect()) == list(range(90))
