@@ -32,12 +32,9 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 # The models, weakest to strongest within a provider.
 MODELS = (
-    ("gemini-2.5-flash-lite", "Gemini 2.5 Flash-Lite (cheap/fast)", "google"),
-    ("gemini-2.5-pro", "Gemini 2.5 Pro (accurate)", "google"),
-    ("claude-haiku-4-5-20251001", "Claude Haiku 4.5 (fast)", "anthropic"),
-    ("claude-sonnet-4-6", "Claude Sonnet 4.6 (balanced)", "anthropic"),
-    ("claude-opus-4-8", "Claude Opus 4.8 (most accurate)", "anthropic"),
-)
+    ("gemini-2.5-flash-lite", "google"), ("gemini-2.5-pro", "google"), ("claude-haiku-4-5-20251001", "anthropic"), ("claude-sonnet-4-6", "anthropic"),
+    ("claude-opus-4-8", "anthropic"),
+)
 
 # Parts of bank names that tell the currency; the first row that fits counts.
 CURRENCY_HINTS = (
@@ -80,6 +77,7 @@ REGION_PROMPT = (
     "Order cheques top-to-bottom then left-to-right. Exclude page edges, staples, and anything that is "
     "not a cheque. If a single cheque covers most of the page, return one box [0,0,1,1]."
 )
+EXAMPLES = "Recently human-verified examples for this bank (format references only, NOT answers for this image):\n"
 CSV_FIELDS = (
     ("sourceFile", "source_file"), ("pageIndex", "page_index"), ("chequeOnPage", "cheque_on_page"), ("chequesOnPage", "cheques_on_page"),
     ("amount", "amount"), ("currency", "currency"), ("amountReconciled", "amount_reconciled"), ("amountWords", "amount_words"), ("date", "date"),

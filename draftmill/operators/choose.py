@@ -36,7 +36,7 @@ def escalation_worklist(best: DataFrame, reads: DataFrame, escalate_model: str)
 def escalation_target(reads: DataFrame, configured: str) -> DataFrame:
     """The model for a second read: the configured one if it is of the same provider as the read's, else that provider's strongest. The
     catalogue has five rows."""
-    strongest = {provider: model for model, _, provider in MODELS}  # the last of a provider
+    strongest = {provider: model for model, provider in MODELS}  # the last of a provider
     own = C.provider_of(F.col("model"))
     other = F.when(own == "google", strongest["google"]).otherwise(strongest["anthropic"])
     return reads.withColumn("target", F.when(own == C.provider_of(F.lit(configured)), configured).otherwise(other))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
+from draftmill.functions.tables import EXAMPLES
 
 KEEP, SHOWN, SALTS = 3, 2, 16
 _FIELDS = ("amount", "date", "currency", "cheque_number", "seq")
-EXAMPLES = "Recently human-verified examples for this bank (format references only, NOT answers for this image):\n"
 
 
 def learn_exemplars(corrections: DataFrame, keep: int = KEEP) -> DataFrame:

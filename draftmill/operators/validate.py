@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from draftmill.functions import columns as C
 from draftmill.functions.tables import FLAG, HANDOVER
 
-DIGITS = 8  # of a cheque number
+# Digits of a cheque number, weights of the fields in the confidence, and, below, the reasons of the flags.
+DIGITS = 8
 WEIGHTS = {"amount": 3.0, "date": 3.0, "payer": 1.0, "bank": 1.5, "cheque_number": 1.5}
 VALIDATED = (
     "amount", "amount_words", "amount_numeric_value", "amount_words_value", "amount_reconciled", "currency", "date", "payer", "bank",

@@ -70,7 +70,7 @@ def reads_of(responses: DataFrame) -> DataFrame:
 
 def validate_requests(df: DataFrame) -> DataFrame:
     """df with `error` where the image is missing or the model is not one of the catalogue."""
-    good = (C.or_empty(F.col("image")) != "") & F.coalesce(F.col("model").isin(*[m for m, _, _ in MODELS]), F.lit(False))
+    good = (C.or_empty(F.col("image")) != "") & F.coalesce(F.col("model").isin(*[m for m, _ in MODELS]), F.lit(False))
     return df.withColumn("error", F.when(~good, "Missing image or unsupported model"))
 
 
