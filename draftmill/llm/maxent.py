@@ -6,8 +6,8 @@ shuffle, summed per text, so no table grows on the driver.
 
 The model: the words of the head, and one leaf for all other words, are the leaves of a Huffman tree over their counts: nested classes. P(w | h) is
 the product of the binary decisions on the way to w's leaf. A decision is a logistic function of a sum of weights: the node's bias and one
-weight for each hashed pair of the node and a feature of the history h (the word before, the two before, the one two before and the one three
-before: n-grams and skips). At the last leaf a word's share is its smoothed count. So the probabilities of all words sum to one whatever the weights. The
+weight for each hashed pair of the node and a feature of the history h (the word before, and the one two before; the README has what other sets gave).
+At the last leaf a word's share is its smoothed count. So the probabilities of all words sum to one whatever the weights. The
 table of hashed weights has PER_KIND places for each distinct word, up to 2 ** MOST_BITS, where its bound is.
 
 Training: one pass over all positions of every training text, in ROUNDS rounds, each over a slice of the texts. In a round, tasks start from
@@ -15,7 +15,9 @@ the broadcast weights and take gradient steps over their own texts in batches: a
 curvature. The tables that they end with are averaged, in blocks, by a shuffle; a weight counts by the curvature that it met in the task. A
 task sends a table of at most 17 MB for TOKENS positions, so what is sent is in proportion to the input, and there are more tasks on more input.
 
-Scoring takes a slice of documents at a time: one sparse gather of the weights of all decisions.
+Words are split, lower-cased, counted and looked up by Arrow, a piece of the texts at a time. Scoring takes a slice of documents at a time: one sparse
+gather of the weights of all decisions. Within a batch or slice the positions are taken by word: what is added up doesn't depend on their order, and
+the ways of equal words stay in a core's cache.
 
 Defined results: null text counts as empty; it has one token, the end. Without training texts N and V are 0, every count is 0 and the model is
 the last leaf alone. Repeated rows get equal results, a null doc_id stays null (and counts as the text 'null' for the
@@ -27,36 +29,53 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
-from .common import SLICE, crc_mod, id_and_text, map_texts, most_frequent, staged, to_arrow
+from .common import SLICE, crc_mod, id_and_text, most_frequent, staged, to_arrow
 
 END = b"\n"  # no word holds white space
 HEAD, PER_KIND, LEAST_BITS, MOST_BITS = 1 << 17, 16, 12, 22
-COUNTED, ROUNDS, BATCH, RATE, BLOCK = 1 << 19, 2, 1 << 16, 0.3, 1 << 15
+COUNTED, ROUNDS, BATCH, RATE, BLOCK = 1 << 19, 2, 1 << 16, 0.6, 1 << 15
 TOKENS, FAN = 10_000_000, 64  # training tokens of a task; tasks whose tables are averaged in one step
-CACHED, POSITIONS = 150_000, 1 << 12  # words of a worker's cache; positions that are worked on at a time
+PIECE, POSITIONS = 4_000_000, 1 << 11  # bytes of text whose words are looked up at a time; positions that are worked on at a time
 SCALE, SPARSE = 4096, 1 << 14
 EASE = 4.0  # curvature that a weight counts as met before its first example
 RARE = 1 << 16  # history codes of the words outside the head
-FEATURES = 4
-_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
-
-
-def words_of(text: str) -> list[bytes]:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+FEATURES = 2
+_ODD = np.array([0x9E3779B1, 0xC2B2AE3D], np.uint64)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts one after the other, and how many each text has; ends are not among them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten().cast(pa.binary())
+    full = pc.binary_length(words).to_numpy() > 0  # white space before the first word or after the last gives an empty one
+    offsets = lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    if not full.all():
+        words = words.filter(pa.array(full))
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+    return words, np.diff(offsets)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about PIECE bytes of text: some slices of SLICE rows, one at least."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(size, PIECE + (size[at - 1] if at else 0), "right")) - at
+            rows = fits if at + fits == batch.num_rows else max(SLICE, fits // SLICE * SLICE)
+            yield batch.slice(at, rows)
+            at += rows
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -65,22 +84,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     arrow = to_arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-
-        def flush():
-            words = list(count.items())
-            count.clear()
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=arrow)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.column(1).slice(at, SLICE).to_pylist():
-                    count.update(words_of(text))
-                if len(count) > COUNTED:
-                    yield from flush()
-        yield from flush()
+        held: list[pa.Table] = []
+        texts = 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
+
+        for piece in pieces(batches):
+            texts += piece.num_rows
+            held.append(pa.table(pc.value_counts(words_of(piece.column(1))[0]).flatten(), ["word", "n"]))
+            if sum(map(len, held)) > 2 * COUNTED:
+                held = [merged()]
+                if len(held[0]) > COUNTED:
+                    yield from held.pop().cast(arrow).to_batches(20_000)
+        if held:
+            yield from merged().cast(arrow).to_batches(20_000)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], schema=arrow)
 
     return docs.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -138,51 +158,77 @@ class Model:
         self.inner, self.classes = np.log(odds).astype(np.float32), np.zeros(1 << bits, np.float32)
         self.seen = np.zeros(len(self.classes) + m, np.float32)
 
-    def decisions(self, feats: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def decisions(self, feats: np.ndarray, codes: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """On the ways to words' leaves: where each word's decisions start, and of each decision its inner node, child, log-odds of the second
-        child, and the places of its weights. The decisions of a word stand together."""
+        child, and the places of its weights (keep: of all features, else of the last). The decisions of a word stand together."""
         m = self.modelled
-        leaf = np.where((codes >= 1) & (codes <= m), codes - 1, m)
-        low = self.first[leaf]
-        size = self.first[leaf + 1] - low
+        leaf = np.minimum((codes - 1).view(np.uint64), np.uint64(m)).view(np.int64)  # code 0 goes to the last one too
+        low = self.first.take(leaf)
+        size = self.first.take(leaf + 1) - low
         ends = np.cumsum(size)
-        step = self.way[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + size, size)]
+        at = np.repeat(low - ends + size, size)
+        at += np.arange(len(at))
+        step = self.way.take(at)
         node = step >> 1
-        salt = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        salt = node.astype(np.uint32)
+        salt *= np.uint32(0x9E3779B1)
         shift = np.uint32(33 - len(self.classes).bit_length())
-        places = np.empty((len(feats), len(step)), np.int64)
-        z = self.inner[node]
+        places = np.empty((len(feats) if keep else 1, len(step)), np.int64)
+        z, own = self.inner.take(node), np.empty(len(step), self.classes.dtype)
         for k, f in enumerate(feats):
             h = np.repeat(f, size)
             h ^= salt
             h *= np.uint32(0x85EBCA77)
             h ^= h >> np.uint32(13)
             h *= np.uint32(0xC2B2AE3D)
-            places[k] = h >> shift
-            z += self.classes[places[k]]
+            h >>= shift
+            here = places[k if keep else 0]
+            here[:] = h
+            z += self.classes.take(here, out=own, mode="clip")  # no place is out of bounds; this mode writes to `own` without a copy
         return ends - size, node, step & 1, z, places
 
 
-def coder(words: list[bytes]) -> Memo:
-    """Codes of words: 1, 2, ... in the head; beyond it a hash, one of RARE."""
-    head = len(words)
-    known = {w: i + 1 for i, w in enumerate(words)}
-    return Memo(lambda w: known.get(w) or head + 1 + zlib.crc32(w) % RARE, CACHED)
+def encoded(texts: pa.Array, head: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Codes of all tokens, ends included: 1, 2, ... in the head, beyond it a hash, one of RARE; where each text starts; and the rows and words of
+    the tokens beyond the head."""
+    words, sizes = words_of(texts)
+    n = len(texts)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    ends = np.cumsum(sizes.astype(np.int64) + 1) - 1
+    own = pc.index_in(words, value_set=head).fill_null(-1).to_numpy().astype(np.int64) + 1
+    rare = np.flatnonzero(own == 0)
+    rows, others = row[rare], words.take(pa.array(rare))
+    hashed = lambda found: len(head) + 1 + np.fromiter((zlib.crc32(w) % RARE for w in found), np.int64, len(found))
+    own[rare] = hashed(others.to_pylist())
+    end = pc.index_in(pa.array([END], pa.binary()), value_set=head)[0].as_py()
+    codes = np.empty(len(words) + n, np.int64)
+    codes[np.arange(len(words)) + row] = own
+    codes[ends] = hashed([END])[0] if end is None else end + 1
+    if end is None:
+        rows, others = np.concatenate([rows, np.arange(n, dtype=np.int32)]), pa.concat_arrays([others, pa.array([END] * n, pa.binary())])
+    return codes, ends - sizes, rows, others
 
 
 def features(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """FEATURES hashes for each position, from the codes of words before it within the text."""
     n = len(codes)
-    first = np.repeat(starts, np.diff(np.append(starts, n)))
-    at = np.arange(n)
+    plain = codes.astype(np.uint64)
 
     def back(k: int) -> np.ndarray:
-        return np.where(at - k >= first, codes[np.maximum(at - k, 0)], 0).astype(np.uint64)
+        out = np.zeros(n, np.uint64)
+        out[k:] = plain[: max(0, n - k)]
+        for j in range(k):  # the first k positions of a text have nothing there
+            at = starts + j
+            out[at[at < n]] = 0
+        return out
 
-    one, two, three = back(1), back(2), back(3)
-    keys = np.stack([one, one * np.uint64(0x1000193) + two + np.uint64(1 << 40), two + np.uint64(2 << 40), three + np.uint64(3 << 40)])
-    mixed = (keys ^ (keys >> np.uint64(17))) * (_ODD[:, None] * np.uint64(0x100000001))
-    return (mixed >> np.uint64(32)).astype(np.uint32)
+    mixed = np.empty((FEATURES, n), np.uint32)
+    for k, key in enumerate((back(1), back(2) + np.uint64(2 << 40))):
+        key ^= key >> np.uint64(17)
+        key *= _ODD[k] * np.uint64(0x100000001)
+        key >>= np.uint64(32)
+        mixed[k] = key
+    return mixed
 
 
 def log_prob(model: Model, codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
@@ -190,11 +236,17 @@ def log_prob(model: Model, codes: np.ndarray, feats: np.ndarray) -> np.ndarray:
     out = np.zeros(len(codes))
     if not model.modelled:
         return out
+    order = np.argsort(codes)  # as in training
+    feats, codes = feats[:, order], codes[order]
     for start in range(0, len(codes), POSITIONS):
         part = slice(start, start + POSITIONS)
-        starts, _, child, z, _ = model.decisions(feats[:, part], codes[part])
-        z[child == 1] *= -1
-        out[part] = -np.add.reduceat(np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z))), starts)
+        starts, _, child, z, _ = model.decisions(feats[:, part], codes[part], keep=False)
+        z *= np.float32(1) - (child << 1).astype(np.float32)
+        lost = np.exp(-np.abs(z))
+        lost += np.float32(1)
+        np.log(lost, out=lost)
+        lost += np.maximum(z, 0)
+        out[order[part]] = -np.add.reduceat(lost, starts)
     return out
 
 
@@ -206,38 +258,45 @@ class Steps:
         self.model, self.rate, self.met = model, rate, np.zeros_like(model.seen)
         # Gradient (upper half, may be negative) and curvature (lower half) of a batch, both in whole numbers of 1 / SCALE.
         self.total = np.zeros(len(model.seen), np.int64)
+        # All weights in one array, of which the model's are parts.
+        self.flat = np.concatenate([model.classes, model.inner])
+        model.classes, model.inner = self.flat[: len(model.classes)], self.flat[len(model.classes) :]
 
     def batch(self, feats: np.ndarray, codes: np.ndarray) -> None:
-        m = self.model
-        if not m.modelled:
+        if not self.model.modelled:
             return
-        now = replace(m, classes=m.classes.astype(np.float16))  # weights stay as they are within a batch; half the size is half the misses of a cache
+        hashed = len(self.model.classes)
+        order = np.argsort(codes)  # equal words stand together, so their ways are in a core's cache
+        feats, codes = feats[:, order], codes[order]
         for start in range(0, len(codes), POSITIONS):
             part = slice(start, start + POSITIONS)
-            _, node, child, z, places = now.decisions(feats[:, part], codes[part])
+            _, node, child, z, places = self.model.decisions(feats[:, part], codes[part])
             p = 1 / (1 + np.exp(-z))
-            both = (np.rint((p - child) * np.float32(SCALE)).astype(np.int64) << 32) + np.rint(p * (1 - p) * np.float32(SCALE)).astype(np.int64)
+            both = np.empty((len(p), 2), "<i4")  # the lower half first
+            both[:, 0] = np.rint(p * (1 - p) * np.float32(SCALE))
+            both[:, 1] = np.rint((p - child.astype(np.float32)) * np.float32(SCALE))
+            both = both.view("<i8").ravel()
             for at in places:
                 np.add.at(self.total, at, both)
-            np.add.at(self.total, node + len(m.classes), both)
-        hit = np.flatnonzero(self.total) if len(codes) < SPARSE else slice(None)
-        total = self.total[hit]
-        self.met[hit] += (total & 0xFFFFFFFF).astype(np.float32) / np.float32(SCALE)
-        move = (total >> 32).astype(np.float32) * np.float32(self.rate / SCALE) / (m.seen[hit] + self.met[hit] + np.float32(EASE))
-        if isinstance(hit, slice):
-            m.classes -= move[: len(m.classes)]
-            m.inner -= move[len(m.classes) :]
-        else:
-            low = hit < len(m.classes)
-            m.classes[hit[low]] -= move[low]
-            m.inner[hit[~low] - len(m.classes)] -= move[~low]
-        self.total[hit] = 0
-
-
-def _codes(texts: list[list[bytes]], code_of) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in texts])
-    codes = np.fromiter(map(code_of, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-    return codes, np.cumsum(sizes) - sizes
+            np.add.at(self.total, node + hashed, both)
+        if len(codes) < SPARSE:
+            hit = np.flatnonzero(self.total)
+            total, met = self.total[hit], self.met[hit]
+            self.flat[hit] -= self.moves(total, met, self.model.seen[hit])
+            self.met[hit], self.total[hit] = met, 0
+            return
+        for at in range(0, len(self.total), BLOCK):  # what a block takes stays in a core's cache
+            part = slice(at, at + BLOCK)
+            self.flat[part] -= self.moves(self.total[part], self.met[part], self.model.seen[part])
+            self.total[part] = 0
+
+    def moves(self, total: np.ndarray, met: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """What weights move by; met gets what they met."""
+        met += total.view("<u4")[::2].astype(np.float32) * np.float32(1 / SCALE)
+        move = total.view("<i4")[1::2].astype(np.float32)
+        move *= np.float32(self.rate / SCALE)
+        move /= seen + met + np.float32(EASE)
+        return move
 
 
 def slices(docs: DataFrame, rounds: int) -> list[DataFrame]:
@@ -260,7 +319,7 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
             m = sent.value
             # The curvature of earlier rounds, of which this task stands for a share.
             mine = replace(m, classes=m.classes.copy(), inner=m.inner.copy(), seen=m.seen / np.float32(tasks))
-            steps, code_of = Steps(mine, rate), coder(m.words).__getitem__
+            steps, head = Steps(mine, rate), pa.array(m.words, pa.binary())
             held, rows = [], 0
 
             def learn():
@@ -269,11 +328,13 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS, rate: float = RAT
                 steps.batch(features(codes, starts), codes)
                 held.clear()
 
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    codes, starts = _codes([words_of(t) for t in batch.column(1).slice(at, SLICE).to_pylist()], code_of)
-                    held.append((codes, np.diff(np.append(starts, len(codes)))))
-                    rows += len(codes)
+            for piece in pieces(batches):
+                codes, starts, _, _ = encoded(piece.column(1), head)
+                bounds = np.append(starts, len(codes))
+                for at in range(0, piece.num_rows, SLICE):
+                    own = bounds[at : at + SLICE + 1]
+                    held.append((codes[own[0] : own[-1]], np.diff(own)))
+                    rows += len(held[-1][0])
                     if rows >= BATCH:
                         learn()
                         rows = 0
@@ -311,40 +372,40 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     half = model.classes.astype(np.float16) if model.classes is not None else None  # exact: averaged tables are of that precision
     sent = docs.sparkSession.sparkContext.broadcast(replace(model, classes=half))
 
-    def per_task():
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, n_tokens long, head_known long, head_log double, model_log double, tail array<struct<word: binary, n: long>>"
+    arrow = to_arrow(docs.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = sent.value
-        head, code_of = len(m.words), coder(m.words).__getitem__
+        head = pa.array(m.words, pa.binary())
         logs = np.concatenate([[0.0], np.log10(m.counts + 1.0)])
-        top, rest = m.modelled, m.rest
         rid = TaskContext.get().partitionId() << 40
-
-        def work(ids, texts):
-            nonlocal rid
-            split = [words_of(t) for t in texts]
-            codes, starts = _codes(split, code_of)
-            known = codes <= head
-            log_c = np.where(known, logs[np.where(known, codes, 0)], 0.0)
-            model_part = log_prob(m, codes, features(codes, starts)) / np.log(10)
+        for piece in pieces(batches):
+            codes, starts, rows, others = encoded(piece.column(1), head)
+            n, bounds = len(starts), np.append(starts, len(codes))
+            model_part = np.empty(len(codes))
+            for at in range(0, n, SLICE):
+                low, high = bounds[at], bounds[min(at + SLICE, n)]
+                model_part[low:high] = log_prob(m, codes[low:high], features(codes[low:high], starts[at : at + SLICE] - low))
+            model_part /= np.log(10)
+            known = codes <= len(head)
             # At the last leaf a word's share is (c + 1) / rest; c is joined later.
-            model_part -= np.where(codes > top, rest, 0.0)
-            words, times, ends = [], [], np.append(starts[1:], len(codes))
-            offsets = [0]
-            rare = np.flatnonzero(~known)
-            for own, a, low, high in zip(split, starts, np.searchsorted(rare, starts), np.searchsorted(rare, ends), strict=True):
-                found = Counter(map(own.__getitem__, (rare[low:high] - a).tolist()))
-                words += found.keys()
-                times += found.values()
-                offsets.append(len(words))
-            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-            rids = range(rid, rid + len(ids))
-            rid += len(ids)
-            return {"rid": list(rids), "n_tokens": ends - starts, "head_known": np.add.reduceat(known.astype(np.int64), starts), "head_log": np.add.reduceat(log_c, starts), "model_log": np.add.reduceat(model_part, starts), "tail": tail}
-
-        return work
-
-    return map_texts(docs, per_task, "rid long, n_tokens long, head_known long, head_log double, model_log double, tail array<struct<word: binary, n: long>>")
+            model_part[~known] -= m.rest
+            # The other words of each text, once each with their number.
+            found = pa.table([pa.array(rows), others], ["row", "word"]).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")])
+            order = np.argsort(found["row"].to_numpy(), kind="stable")
+            found = found.take(pa.array(order)).combine_chunks()
+            column = lambda name: pa.concat_arrays(found[name].chunks) if found.num_rows else pa.array([], found[name].type)
+            offsets = np.searchsorted(found["row"].to_numpy(), np.arange(n + 1))
+            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([column("word"), column("count_all")], ["word", "n"]))
+            sums = [np.diff(bounds), np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs[np.where(known, codes, 0)], starts), np.add.reduceat(model_part, starts)]
+            columns = [piece.column(0), np.arange(rid, rid + n), *sums, tail]
+            rid += n
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
 
 
 def language_scores(docs: DataFrame, learn: Column | None = None, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
