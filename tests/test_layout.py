@@ -117,3 +117,14 @@ def test_bands_are_those_of_the_single_steps(spark, pages, runs):
     tall = F.col("end") - F.col("start") >= F.greatest(F.lit(4), F.floor(F.col("height") * 0.06))
     want = sorted((r.page_key, r.start, r.end) for r in steps.filter(tall).collect())
     assert sorted((r.page_key, r.y0, r.y1) for r in layout.bands(runs, pages).collect()) == want and len(want) > 10
+
+
+def test_repeated_lines_are_looked_into_once(monkeypatch):
+    rng, looked, gray_of = np.random.default_rng(5), [], raster.gray_of
+    monkeypatch.setattr(raster, "gray_of", lambda pixels, width, height: looked.append(height) or gray_of(pixels, width, height))
+    for depth in (1, 2, 3, 4):
+        few = rng.choice([40, 150, 230, 255], (5, 31 * depth)).astype(np.uint8)
+        for lines in (few[np.sort(rng.integers(0, 5, 200))], few[rng.integers(0, 5, 200)], rng.integers(0, 256, (40, 31 * depth)).astype(np.uint8), few[:1]):
+            got, want = raster.page_runs(lines.tobytes() + b"x", 31, len(lines)), raster.runs_of(gray_of(lines.tobytes(), 31, len(lines)))
+            assert [list(c) for c in got] == [list(c) for c in want]
+    assert looked[::4] == [5] * 4 and looked[2::4] == [40] * 4 and looked[3::4] == [1] * 4
