@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from draftmill.functions import columns as C
 from draftmill.functions.tables import MAX_CHEQUES
+from draftmill.operators import lines
 
 PAGE = ("page_key", "width", "height")
 BOX = ("x0", "y0", "x1", "y1")
@@ -211,16 +212,22 @@ def _any_clash(boxes: Column) -> Column:
 
 def detect_regions(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_key, ordinal, x0, y0, x1, y1, flag): the boxes of a page and 'single', 'ok' or 'ambiguous'. Every page has a row; a page that is small,
-    blank or holds one box is its own single region, as is, ambiguous, one with more than MAX_CHEQUES. A page's boxes, a few dozen at most,
-    are gathered once and judged as an array."""
-    pages = pages.select(*PAGE).repartition("page_key")
-    runs = runs.repartition("page_key")
-    found = split_band_columns(band_column_profile(runs, bands(runs, pages)))
-    boxes = pad_and_filter_boxes(found.withColumns({"y0": F.col("band_y0"), "y1": F.col("band_y1"), "left": F.col("x0")}))
-    one = F.when(F.col("wide"), _keyed(F.struct(*BOX), F.col("band_y0"), F.col("left")))
-    own = boxes.groupBy("page_key").agg(F.max("ambiguous").alias("odd"), F.array_sort(F.collect_list(one)).alias("b"))
-    blank = (F.col("fraction") < MIN_INK) | (F.col("width") < MIN_SIDE) | (F.col("height") < MIN_SIDE)
-    d = pages.join(ink_fraction(runs, pages), "page_key").join(own, "page_key", "left").withColumn("n", F.when(blank | F.col("b").isNull(), 0).otherwise(F.size("b")))
+    blank or holds one box is its own single region, as is, ambiguous, one with more than MAX_CHEQUES. A page's runs are gathered once, and its
+    boxes, a few dozen at most, are judged as an array. Runs may span lines (lines.gathered)."""
+    w, h = F.col("width"), F.col("height")
+
+    def padded(b: Column) -> Column:
+        box = F.struct(
+            F.greatest(F.lit(0.0), (b["x0"] - w * 0.01) / w).alias("x0"), F.greatest(F.lit(0.0), (b["y0"] - h * 0.01) / h).alias("y0"),
+            F.least(F.lit(1.0), (b["x1"] + w * 0.01) / w).alias("x1"), F.least(F.lit(1.0), (b["y1"] + h * 0.01) / h).alias("y1"),
+        )
+        return _keyed(box, b["y0"], b["x0"])
+
+    d = lines.page_boxes(runs, pages)
+    blank = (w < MIN_SIDE) | (h < MIN_SIDE) | (F.col("ink") / F.greatest(w.cast("long") * h, F.lit(1)) < MIN_INK)
+    kept = F.filter(F.transform("boxes", padded), lambda b: (b["x1"] - b["x0"] > 0.05) & (b["y1"] - b["y0"] > 0.03))
+    none = F.array().cast("array<struct<top: double, left: double, place: int, nth: int, x0: double, y0: double, x1: double, y1: double>>")
+    d = d.select("page_key", F.exists("boxes", lambda b: b["odd"]).alias("odd"), F.when(blank, none).otherwise(F.array_sort(kept)).alias("b")).withColumn("n", F.size("b"))
     flag = F.when(F.col("n") <= 1, "single").when((F.col("n") > MAX_CHEQUES) | F.col("odd"), "ambiguous").when(_any_clash(F.col("b")), "ambiguous").otherwise("ok")
     regions = F.when(F.col("n").between(2, MAX_CHEQUES), F.col("b")).otherwise(_full_page())
     out = d.select("page_key", flag.alias("flag"), F.posexplode(regions).alias("i", "r"))
