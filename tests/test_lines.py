@@ -74,3 +74,7 @@ def test_many_slices_of_a_batch_are_as_one(monkeypatch, drawn):
     one = lines.Lines(table).bands()
     parts = [lines.Lines(table.slice(i, 1)).bands() for i in range(3)]
     assert [list(np.concatenate([p[j] for p in parts])) for j in (1, 2)] == [list(c) for c in one[1:]]
+
+
+def test_smooth_lines_are_not_sorted(drawn):
+    same(lines.smooth_lines, smooth_of(drawn).select("page_key", "y", "smooth"), drawn)
