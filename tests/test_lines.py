@@ -78,3 +78,7 @@ def test_many_slices_of_a_batch_are_as_one(monkeypatch, drawn):
 
 def test_smooth_lines_are_not_sorted(drawn):
     same(lines.smooth_lines, smooth_of(drawn).select("page_key", "y", "smooth"), drawn)
+
+
+def test_lit_lines_are_not_sorted(drawn):
+    same(lines.lit_lines, lit_of(drawn).select("page_key", "y", F.col("on").alias("lit")), drawn)
