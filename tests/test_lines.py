@@ -82,3 +82,8 @@ def test_smooth_lines_are_not_sorted(drawn):
 
 def test_lit_lines_are_not_sorted(drawn):
     same(lines.lit_lines, lit_of(drawn).select("page_key", "y", F.col("on").alias("lit")), drawn)
+
+
+def test_merged_runs_are_not_sorted(drawn):
+    runs = layout.bool_runs(lit_of(drawn).filter("on"), layout.PAGE)
+    same(lines.lit_runs, layout.merge_runs(runs, layout.PAGE, F.greatest(F.lit(2), F.floor(F.col("height") * 0.012))).select("page_key", "start", "end"), drawn)
