@@ -87,3 +87,7 @@ def test_lit_lines_are_not_sorted(drawn):
 def test_merged_runs_are_not_sorted(drawn):
     runs = layout.bool_runs(lit_of(drawn).filter("on"), layout.PAGE)
     same(lines.lit_runs, layout.merge_runs(runs, layout.PAGE, F.greatest(F.lit(2), F.floor(F.col("height") * 0.012))).select("page_key", "start", "end"), drawn)
+
+
+def test_runs_of_lit_lines_are_not_sorted(drawn):
+    same(lambda r, p: lines.lit_runs(r, p, merge=False), layout.bool_runs(lit_of(drawn).filter("on"), layout.PAGE).select("page_key", "start", "end"), drawn)
