@@ -266,23 +266,29 @@ MEETING = 32
 
 
 def _met(runs: DataFrame, regions: DataFrame, pages: DataFrame, band: int) -> DataFrame:
-    """Runs beside the regions (r, in pixels) of their page that reach into their band of scan lines. A region is written to each of its bands; a run,
-    being one scan line, is in one."""
+    """Runs beside the regions (r, in pixels) of their page that reach into their band of scan lines. Regions, and runs that span lines, are written to
+    each of their bands; a run is cut there."""
     box = F.struct(*BOX)
     r = regions.join(pages.select(*PAGE), "page_key")
     whole = F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("width").cast("int").alias("x1"), F.col("height").cast("int").alias("y1"))
     r = r.select("page_key", "ordinal", F.when(C.is_full_page(box), whole).otherwise(C.region_to_pixels(box, F.col("width"), F.col("height"))).alias("r")).filter("r.y0 < r.y1")
     nth = lambda y: F.floor(y / band)
     r = r.withColumn("band", F.explode(F.sequence(nth(F.col("r.y0")), nth(F.col("r.y1") - 1))))
-    return runs.withColumn("band", nth(F.col("y"))).join(r, ["page_key", "band"])
+    y1 = F.col("y1") if "y1" in runs.columns else F.col("y") + 1
+    cut = runs.select("page_key", F.col("y").alias("from"), y1.alias("upto"), "x0", "x1").filter(F.col("from") < F.col("upto"))
+    cut = cut.withColumn("band", F.explode(F.sequence(nth(F.col("from")), nth(F.col("upto") - 1))))
+    cut = cut.select("page_key", "band", F.greatest("from", F.col("band") * band).cast("int").alias("y"), F.least("upto", (F.col("band") + 1) * band).cast("int").alias("y1"), "x0", "x1")
+    return cut.join(r, ["page_key", "band"])
 
 
 def crop_runs(runs: DataFrame, regions: DataFrame, pages: DataFrame, band: int = MEETING) -> DataFrame:
     """(page_key, ordinal, y, x0, x1): the ink of each region, from the region's own corner; a full page is taken whole. A join by page and band of
-    scan lines: what is compared is in proportion to what is hit, however many regions a page has."""
-    hit = (F.col("y") >= F.col("r.y0")) & (F.col("y") < F.col("r.y1")) & (F.col("x0") < F.col("r.x1")) & (F.col("x1") > F.col("r.x0"))
+    scan lines: what is compared is in proportion to what is hit, however many regions a page has. Runs may span lines: they meet regions as they
+    are, and only what is hit is written line by line."""
+    hit = (F.col("y1") > F.col("r.y0")) & (F.col("y") < F.col("r.y1")) & (F.col("x0") < F.col("r.x1")) & (F.col("x1") > F.col("r.x0"))
     clipped = _met(runs, regions, pages, band).filter(hit)
-    return clipped.select("page_key", "ordinal", (F.col("y") - F.col("r.y0")).alias("y"), (F.greatest("x0", "r.x0") - F.col("r.x0")).alias("x0"), (F.least("x1", "r.x1") - F.col("r.x0")).alias("x1"))
+    lines_of = F.sequence(F.greatest("y", "r.y0") - F.col("r.y0"), F.least("y1", "r.y1") - F.col("r.y0") - 1)
+    return clipped.select("page_key", "ordinal", F.explode(lines_of).alias("y"), (F.greatest("x0", "r.x0") - F.col("r.x0")).alias("x0"), (F.least("x1", "r.x1") - F.col("r.x0")).alias("x1"))
 
 
 def gray_percentile(hist: DataFrame, pct: float, keys: tuple[str, ...] = ("page_key",)) -> DataFrame:

@@ -91,3 +91,10 @@ def test_merged_runs_are_not_sorted(drawn):
 
 def test_runs_of_lit_lines_are_not_sorted(drawn):
     same(lambda r, p: lines.lit_runs(r, p, merge=False), layout.bool_runs(lit_of(drawn).filter("on"), layout.PAGE).select("page_key", "start", "end"), drawn)
+
+
+def test_crops_of_runs_that_span_lines(drawn):
+    pages, spanning, single = drawn
+    regions = layout.detect_regions(spanning, pages).withColumn("y1", F.col("y1") * 0.9)
+    names = ("page_key", "ordinal", "y", "x0", "x1")
+    assert rows(layout.crop_runs(spanning, regions, pages), *names) == rows(layout.crop_runs(single, regions, pages, 7), *names) != []
