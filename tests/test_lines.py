@@ -98,3 +98,8 @@ def test_crops_of_runs_that_span_lines(drawn):
     regions = layout.detect_regions(spanning, pages).withColumn("y1", F.col("y1") * 0.9)
     names = ("page_key", "ordinal", "y", "x0", "x1")
     assert rows(layout.crop_runs(spanning, regions, pages), *names) == rows(layout.crop_runs(single, regions, pages, 7), *names) != []
+
+
+@pytest.mark.parametrize(("name", "windows"), [("j10_resolve_page_regions", 0), ("job_find_cheques", 1), ("p3_is_full_page", 0), ("p4_region_to_pixels", 0)])
+def test_regions_are_found_without_windows_over_lines(spark, name, windows):
+    assert plan(QUERIES[name](spark, SMALL)).split("Initial Plan")[0].count("Window ") == windows
