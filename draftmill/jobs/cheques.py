@@ -41,20 +41,26 @@ def _votes(reads: DataFrame, options: Options) -> DataFrame:
     return reads.filter(F.col("pass").between(options.vote_from, options.vote_from + options.samples - 1))
 
 
-def _best(reads: DataFrame, options: Options) -> DataFrame:
-    """The first read of each id, or the second where the first calls for it and it didn't fail. Written out, so that no read is validated twice."""
-    first = written(with_error_rows(reads.filter("pass = 1")), "first-reads")
+#: What a choice among reads, and what follows from it, goes by.
+CHOICE = ("id", "pass", "model", "error", "bank", "flags", "amount_reconciled", "confidence", "status")
+
+
+def _chosen(reads: DataFrame, options: Options, columns: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first read of each id, and the best: the first, or the second where the first calls for it and it didn't fail; of all columns or of some. Written
+    out, so that no read is validated twice."""
+    valid = lambda d: with_error_rows(d).select(*columns or "*")
+    first = written(valid(reads.filter("pass = 1")), "first-reads")
     if not options.escalate:
-        return first
+        return first, first
     asked = first.filter(choose.needs_escalation(options.escalate_model)).select("id")
-    second = with_error_rows(_second(reads, options).join(asked, "id", "left_semi"))
-    return written(choose.pick_best_read(first.unionByName(second)), "best-reads")
+    second = valid(_second(reads, options).join(asked, "id", "left_semi"))
+    return first, written(choose.pick_best_read(first.unionByName(second)), "best-reads")
 
 
 def read_cheques(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """One result row per id from raw reads of all passes: the better of the first and, where it is called for, the second, and where that is still under
     review the votes of the next `samples` reads. Further reads have no say."""
-    best = _best(reads, options)
+    _, best = _chosen(reads, options)
     if options.voting:
         asked = best.filter(choose.needs_vote())
         best = choose.apply_vote(best, choose.majority_amount(asked, _votes(reads, options)), options.escalate_model)
@@ -69,13 +75,12 @@ def read_responses(landed: DataFrame, options: Options = Options()) -> DataFrame
 def request_reads(reads: DataFrame, corrections: DataFrame, options: Options = Options()) -> DataFrame:
     """(id, pass, model, prompt): what is still to be asked, given the reads so far: second reads of what the first leaves under review, and, where no second
     read is due, the votes on what is under review still. Prompts carry a hint about the bank that was read."""
-    done = reads.select("id", "pass").distinct()
-    best = _best(reads, options)
+    done = reads.filter(F.col("pass") >= min(2, options.vote_from)).select("id", "pass")
+    first, best = _chosen(reads, options, CHOICE)
     parts = []
     second_due = best.filter(F.lit(False)).select("id")
     if options.escalate:
-        first = with_error_rows(reads.filter("pass = 1")).filter(choose.needs_escalation(options.escalate_model))
-        due = first.join(_second(done, options).select("id").distinct(), "id", "left_anti")
+        due = first.filter(choose.needs_escalation(options.escalate_model)).join(_second(done, options).select("id"), "id", "left_anti")
         second_due = written(due.select("id", "bank"), "second-reads-due")
         parts.append(second_due.select("id", "bank", F.lit(2).alias("pass")))
     if options.voting:

@@ -74,3 +74,14 @@ def test_stored_results_are_reviewed_in_proportion_to_the_corrections(spark, tmp
     want = {r.id: r.line for r in results.csv_lines(results.apply_corrections(found, fixed)).collect()}
     assert lines == want and ",8.00,QAR," in lines["0003"] and len(lines) == 3000
     assert table.live()[-1].size < table.live()[0].size and spark.read.parquet(f"{tmp_path}/t/{table.live()[-1].name}").count() == 1
+
+
+def test_requests_validate_each_read_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cheques, "with_error_rows", lambda d: seen.append(d) or with_error_rows(d))
+    rows = [read("a", "5", 6.0), read("b", "5", 6.0), read("b", "5", 6.0, 2, PRO), read("b", "5", 7.0, 2, PRO), read("c", "5", 5.0)]
+    fixed = spark.createDataFrame([], CORR)
+    got = sorted((r.id, r["pass"]) for r in cheques.request_reads(placed(spark, rows), fixed).collect())
+    assert got == [("a", 2), ("b", 3), ("b", 4)] and len(seen) == 2
+    reads = [r for d in seen for r in d.select("id", "pass").collect()]
+    assert sorted((r.id, r["pass"]) for r in reads) == [("a", 1), ("b", 1), ("b", 2), ("b", 2), ("c", 1)]
